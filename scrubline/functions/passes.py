@@ -99,7 +99,7 @@ def counts(state: str, n_detectors: int) -> str:
             f"no -> size(filter({state}.c, c -> c = no)))")
 
 
-def matches(text: str, rule: Rule) -> str:
+def matches(text: str, rule: Rule, has_digit: str | None = None) -> str:
     """All matches of one rule in the text as it is, as an array of finding structs.
 
     NULL, not an empty array, where there are none.
@@ -107,9 +107,9 @@ def matches(text: str, rule: Rule) -> str:
     found = let("found", f"named_struct('gaps', {_split(text, rule)}, 'hits', {hits(text, rule.pattern)})",
                 offsets("found.gaps", "found.hits"))
     value = hits(text, rule.pattern, rule.group) if rule.group else hits(text, rule.pattern)
-    parts = (f"arrays_zip({found} AS start, {hits(text, rule.pattern)} AS match, {value} AS value, "
-             f"{_decide(text, rule, 'label', text)} AS label)")
-    rows = (f"transform(filter({parts}, m -> m.label IS NOT NULL), (m, i) -> named_struct("
-            f"'detector', {quote(rule.detector)}, 'rule_no', {rule.no}, 'ord', i, 'start', m.start, "
-            f"'end', m.start + length(m.match), 'match', m.match, 'value', m.value, 'label', m.label))")
-    return f"CASE WHEN {may_match(text, rule)} THEN {rows} END"
+    # fields of a zip of expressions are named by their position
+    parts = f"arrays_zip({found}, {hits(text, rule.pattern)}, {value}, {_decide(text, rule, 'label', text)})"
+    rows = (f"transform(filter({parts}, m -> m.`3` IS NOT NULL), (m, i) -> named_struct("
+            f"'detector', {quote(rule.detector)}, 'rule_no', {rule.no}, 'ord', i, 'start', m.`0`, "
+            f"'end', m.`0` + length(m.`1`), 'match', m.`1`, 'value', m.`2`, 'label', m.`3`))")
+    return f"CASE WHEN {may_match(text, rule, has_digit)} THEN {rows} END"

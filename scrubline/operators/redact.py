@@ -16,6 +16,10 @@ from scrubline.functions.rules import DETECTORS, Rule, rules
 from scrubline.functions.text import interleave
 
 
+# As many as the analyzer resolves within its default number of iterations, with room to spare.
+_RULES_PER_STEP = 4
+
+
 class Redactor:
     """A choice of rules, ready to be applied to the texts of a DataFrame.
 
@@ -33,17 +37,26 @@ class Redactor:
         """Add ``name``: for every text of the array ``texts`` the struct ``(t, c)``.
 
         ``t`` is the redacted text, ``c`` the replacements in the order of
-        ``self.detectors``. A step per rule keeps the analysis of the plan short;
-        as every step refers to the one before only once, Catalyst merges them
-        all into a single projection.
+        ``self.detectors``. A few rules at a time keep the analysis of the plan
+        short; as every step refers to the one before only once, Catalyst merges
+        them all into a single projection.
         """
         df = df.withColumn(name, texts)
         df = df.withColumn(name, F.expr(f"transform({name}, text -> {start('text', self.profile)})"))
-        for rule in self.rules:
-            step = apply_rule("state", rule, self.detectors.index(rule.detector), self.profile)
-            df = df.withColumn(name, F.expr(f"transform({name}, state -> {step})"))
-        return df.withColumn(name, F.expr(
-            f"transform({name}, state -> named_struct('t', state.t, 'c', {counts('state', len(self.detectors))}))"))
+        for first in range(0, len(self.rules), _RULES_PER_STEP):
+            step = name
+            for rule in self.rules[first:first + _RULES_PER_STEP]:
+                one = apply_rule("state", rule, self.detectors.index(rule.detector), self.profile)
+                step = f"transform({step}, state -> {one})"
+            df = df.withColumn(name, F.expr(step))
+        result = f"named_struct('t', state.t, 'c', {counts('state', len(self.detectors))})"
+        # the generator keeps a filter on the result from being pushed below it,
+        # where it would evaluate all rules a second time
+        return df.withColumn(name, F.explode(F.expr(f"array(transform({name}, state -> {result}))")))
+
+    def run_one(self, df: DataFrame, text: Column, name: str = "_done") -> DataFrame:
+        """As ``run`` for a single text per row: ``name`` is the struct itself."""
+        return self.run(df, F.array(text), name).withColumn(name, F.element_at(name, 1))
 
     def count(self, counts: Column, detector: str) -> Column:
         if detector not in self.detectors:
@@ -64,7 +77,7 @@ def _sum(numbers: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", redactor: Redactor | None = None) -> DataFrame:
     """Replace ``text_col`` and add ``counts``, ``n_total``, ``len_before`` and ``len_after``."""
     r = redactor or Redactor()
-    done = r.run(df, F.array(F.col(text_col))).withColumn("_done", F.element_at("_done", 1))
+    done = r.run_one(df, F.col(text_col))
     return done.select(
         *(c for c in df.columns if c != text_col),
         F.col("_done.t").alias(text_col),
@@ -76,7 +89,7 @@ def redact(df: DataFrame, text_col: str = "text", redactor: Redactor | None = No
 
 def redact_column(df: DataFrame, text_col: str, redactor: Redactor, n_col: str = "n") -> DataFrame:
     """Replace ``text_col`` and add the number of replacements."""
-    done = redactor.run(df, F.array(F.col(text_col))).withColumn("_done", F.element_at("_done", 1))
+    done = redactor.run_one(df, F.col(text_col))
     return done.select(*(F.col("_done.t").alias(c) if c == text_col else F.col(c) for c in df.columns),
                        _sum(F.col("_done.c")).alias(n_col))
 
@@ -109,8 +122,8 @@ def redact_blocks(blocks: DataFrame, redactor: Redactor | None = None, text_col:
     Keeps all rows and adds ``redacted`` and ``changed``; blank blocks pass unchanged.
     """
     r = redactor or Redactor()
-    done = r.run(blocks, F.array(F.col(text_col)))
-    redacted = F.element_at("_done", 1)["t"]
+    done = r.run_one(blocks, F.col(text_col))
+    redacted = F.col("_done.t")
     return done.select(*blocks.columns, redacted.alias("redacted"),
                        (redacted != F.coalesce(F.col(text_col), F.lit(""))).alias("changed"))
 
