@@ -15,7 +15,7 @@ from scrubline.operators.findings import apply_findings, entity_stats, findings,
 from scrubline.operators.redact import (
     Redactor, redact, redact_blocks, redact_column, redact_lines, redact_markup, redact_nested, redact_table)
 from scrubline.sources.files import run_metrics, spread_out
-from scrubline.streaming.redact_stream import windowed_counts
+from scrubline.streaming.redact_stream import utc, windowed_counts
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -272,7 +272,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of log lines: replacements per detector and day of event time."""
     schema = table(spark, sf_dir, "events").schema
     lines = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-             .select("ts", F.expr(LOG_LINE).alias("text")))
+             .select(utc("ts").alias("ts"), F.expr(LOG_LINE).alias("text")))
     counts = windowed_counts(lines, "ts", "text", "1 day", "1 hour", Redactor(detectors=("emails", "ips")))
     folder = _scratch(spark)
     # every batch brings the whole small result anew and replaces the table
@@ -280,7 +280,8 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
              .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts"))
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/counts")
+    return spark.read.parquet(f"{folder}/counts").withColumn("window_start", F.expr(
+        "convert_timezone(current_timezone(), 'UTC', CAST(window_start AS TIMESTAMP_NTZ))"))
 
 
 JOBS: dict[str, Job] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.operators.redact import Redactor, redact_column
@@ -24,6 +24,11 @@ def redact_stream(stream: DataFrame, text_col: str = "text", redactor: Redactor
     return redact_column(stream, text_col, redactor or Redactor())
 
 
+def utc(ts_col: str) -> Column:
+    """A timestamp without time zone as the instant it means in UTC, whatever the session's zone."""
+    return F.expr(f"CAST(convert_timezone('UTC', current_timezone(), {ts_col}) AS TIMESTAMP)")
+
+
 def windowed_counts(stream: DataFrame, ts_col: str, text_col: str, window: str = "1 hour",
                     watermark: str = "10 minutes", redactor: Redactor | None = None) -> DataFrame:
     """Replacements per detector and tumbling window of event time.
