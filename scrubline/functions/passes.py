@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from scrubline.functions.labels import ANY_LABEL
 from scrubline.functions.rules import Rule
-from scrubline.functions.text import any_contains, hits, interleave, let, offsets, quote
+from scrubline.functions.text import any_contains, chunks, hits, interleave, let, offsets, piece, quote
 
 AROUND = 30  # fixed value: characters on either side of a date that tell its purpose
 DIGIT = r"\p{Nd}"
@@ -34,9 +34,9 @@ def _decide(text: str, rule: Rule, result: str, context: str) -> str:
         return f"transform({hits(text, rule.pattern)}, hit -> {let('label', quote(rule.constant), result)})"
     decided = let("label", rule.label, result)
     if rule.around:
-        first = f"greatest(start - {AROUND}, 0)"
-        near = f"substring({context}, {first} + 1, start + length(hit) + {AROUND} - {first})"
-        return let("found", f"named_struct('gaps', {_split(text, rule)}, 'hits', {hits(text, rule.pattern)})",
+        near = piece("found.context", f"greatest(start - {AROUND}, 0)", f"(start + length(hit) + {AROUND})")
+        return let("found", f"named_struct('gaps', {_split(text, rule)}, 'hits', {hits(text, rule.pattern)}, "
+                            f"'context', {chunks(context)})",
                    f"zip_with({offsets('found.gaps', 'found.hits')}, found.hits, "
                    f"(start, hit) -> {let('around', near, decided)})")
     if rule.group:

@@ -13,6 +13,9 @@ Notes on the Java dialect:
   dotted labels or words overflows the stack. Such repeats are written
   possessively, round by round up to the last place from which the rest of the
   pattern still matches. That finds the same text without recursion.
+* What follows the first street type of a line holds all that follows a later
+  one, so the search for a postal code after it need not be tried again: the
+  group is atomic, and the cost linear.
 """
 
 from __future__ import annotations
@@ -142,7 +145,7 @@ ADDRESSES = (
     rf"(?iU)\b\d+\s+{_NAME}{_TO_STREET}(?:\s+{_TO_STREET})*+",
     r"(?iU)\b\d+\s+(?:[A-Z][a-z]+\s+){1,3}[A-Z][a-z]+\b",
     r"(?iU)\bP\.?O\.?\s*Box\s+\d+\b",
-    rf"(?idU)(?:address|location|office|hq|headquarters|residence|property)\s*[:=-]?\s*(\d+\s+.*?{_STREET}.*?\b\d{{5}}(?:-\d{{4}})?\b)",
+    rf"(?idU)(?:address|location|office|hq|headquarters|residence|property)\s*[:=-]?\s*(\d+\s+(?>.*?{_STREET}).*?\b\d{{5}}(?:-\d{{4}})?\b)",
     r"""(?iU)\b(?:רחוב|רח\.?|שדרות|שד\.?|דרך|סמטה|כיכר)\s+[א-ת\s."'-]+\s+\d+(?:[/\-]\d+)?[א-ת]?\b""",
 )
 

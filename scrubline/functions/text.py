@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-_SHIFT = 5
-_BLOCK = 1 << _SHIFT
+_CHUNK_SHIFT = 9
+_CHUNK = 1 << _CHUNK_SHIFT
 
 
 def quote(text: str) -> str:
@@ -28,19 +28,34 @@ def total(numbers: str) -> str:
     return f"aggregate({numbers}, 0, (acc, n) -> acc + n)"
 
 
-def running_total(numbers: str) -> str:
+def running_total(numbers: str, block: int = 7, levels: int = 1) -> str:
     """Exclusive prefix sums of an array of INT.
 
     An ``aggregate`` that appends to an array copies it at every step, which is
-    quadratic on a text with many thousand hits. Two levels (sums per block of
-    32, then within the block) keep the work per element small.
+    quadratic. Instead: the sums of blocks of 2^``block``, their own prefix sums
+    (in the same way, ``levels`` deep), and the sum of what precedes within the
+    block. Small blocks and more levels suit long arrays, one level a short plan.
     """
-    per_block = (f"transform(sequence(0, shiftright(size(xs), {_SHIFT})), "
-                 f"b -> {total(f'slice(xs, b * {_BLOCK} + 1, {_BLOCK})')})")
-    before = let("sums", per_block, f"transform(sums, (_, b) -> {total('slice(sums, 1, b)')})")
-    within = total(f"slice(xs, shiftright(i, {_SHIFT}) * {_BLOCK} + 1, i % {_BLOCK})")
-    return let("xs", numbers, let(
-        "before", before, f"transform(xs, (_, i) -> get(before, shiftright(i, {_SHIFT})) + {within})"))
+    if levels == 0:
+        return let("xs", numbers, f"transform(xs, (_, i) -> {total('slice(xs, 1, i)')})")
+    block_sums = (f"transform(sequence(0, shiftright(size(xs), {block})), "
+                  f"b -> {total(f'slice(xs, b * {1 << block} + 1, {1 << block})')})")
+    within = total(f"slice(xs, shiftright(i, {block}) * {1 << block} + 1, i % {1 << block})")
+    return let("xs", numbers, let("before", running_total(block_sums, block, levels - 1), (
+        f"transform(xs, (_, i) -> get(before, shiftright(i, {block})) + {within})")))
+
+
+def chunks(text: str) -> str:
+    """The text cut into equal pieces, for ``piece``."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{_CHUNK}}}', 0)"
+
+
+def piece(cut: str, start: str, end: str) -> str:
+    """The text between two offsets. ``substring`` counts from the start of the text
+    at every call; on ``chunks`` the cost is that of the piece, wherever it lies."""
+    first = f"shiftright({start}, {_CHUNK_SHIFT})"
+    return (f"substring(array_join(slice({cut}, {first} + 1, shiftright({end}, {_CHUNK_SHIFT}) - {first} + 1), ''), "
+            f"{start} % {_CHUNK} + 1, {end} - {start})")
 
 
 def interleave(gaps: str, between: str) -> str:
@@ -54,14 +69,14 @@ def hits(text: str, pattern: str, group: int = 0) -> str:
     return f"regexp_extract_all({text}, {quote(pattern)}, {group})"
 
 
-def offsets(gaps: str, matches: str) -> str:
+def offsets(gaps: str, matches: str, block: int = 7, levels: int = 1) -> str:
     """0-based code point offset of every match, from the text between them.
 
     A match starts after all earlier gaps and matches and its own gap.
     """
     own = f"slice({gaps}, 1, size({matches}))"
     steps = f"zip_with({own}, {matches}, (gap, match) -> length(gap) + length(match))"
-    return f"zip_with({running_total(steps)}, {own}, (start, gap) -> start + length(gap))"
+    return f"zip_with({running_total(steps, block, levels)}, {own}, (start, gap) -> start + length(gap))"
 
 
 def any_contains(text: str, needles: Sequence[str]) -> str:

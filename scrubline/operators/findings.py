@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.labels import COUNTED_ENTITIES, ENTITY_LABELS
 from scrubline.functions.passes import DIGIT, matches
+from scrubline.functions.text import chunks, piece
 from scrubline.operators.redact import Redactor
 
 SPANS = "array<struct<start:int,end:int,entity_type:string,score:double>>"
@@ -55,10 +57,11 @@ def label_of(entity_type: Column, label_map: Mapping[str, str] | None = None) ->
 # Greedy choice within a set of spans sorted by rank: take each unless it overlaps one taken before.
 _TAKE = ("aggregate({spans}, slice({spans}, 1, 0), (taken, s) -> CASE WHEN "
          "exists(taken, t -> s.start < t.end AND t.start < s.end) THEN taken ELSE concat(taken, array(s)) END)")
+_BEFORE = "coalesce(get(_spans, i - 1).end, 0)"
+_LAST = "coalesce(get(_spans, size(_spans) - 1).end, 0)"
 # The text with every span of a sorted array, none overlapping, replaced by its label.
-_WRITE = ("concat_ws('', concat(transform({spans}, (s, i) -> concat(substring({text}, "
-          "coalesce(get({spans}, i - 1).end, 0) + 1, s.start - coalesce(get({spans}, i - 1).end, 0)), s.label)), "
-          "array(substring({text}, coalesce(get({spans}, size({spans}) - 1).end, 0) + 1))))")
+_WRITE = (f"concat_ws('', concat(transform(_spans, (s, i) -> concat({piece('_chunks', _BEFORE, 's.start')}, s.label)), "
+          f"array({piece('_chunks', _LAST, 'length(_text)')})))")
 
 
 def resolve_overlaps(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -95,15 +98,24 @@ def apply_findings(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", te
         found = found.withColumn("label", label_of(F.col("entity_type"), label_map))
     spans = (resolve_overlaps(found.select(id_col, "start", "end", "score", "label"), id_col)
              .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("_spans")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    done = docs.join(spans, id_col, "left").withColumn("_text", text)
+    done = docs.join(spans, id_col, "left").withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    done = done.withColumn("_chunks", F.when(F.col("_spans").isNotNull(), F.expr(chunks("_text"))))
     return done.select(
-        *(F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(
-            F.expr(_WRITE.format(spans="_spans", text="_text"))).alias(text_col) if c == text_col else F.col(c)
-          for c in docs.columns),
+        *(F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.expr(_WRITE)).alias(text_col)
+          if c == text_col else F.col(c) for c in docs.columns),
         F.coalesce(F.size("_spans"), F.lit(0)).alias("n"))
 
 
+def without_allowed(found: DataFrame, allowed: DataFrame, value_col: str = "match") -> DataFrame:
+    """Findings whose value is not on an allow list (a column ``value``, compared in lower case).
+
+    The list is joined by its measured size; a value that makes up much of the
+    findings is one row on its side, so that a skewed partition can be split.
+    """
+    listed = allowed.select(F.lower("value").alias("_allowed")).distinct()
+    return found.join(listed, F.lower(value_col) == F.col("_allowed"), "left_anti")
+
+
 def entity_stats(found: DataFrame) -> DataFrame:
     """Findings per entity type over the fixed list of types, zeros included."""
     n = found.where(F.col("entity_type").isin(*COUNTED_ENTITIES)).groupBy("entity_type").agg(F.count("*").alias("n"))
@@ -117,17 +129,42 @@ def entity_stats(found: DataFrame) -> DataFrame:
 Recognizer = Callable[[str], Sequence[tuple[int, int, str, float]]]
 
 
-def _recognizing(load: Callable[[], Recognizer]):
-    """A vectorized function of texts; the model is loaded once per worker task, not per text."""
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        recognize = load()
+def _vectorized(load: Callable[[], Recognizer], of: Callable[[str, list], object], returns: str):
+    """A vectorized function of texts: ``of`` a text and what is found in it.
+
+    The recognizer is loaded once per worker task, not per text.
+    """
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        recognizer = load()
         for texts in batches:
-            yield texts.map(lambda text: [
-                {"start": int(start), "end": int(end), "entity_type": kind, "score": float(score)}
-                for start, end, kind, score in (recognize(text) if text else ())])
+            results = [of(text, list(recognizer(text)) if text else []) for text in texts]
+            yield pd.DataFrame(results) if returns.startswith("text") else pd.Series(results, dtype=object)
+
+    result = pd.DataFrame if returns.startswith("text") else pd.Series
+    column.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[result]}
+    return F.pandas_udf(column, returns)
+
+
+def _spans(text: str, found: list) -> list[dict]:
+    return [{"start": int(start), "end": int(end), "entity_type": kind, "score": float(score)}
+            for start, end, kind, score in found]
+
+
+def _written(label_map: Mapping[str, str]) -> Callable[[str, list], dict]:
+    """The text with the findings replaced: higher score first, then longer, then earlier."""
+    def write(text: str, found: list) -> dict:
+        taken: list[tuple[int, int, str]] = []  # sorted by start, none overlapping
+        for start, end, kind, _ in sorted(found, key=lambda s: (-s[3], s[0] - s[1], s[0])):
+            at = bisect_left(taken, (start,))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (start, end, label_map.get(kind, f"<{kind}>")))
+        parts, last = [], 0
+        for start, end, label in taken:
+            parts += (text[last:start], label)
+            last = end
+        return {"text": "".join((*parts, text[last:])), "n": len(taken)}
 
-    spans.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(spans, SPANS)
+    return write
 
 
 def recognize(df: DataFrame, load: Callable[[], Recognizer], id_cols: Sequence[str] = ("doc_id",),
@@ -139,7 +176,7 @@ def recognize(df: DataFrame, load: Callable[[], Recognizer], id_cols: Sequence[s
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (df.select(*id_cols, text.alias("_text"))
-            .withColumn("_spans", _recognizing(load)(F.col("_text")))
+            .withColumn("_spans", _vectorized(load, _spans, SPANS)(F.col("_text")))
             .select(*id_cols, "_text", F.explode("_spans").alias("s"))
             .select(*id_cols, "s.entity_type", "s.start", "s.end",
                     F.col("_text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("match"),
@@ -149,13 +186,7 @@ def recognize(df: DataFrame, load: Callable[[], Recognizer], id_cols: Sequence[s
 def redact_entities(df: DataFrame, load: Callable[[], Recognizer], text_col: str = "text",
                     label_map: Mapping[str, str] | None = None) -> DataFrame:
     """Redact what a recognizer finds, within the row: no shuffle and no join. Adds ``n``."""
-    done = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    done = done.withColumn("_found", _recognizing(load)(F.col("_text")))
-    done = done.withColumn("_ranked", F.array_sort(F.transform("_found", lambda s: F.struct(
-        (-s["score"]).alias("rank"), (s["start"] - s["end"]).alias("shortness"), s["start"].alias("start"),
-        s["end"].alias("end"), label_of(s["entity_type"], label_map).alias("label")))))
-    done = done.withColumn("_spans", F.expr(
-        f"array_sort(transform({_TAKE.format(spans='_ranked')}, s -> named_struct("
-        "'start', s.start, 'end', s.end, 'label', s.label)))"))
-    return done.select(*(F.expr(_WRITE.format(spans="_spans", text="_text")).alias(c) if c == text_col else F.col(c)
-                         for c in df.columns), F.size("_spans").alias("n"))
+    write = _vectorized(load, _written(ENTITY_LABELS if label_map is None else dict(label_map)), "text string, n int")
+    done = df.withColumn("_done", write(F.coalesce(F.col(text_col), F.lit(""))))
+    return done.select(*(F.col("_done.text").alias(c) if c == text_col else F.col(c) for c in df.columns),
+                       F.col("_done.n").alias("n"))

@@ -108,12 +108,12 @@ def redact_lines(df: DataFrame, text_col: str = "text", redactor: Redactor | Non
     return done.select(
         *rest,
         F.array_join(F.col("_done.t"), "\n").alias(text_col),
-        F.size(F.filter("_lines", lambda line: ~_blank(line))).alias("n_blocks"),
+        F.size(F.filter("_lines", _not_blank)).alias("n_blocks"),
         F.size(F.filter(F.zip_with("_lines", "_done.t", lambda old, new: old != new), lambda x: x)).alias("n_changed"))
 
 
-def _blank(text: Column) -> Column:
-    return ~text.rlike(r"(?U)\S")
+def _not_blank(text: Column) -> Column:
+    return text.rlike(r"(?U)\S")
 
 
 def redact_blocks(blocks: DataFrame, redactor: Redactor | None = None, text_col: str = "text") -> DataFrame:
@@ -128,6 +128,20 @@ def redact_blocks(blocks: DataFrame, redactor: Redactor | None = None, text_col:
                        (redacted != F.coalesce(F.col(text_col), F.lit(""))).alias("changed"))
 
 
+def assemble_blocks(blocks: DataFrame, id_col: str = "doc_id", order_col: str = "block_no",
+                    text_col: str = "redacted", separator: str = "\n") -> DataFrame:
+    """Documents from their blocks in order: ``text``, ``n_blocks`` and ``n_changed``.
+
+    What is gathered for a key is one document, the size of the result. Where the
+    lines stand in one row to begin with, ``redact_lines`` needs no shuffle.
+    """
+    parts = F.array_sort(F.collect_list(F.struct(order_col, text_col)))
+    return blocks.groupBy(id_col).agg(
+        F.array_join(parts[text_col], separator).alias("text"),
+        F.count_if(_not_blank(F.col(text_col))).cast("int").alias("n_blocks"),
+        F.count_if("changed").cast("int").alias("n_changed"))
+
+
 def redact_table(df: DataFrame, redactor: Redactor | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Every STRING column of a table, or those named; other types and NULLs are untouched.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from scrubline.operators import audit
 from scrubline.operators.chain import method_chain
 from scrubline.operators.dictionary import recognize_dictionary, redact_dictionary
-from scrubline.operators.findings import apply_findings, entity_stats, findings, with_luhn
+from scrubline.operators.findings import (
+    apply_findings, entity_stats, findings, recognize, redact_entities, with_luhn, without_allowed)
 from scrubline.operators.redact import (
-    Redactor, redact, redact_blocks, redact_column, redact_lines, redact_markup, redact_nested, redact_table)
+    Redactor, assemble_blocks, redact, redact_blocks, redact_column, redact_json_text, redact_lines, redact_markup,
+    redact_nested, redact_table)
 from scrubline.sources.files import run_metrics, spread_out
 from scrubline.streaming.redact_stream import utc, windowed_counts
 
@@ -155,6 +158,10 @@ def redact_blocks_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "block_no", "kind", "redacted", "changed")
 
 
+def assemble_blocks_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble_blocks(redact_blocks_job(spark, sf_dir))
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", F.expr("concat(lower(c_mktsegment), '.', c_custkey, '@mail.example.com')").alias("email"),
@@ -177,6 +184,14 @@ def redact_nested_job(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("body.value").alias("value"))
 
 
+def redact_json_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON as printed text: a bare number taken for an id ends its being JSON."""
+    printed = spread_out(table(spark, sf_dir, "events")).select("event_id", F.expr(
+        "concat('{\"props\": ', props, ', \"mail\": \"', event_type, user_id, '@example.org\"', "
+        "CASE event_type WHEN 'signup' THEN concat(', \"id\": ', 100000000 + event_id) ELSE '' END, '}')").alias("json"))
+    return redact_json_text(printed, "json", Redactor(detectors=("emails", "ids")))
+
+
 def _markup(text_nodes_only: bool) -> Job:
     def job(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = spread_out(table(spark, sf_dir, "pages").select("page_id", F.expr(
@@ -206,6 +221,27 @@ def _chain(*methods: str) -> Job:
     return job
 
 
+def load_mail_recognizer():
+    """Stands for a model: finds e-mail addresses, with a score."""
+    mail = re.compile(r"[\w.+-]+@(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,6}")
+    return lambda text: [(m.start(), m.end(), "EMAIL_ADDRESS", 0.9) for m in mail.finditer(text)]
+
+
+def recognize_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognize(documents(spark, sf_dir), load_mail_recognizer)
+
+
+def redact_entities_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_entities(documents(spark, sf_dir), load_mail_recognizer)
+
+
+def allowed_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary findings but for those on an allow list: here the words of seven letters."""
+    allowed = table(spark, sf_dir, "benchmark").select(
+        F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("value")).where(F.length("value") == 7)
+    return without_allowed(dictionary_job(spark, sf_dir), allowed)
+
+
 def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.profile_documents(table(spark, sf_dir, "documents"))
 
@@ -309,10 +345,15 @@ JOBS: dict[str, Job] = {
     "entity_stats": entity_stats_job,
     "redact_dictionary": redact_dictionary_job,
     "redact_dictionary_joined": redact_dictionary_joined,
+    "recognize_model": recognize_job,
+    "redact_entities": redact_entities_job,
+    "findings_not_allowed": allowed_job,
     "redact_lines": redact_lines_job,
     "redact_blocks": redact_blocks_job,
+    "assemble_blocks": assemble_blocks_job,
     "redact_table": redact_table_job,
     "redact_nested": redact_nested_job,
+    "redact_json_text": redact_json_job,
     "redact_markup": _markup(False),
     "redact_markup_text": _markup(True),
     "redact_conversations": redact_conversations,

@@ -56,6 +56,7 @@ def counted(source: str, keys: str, steps: Sequence[str], needles: Sequence[str]
 
 _DOT = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\."
 EMAIL = rf"[a-zA-Z0-9!#$%&'*+/=?^_`{{|}}~.-]+@((?:{_DOT})+[a-zA-Z]{{2,6}})"
+MODEL_EMAIL = r"[\p{L}\p{N}_.+-]+@(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,6}"
 EMAILS = [replaced("t", EMAIL, r"[EMAIL:\1]")]
 
 _WORD = r"[\p{L}\p{N}_]"
@@ -422,17 +423,30 @@ ORACLES: dict[str, str] = {
         LEFT JOIN ({_known()}) f USING (entity_type) GROUP BY t.entity_type""",
     "redact_dictionary": _dictionary_redacted(),
     "redact_dictionary_joined": _dictionary_redacted(),
+    "recognize_model": f"""SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, start, "end", match, CAST(0.9 AS DOUBLE) AS score
+        FROM ({_matches('emails', 1, MODEL_EMAIL, "''")})""",
+    "redact_entities": counted(DOCUMENTS, "doc_id", [replaced("t", MODEL_EMAIL, "[EMAIL]")], ("[EMAIL]",)),
+    "findings_not_allowed": f"""SELECT * FROM ({_known()}) WHERE lower(match) NOT IN (
+        SELECT keyword FROM ({GAZETTEER}) WHERE length(keyword) = 7 AND entity_type = 'COMPANY')""",
     "redact_lines": f"""SELECT b.doc_id, string_agg(t, chr(10) ORDER BY block_no) AS text,
         CAST(count(*) FILTER (trim(o, ' ' || chr(9) || chr(13)) <> '') AS INTEGER) AS n_blocks,
         CAST(count(*) FILTER (t <> o) AS INTEGER) AS n_changed
         FROM ({chain(BLOCKS, 'doc_id, block_no', PLAIN_STEPS)}) b GROUP BY b.doc_id""",
     "redact_blocks": f"""SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, 'body' AS kind, t AS redacted, t <> o AS changed
         FROM ({chain(BLOCKS, 'doc_id, block_no', SIMPLE)})""",
+    "assemble_blocks": f"""SELECT doc_id, string_agg(t, chr(10) ORDER BY block_no) AS text,
+        CAST(count(*) FILTER (trim(t, ' ' || chr(9) || chr(13)) <> '') AS INTEGER) AS n_blocks,
+        CAST(count(*) FILTER (t <> o) AS INTEGER) AS n_changed
+        FROM ({chain(BLOCKS, 'doc_id, block_no', SIMPLE)}) GROUP BY doc_id""",
     "redact_table": f"""SELECT c_custkey, c_name, {EMAILS[0].replace('(t,', '(email,')} AS email,
         {relabel('ip', IPV4, IPV4_LABEL)} AS ip, c_nationkey, c_acctbal FROM ({CONTACTS})""",
     "redact_nested": f"""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type AS type,
         '[EMAIL:example.org]' AS contact, event_type AS kind, '[PRIVATE_IPV4]' AS host, CAST(NULL AS VARCHAR) AS host_to,
         value FROM events""",
+    "redact_json_text": f"""SELECT event_id, concat('{{"props": ', props, ', "mail": "[EMAIL:example.org]"',
+        CASE event_type WHEN 'signup' THEN ', "id": [NATIONAL_ID:IL]' ELSE '' END, '}}') AS json,
+        CAST(CASE event_type WHEN 'signup' THEN 2 ELSE 1 END AS INTEGER) AS n, event_type <> 'signup' AS is_json
+        FROM events""",
     "redact_markup": counted(PAGES, "page_id", SIMPLE, SIMPLE_LABELS, "html"),
     "redact_markup_text": _text_nodes(),
     "redact_conversations": counted(TURNS, "conv_id, turn", SIMPLE, SIMPLE_LABELS),
