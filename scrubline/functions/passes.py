@@ -21,45 +21,27 @@ def may_match(text: str, rule: Rule, has_digit: str | None = None) -> str:
     return " AND ".join(tests)
 
 
-def _split(text: str, rule: Rule) -> str:
-    return f"split({text}, {quote(rule.pattern)}, -1)"
+def _split(text: str, pattern: str) -> str:
+    return f"split({text}, {quote(pattern)}, -1)"
 
 
-def _decide(text: str, rule: Rule, result: str, context: str) -> str:
-    """``result``, an expression that uses ``label`` and ``hit``, for every match of a text.
+def _decide(text: str, rule: Rule, result: str, context: str, pattern: str, kept: str = "") -> str:
+    """``result``, an expression over ``label`` and ``hit``, for every match of ``pattern`` in a text.
 
     The neighbourhood of a match is read from ``context`` at its offset in ``text``.
+    ``kept`` is a pattern of matches that are to stay.
     """
-    if rule.constant is not None:
-        return f"transform({hits(text, rule.pattern)}, hit -> {let('label', quote(rule.constant), result)})"
-    decided = let("label", rule.label, result)
+    label = quote(rule.constant) if rule.constant is not None else f"({rule.label})"
+    decided = let("label", f"CASE WHEN NOT hit RLIKE {quote(kept)} THEN {label} END" if kept else label, result)
     if rule.around:
         near = piece("found.context", f"greatest(start - {AROUND}, 0)", f"(start + length(hit) + {AROUND})")
-        return let("found", f"named_struct('gaps', {_split(text, rule)}, 'hits', {hits(text, rule.pattern)}, "
+        return let("found", f"named_struct('gaps', {_split(text, pattern)}, 'hits', {hits(text, pattern)}, "
                             f"'context', {chunks(context)})",
                    f"zip_with({offsets('found.gaps', 'found.hits')}, found.hits, "
                    f"(start, hit) -> {let('around', near, decided)})")
     if rule.group:
-        return (f"zip_with({hits(text, rule.pattern)}, {hits(text, rule.pattern, rule.group)}, "
-                f"(hit, value) -> {decided})")
-    return f"transform({hits(text, rule.pattern)}, hit -> {decided})"
-
-
-def _replace(text: str, rule: Rule, context: str) -> tuple[str, str, str]:
-    """A variable and its value, and over it ``(t, y)``: the text with every match
-    replaced and one entry for each that was."""
-    if rule.constant is not None:
-        label = rule.constant.replace("\\", "\\\\").replace("$", "\\$")
-        return "", "", (f"named_struct('t', regexp_replace({text}, {quote(rule.pattern)}, {quote(label)}), "
-                        f"'y', array_repeat(true, regexp_count({text}, {quote(rule.pattern)})))")
-    written = _decide(text, rule, "named_struct('w', coalesce(label, hit), 'y', label IS NOT NULL)", context)
-    return "new", written, (f"named_struct('t', {interleave(_split(text, rule), 'new.w')}, "
-                            "'y', array_remove(new.y, false))")
-
-
-def _bound(parts: tuple[str, str, str]) -> str:
-    name, value, body = parts
-    return let(name, value, body) if name else body
+        return f"zip_with({hits(text, pattern)}, {hits(text, pattern, rule.group)}, (hit, value) -> {decided})"
+    return f"transform({hits(text, pattern)}, hit -> {decided})"
 
 
 def start(text: str, profile: str) -> str:
@@ -76,20 +58,28 @@ def start(text: str, profile: str) -> str:
 
 
 def apply_rule(state: str, rule: Rule, detector_no: int, profile: str) -> str:
-    """The state after one more pass; untouched where the rule finds nothing."""
+    """The state after one more pass; untouched where the rule finds nothing.
+
+    In profile ``fixed`` the labels of earlier passes are matched along with the
+    rule and stay as they are, so no rule ever starts inside a label.
+    """
     text = f"{state}.t"
-    kept = f"'d', {state}.d" + (f", 'o', {state}.o" if profile == "ref" else "")
+    rest = f"'d', {state}.d" + (f", 'o', {state}.o" if profile == "ref" else "")
     if profile == "ref":
-        new = let("r", _bound(_replace(text, rule, f"{state}.o")), (
-            f"named_struct('t', r.t, 'c', concat({state}.c, array_repeat({detector_no}, size(r.y))), {kept})"))
+        pattern, kept, context = rule.pattern, "", f"{state}.o"
+    else:
+        pattern, kept, context = f"{ANY_LABEL}|{rule.pattern}", f"^{ANY_LABEL}$", text
+    if rule.constant is not None and not kept:
+        label = rule.constant.replace("\\", "\\\\").replace("$", "\\$")
+        replaced = f"regexp_replace({text}, {quote(pattern)}, {quote(label)})"
+        new = (f"named_struct('t', {replaced}, 'c', concat({state}.c, array_repeat({detector_no}, "
+               f"regexp_count({text}, {quote(pattern)}))), {rest})")
     else:
-        # labels of earlier passes are left alone: the rule runs on the text between them
-        pieces = (f"transform(split({text}, {quote(ANY_LABEL)}, -1), piece -> CASE WHEN piece RLIKE "
-                  f"{quote(rule.pattern)} THEN {_bound(_replace('piece', rule, 'piece'))} "
-                  f"ELSE named_struct('t', piece, 'y', CAST(array() AS ARRAY<BOOLEAN>)) END)")
-        new = let("r", pieces, (
-            f"named_struct('t', {interleave('r.t', hits(text, ANY_LABEL))}, "
-            f"'c', concat({state}.c, array_repeat({detector_no}, size(flatten(r.y)))), {kept})"))
+        written = _decide(text, rule, "named_struct('w', coalesce(label, hit), 'y', label IS NOT NULL)",
+                          context, pattern, kept)
+        new = let("new", written, (
+            f"named_struct('t', {interleave(_split(text, pattern), 'new.w')}, 'c', concat({state}.c, "
+            f"array_repeat({detector_no}, size(array_remove(new.y, false)))), {rest})"))
     return f"CASE WHEN {may_match(text, rule, f'{state}.d')} THEN {new} ELSE {state} END"
 
 
@@ -104,11 +94,11 @@ def matches(text: str, rule: Rule, has_digit: str | None = None) -> str:
 
     NULL, not an empty array, where there are none.
     """
-    found = let("found", f"named_struct('gaps', {_split(text, rule)}, 'hits', {hits(text, rule.pattern)})",
+    found = let("found", f"named_struct('gaps', {_split(text, rule.pattern)}, 'hits', {hits(text, rule.pattern)})",
                 offsets("found.gaps", "found.hits"))
     value = hits(text, rule.pattern, rule.group) if rule.group else hits(text, rule.pattern)
     # fields of a zip of expressions are named by their position
-    parts = f"arrays_zip({found}, {hits(text, rule.pattern)}, {value}, {_decide(text, rule, 'label', text)})"
+    parts = f"arrays_zip({found}, {hits(text, rule.pattern)}, {value}, {_decide(text, rule, 'label', text, rule.pattern)})"
     rows = (f"transform(filter({parts}, m -> m.`3` IS NOT NULL), (m, i) -> named_struct("
             f"'detector', {quote(rule.detector)}, 'rule_no', {rule.no}, 'ord', i, 'start', m.`0`, "
             f"'end', m.`0` + length(m.`1`), 'match', m.`1`, 'value', m.`2`, 'label', m.`3`))")
