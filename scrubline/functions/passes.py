@@ -69,17 +69,17 @@ def apply_rule(state: str, rule: Rule, detector_no: int, profile: str) -> str:
         pattern, kept, context = rule.pattern, "", f"{state}.o"
     else:
         pattern, kept, context = f"{ANY_LABEL}|{rule.pattern}", f"^{ANY_LABEL}$", text
-    if rule.constant is not None and not kept:
+    written = _decide(text, rule, "named_struct('w', coalesce(label, hit), 'y', label IS NOT NULL)",
+                      context, pattern, kept)
+    new = let("new", written, (
+        f"named_struct('t', {interleave(_split(text, pattern), 'new.w')}, 'c', concat({state}.c, "
+        f"array_repeat({detector_no}, size(array_remove(new.y, false)))), {rest})"))
+    if rule.constant is not None:
+        # one plain replacement where there is no label to be kept
         label = rule.constant.replace("\\", "\\\\").replace("$", "\\$")
-        replaced = f"regexp_replace({text}, {quote(pattern)}, {quote(label)})"
-        new = (f"named_struct('t', {replaced}, 'c', concat({state}.c, array_repeat({detector_no}, "
-               f"regexp_count({text}, {quote(pattern)}))), {rest})")
-    else:
-        written = _decide(text, rule, "named_struct('w', coalesce(label, hit), 'y', label IS NOT NULL)",
-                          context, pattern, kept)
-        new = let("new", written, (
-            f"named_struct('t', {interleave(_split(text, pattern), 'new.w')}, 'c', concat({state}.c, "
-            f"array_repeat({detector_no}, size(array_remove(new.y, false)))), {rest})"))
+        plain = (f"named_struct('t', regexp_replace({text}, {quote(rule.pattern)}, {quote(label)}), 'c', "
+                 f"concat({state}.c, array_repeat({detector_no}, regexp_count({text}, {quote(rule.pattern)}))), {rest})")
+        new = f"CASE WHEN {text} RLIKE {quote(ANY_LABEL)} THEN {new} ELSE {plain} END" if kept else plain
     return f"CASE WHEN {may_match(text, rule, f'{state}.d')} THEN {new} ELSE {state} END"
 
 

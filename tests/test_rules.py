@@ -91,7 +91,7 @@ def test_long_texts_do_not_overflow_the_stack(spark):
     words = "5 " + "alpha beta " * 10_000 + "street"
     dots = "x@" + "a." * 20_000 + "com"
     texts = [words, dots, "a." * 30_000 + "com", "12 " * 20_000, "address: 1 st " + "st " * 20_000, "4" * 50_000,
-             "+/" * 20_000 + "_", "@" * 20_000]
+             "+/" * 20_000 + "_", "@" * 20_000, "x" * 100_000]
     for profile in ("fixed", "ref"):
         assert len(run(spark, texts, profile=profile)) == len(texts)
 
