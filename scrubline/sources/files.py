@@ -39,11 +39,13 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """Whole files as documents: ``path, size, extension, mime_type, format, encoding, lines, text``.
+    """Whole files as documents: ``path, size, extension, mime_type, format, encoding, text, lines, rows, columns``.
+
+    ``rows`` and ``columns`` (of the first row) are those of csv and tsv files.
 
     Bytes that are not valid UTF-8 are read as ISO-8859-1 and flagged; a file of
     unknown extension is text if it is valid UTF-8 and ``unsupported`` otherwise.
-    Containers and archives have a row but no text.
+    Containers and archives have a row but no text. Files of length 0 have no row.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -62,7 +64,16 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str | N
         "path", "size", "extension", _lookup(F.col("extension"), MIME_TYPES).alias("mime_type"), "format",
         F.when(has_text, encoding).alias("encoding"), F.when(has_text, text).otherwise("").alias("text"))
     lines = F.when(F.col("format").isin(*TEXT_FORMATS), F.regexp_count("text", F.lit("\n")) + 1)
-    return done.withColumn("lines", lines)
+    # records end at line ends outside quotes; what stands in quotes is of no account here
+    records = F.split(F.regexp_replace("text", '"[^"]*"', '""'), "\r\n|\r|\n", -1)
+    delimited = F.col("format").isin(*DELIMITERS)
+    done = done.withColumn("lines", lines).withColumn("_records", F.when(delimited, records))
+    ends = F.when(F.element_at("_records", -1) == "", 1).otherwise(0)
+    first = F.element_at("_records", 1)
+    columns = F.when(first == "", 0).otherwise(
+        F.length(first) - F.length(F.replace(first, _lookup(F.col("format"), DELIMITERS))) + 1)
+    return (done.withColumn("rows", F.size("_records") - ends).withColumn("columns", F.when(delimited, columns))
+            .withColumn("rows", F.when(delimited, F.col("rows"))).drop("_records"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
