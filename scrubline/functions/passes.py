@@ -7,16 +7,22 @@ from scrubline.functions.rules import Rule
 from scrubline.functions.text import any_contains, chunks, hits, interleave, let, offsets, piece, quote
 
 AROUND = 30  # fixed value: characters on either side of a date that tell its purpose
-DIGIT = r"\p{Nd}"
 
 
-def may_match(text: str, rule: Rule, has_digit: str | None = None) -> str:
+def digits(text: str) -> str:
+    """How many digits a text has."""
+    return (f"CASE WHEN {text} RLIKE {quote(r'\p{Nd}')} "
+            f"THEN length(regexp_replace({text}, {quote(r'\P{Nd}+')}, '')) ELSE 0 END")
+
+
+def may_match(text: str, rule: Rule, n_digits: str) -> str:
     """Whether the rule matches anywhere, the cheap tests first."""
-    tests = []
-    if rule.needs_digit:
-        tests.append(has_digit or f"{text} RLIKE {quote(DIGIT)}")
+    tests = [f"{n_digits} >= {rule.needs_digits}"] if rule.needs_digits else []
     if rule.needs:
         tests.append(any_contains(text, rule.needs))
+    if rule.needs_words:
+        # the long s is an s to a pattern that ignores case, but is no capital
+        tests.append(f"({any_contains(f'lower({text})', rule.needs_words)} OR contains({text}, 'ſ'))")
     tests += [f"{text} RLIKE {quote(p)}" for p in (rule.needs_pattern, rule.pattern) if p]
     return " AND ".join(tests)
 
@@ -46,15 +52,15 @@ def _decide(text: str, rule: Rule, result: str, context: str, pattern: str, kept
 
 def start(text: str, profile: str) -> str:
     """State of one text: ``t`` as redacted so far, ``c`` the number of the detector
-    of every replacement, ``d`` whether there is a digit at all.
+    of every replacement, ``d`` how many digits there are.
 
     Profile ``ref`` reads the purpose of a date from the original, kept in ``o``.
-    NULL becomes the empty text. No label brings the first digit into a text in a
-    place where a rule that needs one could match, so ``d`` is found only once.
+    NULL becomes the empty text. No rule matches the digits labels bring into a
+    text, so they are counted only once.
     """
     original = f", 'o', coalesce({text}, '')" if profile == "ref" else ""
     return (f"named_struct('t', coalesce({text}, ''), 'c', CAST(array() AS ARRAY<INT>), "
-            f"'d', coalesce({text}, '') RLIKE {quote(DIGIT)}{original})")
+            f"'d', {digits(f"coalesce({text}, '')")}{original})")
 
 
 def apply_rule(state: str, rule: Rule, detector_no: int, profile: str) -> str:
@@ -89,7 +95,7 @@ def counts(state: str, n_detectors: int) -> str:
             f"no -> size(filter({state}.c, c -> c = no)))")
 
 
-def matches(text: str, rule: Rule, has_digit: str | None = None) -> str:
+def matches(text: str, rule: Rule, n_digits: str) -> str:
     """All matches of one rule in the text as it is, as an array of finding structs.
 
     NULL, not an empty array, where there are none.
@@ -102,4 +108,4 @@ def matches(text: str, rule: Rule, has_digit: str | None = None) -> str:
     rows = (f"transform(filter({parts}, m -> m.`3` IS NOT NULL), (m, i) -> named_struct("
             f"'detector', {quote(rule.detector)}, 'rule_no', {rule.no}, 'ord', i, 'start', m.`0`, "
             f"'end', m.`0` + length(m.`1`), 'match', m.`1`, 'value', m.`2`, 'label', m.`3`))")
-    return f"CASE WHEN {may_match(text, rule, has_digit)} THEN {rows} END"
+    return f"CASE WHEN {may_match(text, rule, n_digits)} THEN {rows} END"

@@ -47,8 +47,8 @@ class Rule:
     ``constant``: the label of every match; otherwise ``label`` is a SQL expression
     (see ``functions.labels``) and ``group`` the one that captures its ``value``.
     ``needs``: literals of which a text must hold one for the pattern to be able
-    to match, ``needs_pattern`` a cheap pattern, ``needs_digit`` a digit; without
-    them the costly search is skipped. ``around``: the label looks at the neighbourhood.
+    to match, ``needs_words`` the same in any case, ``needs_pattern`` a cheap pattern, ``needs_digits`` a number of digits;
+    without them the costly search is skipped. ``around``: the label looks at the neighbourhood.
     """
 
     detector: str
@@ -58,8 +58,9 @@ class Rule:
     label: str = ""
     group: int = 0
     needs: tuple[str, ...] = ()
+    needs_words: tuple[str, ...] = ()
     needs_pattern: str | None = None
-    needs_digit: bool = False
+    needs_digits: int = 0
     around: bool = False
 
 
@@ -187,7 +188,7 @@ for _no in range(1, 10):
 # the number must not be cut short, whether a currency word follows or not
 FIXED_PATTERNS["money", 9] = FIXED_PATTERNS["money", 9].replace(_FULL_AMOUNT, _FULL_AMOUNT + r"(?!\d)")
 
-# Literals without which a pattern cannot match.
+# Literals without which a pattern cannot match.
 _NEEDS: dict[tuple[str, int], tuple[str, ...]] = {
     ("emails", 1): ("@",),
     ("domains", 1): (".",),
@@ -196,8 +197,8 @@ _NEEDS: dict[tuple[str, int], tuple[str, ...]] = {
     ("api_keys", 3): ("A3T", "AMZN", "ASCA", "AGPA"),
     ("api_keys", 4): ("AIza",),
     ("api_keys", 5): ("-",),
-    ("api_keys", 6): ("_live_", "_test_"),
-    ("api_keys", 7): ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    ("api_keys", 6): ("_",),
+    ("api_keys", 7): ("_",),
     ("api_keys", 8): ("xox",),
     ("api_keys", 9): ("EAACEdEose0cBA",),
     ("money", 1): ("$",),
@@ -210,9 +211,14 @@ _NEEDS: dict[tuple[str, int], tuple[str, ...]] = {
     ("passwords", 3): (":",),
     ("passwords", 4): (".eyJ",),
 }
-_NEEDS_DIGIT = frozenset({"credit_cards", "money", "phones", "ids", "ips", "addresses", "dates"})
-_NEEDS_PATTERN = {("ips", 1): r"[0-9]\.[0-9]", ("ips", 2): "::|[0-9a-fA-F]:[0-9a-fA-F]", ("ids", 3): "(?iu)passport",
-                  ("ids", 5): "(?iu)emp|staff", ("domains", 1): r"[a-zA-Z0-9]\.[a-zA-Z]"}
+_NEEDS_PATTERN = {("ips", 1): r"[0-9]\.[0-9]", ("ips", 2): "::|[0-9a-fA-F]:[0-9a-fA-F]", ("domains", 1): r"\.[a-zA-Z]"}
+# Words, in lower case, without which a pattern that ignores case cannot match.
+_NEEDS_WORDS = {("ids", 3): ("passport",), ("ids", 5): ("emp", "staff")}
+# The fewest digits a match can have, pattern by pattern.
+_NEEDS_DIGITS = {
+    "credit_cards": (13, 16, 15, 16, 13), "money": (1,) * 9, "phones": (6, 10, 9, 10, 1), "ids": (9, 9, 0, 6, 0),
+    "ips": (4, 0), "addresses": (1, 1, 1, 6, 1), "dates": (4, 6, 3, 3, 3),
+}
 
 _LABELS = {
     "emails": labels.email,
@@ -289,8 +295,9 @@ def rules(profile: str = "fixed", keywords: Sequence[str] = (), detectors: Itera
                 "" if constant else _LABELS[detector]("value" if group else "hit"),
                 group,
                 needs=_NEEDS.get(key, ()),
+                needs_words=_NEEDS_WORDS.get(key, ()),
                 needs_pattern=_NEEDS_PATTERN.get(key),
-                needs_digit=detector in _NEEDS_DIGIT,
+                needs_digits=_NEEDS_DIGITS[detector][no - 1] if detector in _NEEDS_DIGITS else 0,
                 around=detector == "dates"))
         table.extend(r for r in extra if r.detector == detector)
     return table

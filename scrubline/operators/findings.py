@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions.labels import COUNTED_ENTITIES, ENTITY_LABELS
-from scrubline.functions.passes import DIGIT, matches
+from scrubline.functions.passes import digits, matches
 from scrubline.functions.text import chunks, piece
 from scrubline.operators.redact import Redactor
 
@@ -29,8 +29,8 @@ def findings(df: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_col: str
     r = redactor or Redactor()
     if not r.rules:
         raise ValueError("no rules chosen")
-    texts = df.select(*id_cols, F.col(text_col).alias("_text")).withColumn("_digit", F.col("_text").rlike(DIGIT))
-    per_rule = ", ".join(matches("_text", rule, "_digit") for rule in r.rules)
+    texts = df.select(*id_cols, F.col(text_col).alias("_text")).withColumn("_digits", F.expr(digits("_text")))
+    per_rule = ", ".join(matches("_text", rule, "_digits") for rule in r.rules)
     return (texts.select(*id_cols, F.explode(F.expr(f"flatten(array_compact(array({per_rule})))")).alias("f"))
             .select(*id_cols, "f.*", F.lit(1.0).alias("score")))
 
