@@ -384,14 +384,17 @@ def _luhn(number: str) -> str:
 
 def _cards() -> str:
     """Card numbers with their offsets: the left neighbour is taken off again, the right one must not be a digit."""
-    whole = f"{_LEFT}({CARD_PATTERNS[0]})"
-    first = f"length(regexp_extract(match, {q('^' + whole + '$')}, 1))"
-    number = f"regexp_extract(match, {q('^' + whole + '$')}, 2)"
-    visa = _matches("credit_cards", 1, whole, "''")
+    parts = []
+    for no, pattern in enumerate(CARD_PATTERNS, start=1):
+        whole = f"{_LEFT}({pattern})"
+        first = f"length(regexp_extract(match, {q('^' + whole + '$')}, 1))"
+        number = f"regexp_extract(match, {q('^' + whole + '$')}, 2)"
+        parts.append(f"""SELECT doc_id, start + {first} AS s, {number} AS m
+            FROM ({_matches("credit_cards", no, whole, "''")}) WHERE NOT regexp_matches(rest, '^[0-9]')""")
+    rows = " UNION ALL ".join(f"({p})" for p in parts)
     return f"""SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(s + length(m) AS INTEGER) AS "end", m AS match,
         {_CARD.replace('{n}', 'm')} AS label, {_luhn("regexp_replace(m, '[^0-9]', '', 'g')")} AS luhn_valid
-        FROM (SELECT doc_id, start + {first} AS s, {number} AS m FROM ({visa})
-            WHERE NOT regexp_matches(rest, '^[0-9]'))"""
+        FROM ({rows})"""
 
 
 ORACLES: dict[str, str] = {

@@ -132,6 +132,16 @@ def write_table(df: DataFrame, path: str, fmt: str, partition_by: Sequence[str]
         raise ValueError(f"unknown table format {fmt!r}: a redacted pdf or binary cannot be written")
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, id_col: str = "doc_id") -> None:
+    """A corpus laid out by document id.
+
+    Findings made from such a table stay in their bucket, so resolving their
+    overlaps and bringing them back to the texts needs no shuffle at all. Choose
+    the number of buckets so that one is a few hundred megabytes.
+    """
+    df.write.bucketBy(buckets, id_col).sortBy(id_col).saveAsTable(table)
+
+
 RUN_METRICS = "run_id STRING, job STRING, detector STRING, n BIGINT, docs BIGINT, chars BIGINT, seconds DOUBLE"
 
 

@@ -12,6 +12,7 @@ from scrubline.operators.dictionary import recognize_dictionary, redact_dictiona
 from scrubline.operators.findings import (
     apply_findings, entity_stats, findings, recognize, redact_entities, resolve_overlaps, with_luhn, without_allowed)
 from scrubline.operators.redact import Redactor, redact, redact_column
+from scrubline.sources.files import write_bucketed
 from tests import brute
 from tests.cases import CASES, EDGE, KEYWORDS, REPORT
 
@@ -132,6 +133,20 @@ def test_resolve_shuffles_by_document_only(spark):
     assert plan.count("Exchange") == 2  # copies merged, then documents
 
 
+def test_a_bucketed_corpus_is_not_shuffled(spark, docs, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}'")
+    try:
+        write_bucketed(docs, "bucketed.docs", 4)
+        table, r = spark.table("bucketed.docs"), Redactor(detectors=("emails", "ips"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        done = apply_findings(table, findings(table, redactor=r))
+        assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+        assert sorted(done.collect()) == sorted(redact_column(docs, "text", r).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE IF EXISTS bucketed CASCADE")
+
+
 DICTIONARY = [("Acme", "COMPANY"), ("Acme Corp", "COMPANY"), ("new york", "LOCATION"), ("été", "PERSON"), ("it is", "URL")]
 
 
