@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.labels import COUNTED_ENTITIES, ENTITY_LABELS
 from scrubline.functions.text import chunks, offsets, piece, running_total
-from scrubline.operators.chain import method_chain
+from scrubline.operators.chain import method_chain, redact_blocks_with
 from scrubline.operators.dictionary import recognize_dictionary, redact_dictionary
 from scrubline.operators.findings import (
     apply_findings, entity_stats, findings, recognize, redact_entities, resolve_overlaps, with_luhn, without_allowed)
@@ -241,3 +241,11 @@ def test_method_chain(spark, dictionary, load_names):
         assert method_chain(df, "magic").orderBy("doc_id").first().text == "Acme a@example.com"
     with pytest.warns(UserWarning):
         assert method_chain(df, "offline_model").orderBy("doc_id").first().text == "Acme a@example.com"
+
+
+def test_blocks_through_rules_and_recognizer(spark, load_names):
+    blocks = spark.createDataFrame([(1, 0, "Jane Doe a@example.com"), (1, 1, " "), (1, 2, "plain")],
+                                   "doc_id INT, block_no INT, text STRING")
+    done = redact_blocks_with(blocks, load_names, Redactor(detectors=("emails",))).orderBy("block_no").collect()
+    assert [(r.redacted, r.changed) for r in done] == [("[PERSON_NAME] [EMAIL:example.com]", True), (" ", False),
+                                                       ("plain", False)]
