@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from scrubline.llm.byte_bpe import op4_byte_bpe
+from scrubline.llm.line_chunks import op9_line_dedup
+from scrubline.llm.packing import op7_packing
+from scrubline.llm.repeats import op5_repeats
+from scrubline.llm.simhash import op3_simhash_dedup
 from scrubline.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_repeats": op5_repeats,
+    "op7_packing": op7_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
