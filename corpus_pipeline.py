@@ -8,10 +8,14 @@ no ``ORACLE_SQL``; ``tests/llm`` holds them against plain versions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrubline.llm import packing
 from scrubline.llm.common import stored, table
+from scrubline.llm.line_chunks import dedup_lines
+from scrubline.llm.repeats import without_repeats
+from scrubline.llm.simhash import near_duplicates
 from scrubline.llm.toxicity import fit, score
 
 #: Texts scored at or above this go.
@@ -24,7 +28,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, score_col="_toxic").where(F.col("_toxic") < TOXIC).drop("_toxic")
 
 
-STAGES = [("toxicity", drop_toxic)]
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the chunks of lines that stand elsewhere too; the first occurrence stays."""
+    return _counted(dedup_lines(docs).drop("_cut"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; rows without an id stay. Where rows share
+    that id, the one whose text has the smallest hash."""
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    mine = docs.join(kept, "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+    return mine.where("_n = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 200 bytes or more that stand elsewhere too."""
+    return _counted(without_repeats(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences that the documents fill."""
+    return packing.pack(docs, packing.settings())
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", cut_lines), ("simhash near-dedup", drop_near_duplicates),
+          ("suffix-array dedup", cut_repeats), ("packing", pack)]
 ORACLE_SQL = None
 
 
