@@ -18,12 +18,13 @@ table gives no piece. Columns besides id and text are not looked at.
 """
 
 import os
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,27 +46,55 @@ class Settings:
     known: int = 300_000
 
 
+# The tokenizer's pattern for lower-case words of printable ASCII and Latin letters, whose lower case is
+# one letter and which are composed already; what else there may be in a word, or the begin of a special token.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
+_OTHER = re.compile(r"[^\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]|<\|")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary has for each byte: printable ones stand for themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit numbers. A token never spans white space, and ASCII white space is always
-    that, so a text is encoded word by word and words already met are looked up."""
+    that, so a text is encoded word by word and words already met are looked up. New words are cut into letters, digits
+    and the rest, which repeat more often and go to the tokenizer's model one by one; a word with characters that need
+    normalising, or with a special token, goes through the whole tokenizer."""
 
     def __init__(self, s: Settings) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(s.tokenizer), s.known, {}
+        self.tokenizer, self.most, self.known, self.pieces = Tokenizer.from_file(s.tokenizer), s.known, {}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def __call__(self, text: bytes) -> bytes:
         words = text.split()
-        if new := list(set(words) - self.known.keys()):
+        if new := set(words).difference(self.known):
             if len(self.known) + len(new) > self.most:
                 self.known.clear()
-                new = list(set(words))
-            for begin in range(0, len(new), 4096):
-                part = new[begin:begin + 4096]
-                for word, made in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                    self.known[word] = np.array(made.ids, "<u4").tobytes()
+                self.pieces.clear()
+                new = set(words)
+            for raw in new:
+                word = raw.decode()
+                if _OTHER.search(word):
+                    self.known[raw] = _packed_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                else:
+                    self.known[raw] = b"".join([self.pieces.get(p) or self.learn(p) for p in _PIECE.findall(word.lower())])
         return b"".join(map(self.known.__getitem__, words))
 
+    def learn(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        self.pieces[piece] = ids = _packed_ids([t.id for t in self.model.tokenize(spelt)])
+        return ids
+
+
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 #: A piece: document (place in the output of ids), start, ids as bytes, ids of the document.
 Piece = tuple[object, int, bytes, int]
@@ -128,7 +157,7 @@ def _packed(docs: DataFrame, s: Settings) -> DataFrame:
     """The pieces of each partition. ``sequence`` counts full sequences; the leftover has -1 and brings its ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, part = Encoder(s), Packer(s.length, s.windows), TaskContext.get().partitionId()
-        end, done, rows = np.array([s.end], "<u4").tobytes(), 0, []
+        end, done, rows = _packed_ids([s.end]), 0, []
 
         def put(window: list[Piece], number: int) -> None:
             at = 0
