@@ -1,25 +1,26 @@
 """Document fingerprints by winnowing, in DataFrame and SQL functions only.
 
-The k-grams of a text are hashed; of each window of w neighbouring k-grams the least
+A text is read as a row of short tokens: runs of up to four characters that are no white
+space, counted anew after each white space, so that a shift does not outlast a word.
+The k-grams of tokens are hashed; of each window of w neighbouring k-grams the least
 hash is chosen, the rightmost of equal ones, and kept with its position. Two texts that
-share a stretch of k + w - 1 characters therefore share a chosen hash. A hash and its
-position travel in one long: the hash in the high bits, the position, counted down, in
-the low ones, so that the least long is the rightmost least hash.
+share k + w - 1 tokens in a row therefore share a chosen hash. A hash and its position
+(of the first token) travel in one long: the hash in the high bits, the position,
+counted down, in the low ones, so that the least long is the rightmost least hash.
 
-Windows are local, so a text is winnowed segment by segment, each with the characters
-its last window needs: memory beside the result is that of one segment. The fingerprint
-of a text whose tail is edited keeps the whole segments before the edit.
+Windows are local, so they are taken segment by segment. The fingerprint of a text whose
+tail is edited keeps the whole segments before the edit.
 
 ``next_documents`` brings each document together with the next one: rows are dealt out
 by stretches of 64 ids, so that nearly all neighbours meet in one shuffle of the texts;
 the first document of each stretch, one in 64, is sent to the stretch before it as well.
 No task sees more than a stretch, and no global window touches the documents.
 
-Defined cases: a null text counts as empty; an empty text chooses nothing, a text
-shorter than k is one k-gram. The likeness of two empty fingerprints is 1, of an empty
-and another 0. Rows that share an id follow each other in the order of their text's
-hash. A null id comes first. After the last document comes the first; the only one is
-its own next.
+Defined cases: a null text counts as empty; a text without tokens chooses nothing, one
+of fewer than k tokens is one k-gram. The likeness of two empty fingerprints is 1, of an
+empty and another 0. Rows that share an id follow each other in the order of their
+text's hash. A null id comes first. After the last document comes the first; the only
+one is its own next.
 """
 
 from dataclasses import dataclass
@@ -35,28 +36,37 @@ POSITION_BITS = 26
 
 @dataclass(frozen=True)
 class Settings:
-    """``gram``: characters of a k-gram. ``window``: k-grams of a window. ``segment``: windows of a segment."""
+    """``gram``: tokens of a k-gram. ``window``: k-grams of a window. ``segment``: windows of a segment."""
 
-    gram: int = 12
-    window: int = 12
-    segment: int = 512
+    gram: int = 4
+    window: int = 4
+    segment: int = 256
 
 
-def _segments(text: str, first: str, s: Settings) -> str:
-    """SQL: the chosen longs of each segment of ``text`` from number ``first`` on, an array of arrays."""
+#: What a token is.
+TOKEN = r"\\S{1,4}"
+
+
+def tokens(text: str) -> Column:
+    return F.expr(f"regexp_extract_all({text}, '{TOKEN}', 0)")
+
+
+def _segments(tokens: str, first: str, s: Settings) -> str:
+    """SQL: the chosen longs of each segment from number ``first`` on, an array of arrays. ``tokens``: a column."""
     low = (1 << POSITION_BITS) - 1
-    last = f"greatest(0, (length({text}) - {s.gram + s.window - 1}) div {s.segment})"
-    piece = f"substring({text}, g * {s.segment} + 1, {s.segment + s.gram + s.window - 2})"
-    grams = f"IF(length({text}) < {s.gram}, array({text}), regexp_extract_all({piece}, '(?s)(?=(.{{{s.gram}}}))', 1))"
-    packed = f"transform({grams}, (x, i) -> (xxhash64(x) & {~low}L) | ({low} - (g * {s.segment} + i) % {low + 1}))"
+    last = f"greatest(0, (size({tokens}) - {s.gram + s.window - 1}) div {s.segment})"
+    piece = f"slice({tokens}, g * {s.segment} + 1, {s.segment + s.gram + s.window - 2})"
+    packed = (f"transform(sequence(0, greatest(0, size(x) - {s.gram})), i -> (xxhash64(slice(x, i + 1, {s.gram})) & {~low}L) "
+              f"| ({low} - (g * {s.segment} + i) % {low + 1}))")
     least = f"array_distinct(transform(sequence(0, greatest(0, size(p) - {s.window})), j -> array_min(slice(p, j + 1, {s.window}))))"
-    return (f"IF(length({text}) = 0 OR {first} > {last}, CAST(array() AS array<array<bigint>>), "
-            f"flatten(transform(sequence({first}, {last}), g -> transform(array({packed}), p -> {least}))))")
+    one = f"element_at(transform(array({piece}), x -> element_at(transform(array({packed}), p -> {least}), 1)), 1)"
+    return (f"IF(size({tokens}) = 0 OR {first} > {last}, CAST(array() AS array<array<bigint>>), "
+            f"transform(sequence(CAST({first} AS INT), CAST({last} AS INT)), g -> {one}))")
 
 
-def chosen(text: str, s: Settings = Settings()) -> Column:
-    """The chosen hashes of each segment of the text column, with positions, as an array of arrays."""
-    return F.expr(_segments(text, "0", s))
+def chosen(tokens: str, s: Settings = Settings()) -> Column:
+    """The chosen hashes of each segment of a column of tokens, with positions, as an array of arrays."""
+    return F.expr(_segments(tokens, "0", s))
 
 
 def fingerprint(segments: Column) -> Column:
@@ -65,7 +75,7 @@ def fingerprint(segments: Column) -> Column:
 
 
 def positions(selected: Column) -> Column:
-    """Positions of the chosen k-grams."""
+    """Positions of the chosen k-grams, in tokens."""
     return F.transform(selected, lambda x: F.lit((1 << POSITION_BITS) - 1) - x.bitwiseAND((1 << POSITION_BITS) - 1))
 
 
@@ -107,9 +117,11 @@ def next_documents(docs: DataFrame, id_col: str, text_col: str, s: Settings) ->
     wanted = firsts.join(before, "stretch").select("stretch", "stretch_before", F.col("least.id").alias("id"), F.col("least.tie").alias("tie"))
     dealt = rows.repartition("stretch")
     guests = (dealt.join(wanted, ["stretch", "id", "tie"]).dropDuplicates(["stretch_before"])
-              .select(F.col("stretch_before").alias("stretch"), F.col("text").alias("guest_text"), chosen("text", s).alias("guest_segments"))
+              .select(F.col("stretch_before").alias("stretch"), F.col("text").alias("guest_text"), tokens("text").alias("tokens"))
+              .withColumn("guest_segments", chosen("tokens", s))
               .select("stretch", "guest_text", hashes(F.flatten("guest_segments")).alias("guest_hashes")))
-    mine = dealt.withColumn("segments", chosen("text", s)).withColumn("hashes", hashes(F.flatten("segments")))
+    mine = (dealt.withColumn("tokens", tokens("text")).withColumn("segments", chosen("tokens", s)).drop("tokens")
+            .withColumn("hashes", hashes(F.flatten("segments"))))
     over = Window.partitionBy("stretch").orderBy("id", "tie")
     nothing = F.lead(F.lit(1)).over(over).isNull()
     return (mine.join(guests, "stretch")
@@ -125,9 +137,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.length("text").cast("long")
     met = met.withColumn("n_chars", n).withColumn("edited", F.expr(
         "concat(substring(text, 1, CAST(n_chars - n_chars div 4 AS INT)), substring(next_text, 1, CAST(n_chars div 4 AS INT)))"))
-    # segments all of whose windows lie before the edit
-    met = met.withColumn("whole", F.expr(f"CAST(greatest(0, n_chars - n_chars div 4 - {s.gram + s.window - 2}) div {s.segment} AS INT)"))
-    met = met.withColumn("edited_segments", F.expr(f"concat(slice(segments, 1, whole), {_segments('edited', 'whole', s)})"))
+    # tokens that end before the edit stand in both texts; segments all of whose windows have only such tokens
+    met = met.withColumn("edited_tokens", tokens("edited")).withColumn("whole", F.expr(
+        f"greatest(0, regexp_count(substring(text, 1, CAST(n_chars - n_chars div 4 AS INT)), '{TOKEN}') - {s.gram + s.window - 1}) div {s.segment}"))
+    met = met.withColumn("edited_segments", F.expr(f"concat(slice(segments, 1, CAST(whole AS INT)), {_segments('edited_tokens', 'whole', s)})"))
     met = met.withColumn("selected", fingerprint(F.col("segments"))).withColumn("edited_selected", fingerprint(F.col("edited_segments")))
     met = met.withColumn("edited_hashes", hashes(F.col("edited_selected")))
     return met.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("selected")).alias("fingerprint"),
