@@ -18,15 +18,15 @@ make each other's chunks repeated. A null id comes after all others. Other colum
 through unchanged.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import SLICE, as_bytes, table
+from scrubline.llm.common import SLICE, as_bytes, fresh, own_columns, table
 
 _MASK = (1 << 64) - 1
 
@@ -70,9 +70,8 @@ def body_of(text: bytes, chunk: tuple[int, int, int]) -> bytes:
     return text[begin:end - 1] if text[end - 1:end] == b"\n" else text[begin:end]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_key", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"),
-                                            F.xxhash64(F.col(text_col)).alias("text")))
+def _key(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
 
 
 def _hashed(keyed: DataFrame, text_col: str, s: Settings) -> DataFrame:
@@ -108,7 +107,8 @@ def _bodies(keyed: DataFrame, wanted: DataFrame, text_col: str, s: Settings) ->
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """_key of each text (no_id, id, hash of the text) and ``gone``, the places of its chunks that go."""
-    keyed = _keyed(docs, id_col, text_col).select("_key", text_col)
+    keyed = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
+    text_col = "text"
     found = _hashed(keyed, text_col, s)
     often = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     wanted = found.join(often, "hash", "left_semi").groupBy("_key").agg(F.collect_set("place").alias("places"))
@@ -118,9 +118,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s:
             .groupBy("_key").agg(F.collect_set("place").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """``docs`` without the repeated chunks of their texts; what is left is joined as it stood. ``_cut`` tells how many
-    lines a text had and lost."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(),
+                counts: Sequence[str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` without the repeated chunks of their texts; what is left is joined as it stood. ``counts`` adds how many
+    lines a text had and lost; none of them may be a column of ``docs``."""
     @F.arrow_udf("struct<text: string, n_lines: int, n_removed: int>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32())])
@@ -137,13 +138,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             "n_removed": sum(own[p][2] for p in lost)})
             yield pa.array(out, kind)
 
-    gone = repeated(docs, id_col, text_col, s)
-    joined = _keyed(docs, id_col, text_col).join(gone, "_key", "left").withColumn("_cut", cut(F.col(text_col), F.col("gone")))
-    return joined.withColumn(text_col, F.col("_cut.text")).select(*docs.columns, "_cut")
+    key, cut_col, gone_key, gone_col = fresh(docs, "_key", "_cut", "_gone_key", "_gone")
+    gone = repeated(docs, id_col, text_col, s).select(F.col("_key").alias(gone_key), F.col("gone").alias(gone_col))
+    joined = docs.withColumn(key, _key(id_col, text_col)).join(gone, F.col(key) == F.col(gone_key), "left")
+    joined = joined.withColumn(cut_col, cut(F.col(text_col), F.col(gone_col)))
+    return joined.withColumn(text_col, F.col(f"{cut_col}.text")).select(
+        *own_columns(docs), *(F.col(f"{cut_col}.{n}").alias(n) for n in counts))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, number of lines, lines removed, and hash of the text that is left."""
     return (dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-            .select("doc_id", "_cut.n_lines", "_cut.n_removed", F.length("text").cast("long").alias("n_kept_chars"),
+            .select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"),
                     F.sha2("text", 256).alias("kept_sha256")))

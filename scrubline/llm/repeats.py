@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import SLICE, as_bytes, slices, table
+from scrubline.llm.common import as_bytes, fresh, own_columns, slices, table
 
 
 @dataclass(frozen=True)
@@ -281,6 +281,7 @@ def op5_repeats(spark, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """``docs`` with the repeated passages cut from their texts; null texts stay null."""
-    cut = cut_repeats(docs, text_col, s).select(F.col("t").alias("_t"), F.col("kept_text").alias("_kept"))
-    return (docs.withColumn("_own", text_key(text_col)).join(cut, F.col("_own") == F.col("_t"))
-            .withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("_kept"))).select(*docs.columns))
+    key, own, kept = fresh(docs, "_t", "_own", "_kept")
+    cut = cut_repeats(docs, text_col, s).select(F.col("t").alias(key), F.col("kept_text").alias(kept))
+    return (docs.withColumn(own, text_key(text_col)).join(cut, F.col(own) == F.col(key))
+            .withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col(kept))).select(*own_columns(docs)))
