@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrubline.llm import packing
-from scrubline.llm.common import stored, table
+from scrubline.llm.common import fresh, own_columns, stored, table
 from scrubline.llm.line_chunks import dedup_lines
 from scrubline.llm.repeats import without_repeats
 from scrubline.llm.simhash import near_duplicates
@@ -25,20 +25,22 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier, learnt from the labels, does not call toxic."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, score_col="_toxic").where(F.col("_toxic") < TOXIC).drop("_toxic")
+    (name,) = fresh(docs, "_toxic")
+    return score(docs, model, score_col=name).where(F.col(name) < TOXIC).drop(name)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the chunks of lines that stand elsewhere too; the first occurrence stays."""
-    return _counted(dedup_lines(docs).drop("_cut"))
+    return _counted(dedup_lines(docs, counts=()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; rows without an id stay. Where rows share
     that id, the one whose text has the smallest hash."""
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    mine = docs.join(kept, "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
-    return mine.where("_n = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    (n,) = fresh(docs, "_n")
+    mine = docs.join(kept, "doc_id").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+    return mine.where(F.col(n) == 1).select(*own_columns(docs)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", cut_lines), ("simhash near-dedup", drop_near_duplicates),
