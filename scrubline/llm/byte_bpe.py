@@ -64,7 +64,7 @@ class Codec:
     def encode(self, tokens: list[str]) -> list[tuple[list[int], bytes, bytes]]:
         """(ids, ids in decimal with commas, decoded bytes) of each pre-token."""
         known = self.known
-        if new := set(tokens) - known.keys():
+        if new := set(tokens).difference(known):
             if len(known) + len(new) > self.most:
                 known.clear()
                 new = set(tokens)
