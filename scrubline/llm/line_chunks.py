@@ -143,7 +143,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.withColumn(key, _key(id_col, text_col)).join(gone, F.col(key) == F.col(gone_key), "left")
     joined = joined.withColumn(cut_col, cut(F.col(text_col), F.col(gone_col)))
     return joined.withColumn(text_col, F.col(f"{cut_col}.text")).select(
-        *own_columns(docs), *(F.col(f"{cut_col}.{n}").alias(n) for n in counts))
+        *own_columns(docs), *(F.col(f"{cut_col}.{field}").alias(name) for field, name in zip(("n_lines", "n_removed"), counts)))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
