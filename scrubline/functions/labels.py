@@ -13,7 +13,8 @@ from scrubline.functions.text import let
 # Every form a label can take in redacted text.
 LABEL_FORMS = (
     r"COMPANY_NAME",
-    r"EMAIL:[A-Za-z0-9.-]+",
+    # only what the rule for e-mails can write: a number or an address in this place is no label
+    r"EMAIL:(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?+\.)++[a-zA-Z]{2,6}",
     r"DOMAIN(?::\.[A-Za-z]{2,63})?",
     r"AWS_ACCESS_KEY", r"GOOGLE_API_KEY", r"STRIPE_API_KEY", r"GITHUB_TOKEN", r"SLACK_TOKEN",
     r"FACEBOOK_TOKEN", r"UUID_API_KEY", r"API_SECRET", r"API_TOKEN", r"API_KEY", r"GENERIC_API_KEY",
@@ -54,6 +55,7 @@ ENTITY_LABELS = {
 # Fixed value: the types the entity statistics list, zeros included (API_KEY is replaced but not counted).
 COUNTED_ENTITIES = tuple(t for t in ENTITY_LABELS if t != "API_KEY")
 
+# The order of the cases below is fixed by the labels that are to come out.
 # Label expressions. ``of`` names the variable that decides: ``value`` for a rule
 # with a capturing group, ``hit`` for one without.
 

@@ -35,11 +35,6 @@ ORDER = {
 }
 PROFILES = tuple(ORDER)
 
-# The most a list of keywords may hold to be searched for as one alternation;
-# longer lists belong in a dictionary table (operators.dictionary).
-MAX_ALTERNATION = 500
-
-
 @dataclass(frozen=True)
 class Rule:
     """One pattern with the label of its matches.
@@ -250,15 +245,47 @@ _PATTERNS: dict[str, Sequence[str]] = {
 }
 
 
-def keyword_rule(keywords: Sequence[str]) -> Rule | None:
-    """Whole-word, case-insensitive alternation of a short list of keywords."""
-    words = [k for k in keywords if k]
+def _either(rests: Sequence[tuple[str, str]]) -> str:
+    """A pattern for the first of the strings (with what must follow each) that matches, common beginnings taken out.
+
+    Strings that go on with different characters exclude each other, so only one that
+    ends here has a place in the order: after those before it, before those after it.
+    """
+    if len(rests) == 1:
+        rest, after = rests[0]
+        return "".join(rf"\Q{c}\E" if c != "\\" else r"\\" for c in rest) + after
+    ended = next((i for i, (rest, _) in enumerate(rests) if not rest), None)
+    if ended is not None:
+        parts = [_either(own) for own in (rests[:ended], rests[ended + 1:]) if own]
+        return "(?:" + "|".join([*(parts[:1] if ended else []), rests[ended][1], *parts[1 if ended else 0:]]) + ")"
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for rest, after in rests:
+        groups.setdefault(rest[0].lower(), []).append((rest[1:], after))
+    branches = [(rf"\Q{c}\E" if c != "\\" else r"\\") + _either(own) for c, own in groups.items()]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
+def keyword_rule(keywords: Sequence[str], profile: str = "fixed") -> Rule | None:
+    """Case-insensitive search for the keywords of a list of any length, the first in the list first.
+
+    Common beginnings are taken out, so that a long list is not tried one by one. In
+    profile ``ref`` a keyword ends at word boundaries on both sides; in ``fixed`` a side
+    that is no word character (``C++``) needs none.
+    """
+    words = list(dict.fromkeys(k for k in keywords if k))
     if not words:
         return None
-    if len(words) > MAX_ALTERNATION:
-        raise ValueError(f"{len(words)} keywords: pass them as a table to redact_dictionary instead")
-    quoted = (r"\b\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E\b" for w in words)
-    return Rule("company_names", 1, "(?iU)" + "|".join(quoted), _CONSTANTS["company_names"])
+    sides: dict[str, list[tuple[str, str]]] = {}
+    for word in words:
+        left, right = (r"\b", r"\b") if profile == "ref" else (
+            r"(?<!\w)" if _is_word(word[0]) else "", r"(?!\w)" if _is_word(word[-1]) else "")
+        sides.setdefault(left, []).append((word, right))
+    pattern = "|".join(left + _either(own) for left, own in sides.items())
+    return Rule("company_names", 1, "(?iU)" + pattern, _CONSTANTS["company_names"])
+
+
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
 
 
 def rules(profile: str = "fixed", keywords: Sequence[str] = (), detectors: Iterable[str] | None = None,
@@ -282,7 +309,7 @@ def rules(profile: str = "fixed", keywords: Sequence[str] = (), detectors: Itera
         if detector not in chosen:
             continue
         if detector == "company_names":
-            rule = keyword_rule(keywords)
+            rule = keyword_rule(keywords, profile)
             table.extend([rule] if rule else [])
         for no, pattern in enumerate(_PATTERNS.get(detector, ()), start=1):
             key = (detector, no)

@@ -64,16 +64,22 @@ _WRITE = (f"concat_ws('', concat(transform(_spans, (s, i) -> concat({piece('_chu
           f"array({piece('_chunks', _LAST, 'length(_text)')})))")
 
 
-def resolve_overlaps(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def as_list(columns: str | Sequence[str]) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def resolve_overlaps(found: DataFrame, id_col: str | Sequence[str] = "doc_id") -> DataFrame:
     """The findings that are applied: of overlapping ones the higher score, then the longer, then the earlier.
 
     Only findings that overlap directly or through others compete. Such a run is
     found with a running maximum of ``end``, so what is gathered at a time is one
-    run, not a document. Copies are merged before the one shuffle (by ``id_col``).
+    run, not a document. Copies are merged before the one shuffle (by ``id_col``,
+    one column or several).
     """
-    best = found.groupBy(id_col, "start", "end").agg(
+    ids = as_list(id_col)
+    best = found.groupBy(*ids, "start", "end").agg(
         F.min(F.struct((-F.col("score")).alias("rank"), F.col("label").alias("label"))).alias("best"))
-    in_order = Window.partitionBy(id_col).orderBy("start", "end")
+    in_order = Window.partitionBy(*ids).orderBy("start", "end")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     runs = (best
             .withColumn("_new", (F.col("start") >= F.coalesce(F.max("end").over(earlier), F.lit(0))).cast("int"))
@@ -81,24 +87,26 @@ def resolve_overlaps(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ranked = F.array_sort(F.collect_list(F.struct(
         F.col("best.rank").alias("rank"), (F.col("start") - F.col("end")).alias("shortness"),
         "start", "end", F.col("best.label").alias("label"))))
-    return (runs.groupBy(id_col, "_run").agg(ranked.alias("_spans"))
-            .select(id_col, F.explode(F.expr(_TAKE.format(spans="_spans"))).alias("s"))
-            .select(id_col, "s.start", "s.end", "s.label"))
+    return (runs.groupBy(*ids, "_run").agg(ranked.alias("_spans"))
+            .select(*ids, F.explode(F.expr(_TAKE.format(spans="_spans"))).alias("s"))
+            .select(*ids, "s.start", "s.end", "s.label"))
 
 
-def apply_findings(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def apply_findings(docs: DataFrame, found: DataFrame, id_col: str | Sequence[str] = "doc_id", text_col: str = "text",
                    label_map: Mapping[str, str] | None = None) -> DataFrame:
     """Replace the findings in the texts they were made in, and add ``n``.
 
     ``found`` needs the id, ``start``, ``end``, ``score`` and a ``label`` or an
     ``entity_type``. The findings of a document are bounded by its own length and
-    travel to it; whether they are broadcast is left to their measured size.
+    travel to it; whether they are broadcast is left to their measured size. ``id_col``,
+    one column or several, must tell the texts apart.
     """
+    ids = as_list(id_col)
     if "label" not in found.columns:
         found = found.withColumn("label", label_of(F.col("entity_type"), label_map))
-    spans = (resolve_overlaps(found.select(id_col, "start", "end", "score", "label"), id_col)
-             .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("_spans")))
-    done = docs.join(spans, id_col, "left").withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    spans = (resolve_overlaps(found.select(*ids, "start", "end", "score", "label"), ids)
+             .groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("_spans")))
+    done = docs.join(spans, ids, "left").withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     done = done.withColumn("_chunks", F.when(F.col("_spans").isNotNull(), F.expr(chunks("_text"))))
     return done.select(
         *(F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.expr(_WRITE)).alias(text_col)
@@ -106,6 +114,15 @@ def apply_findings(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", te
         F.coalesce(F.size("_spans"), F.lit(0)).alias("n"))
 
 
+def unite(**found: DataFrame) -> DataFrame:
+    """Entities of several recognizers in one table, each with the name of its ``recognizer``."""
+    named = [df.withColumn("recognizer", F.lit(name)) for name, df in found.items()]
+    out = named[0]
+    for other in named[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def without_allowed(found: DataFrame, allowed: DataFrame, value_col: str = "match") -> DataFrame:
     """Findings whose value is not on an allow list (a column ``value``, compared in lower case).
 

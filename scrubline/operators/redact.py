@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from scrubline.functions.passes import apply_rule, counts, start
 from scrubline.functions.rules import DETECTORS, Rule, rules
-from scrubline.functions.text import interleave
+from scrubline.functions.text import hits, interleave, let, quote, running_total, total
 
 
 # As many as the analyzer resolves within its default number of iterations, with room to spare.
@@ -164,29 +164,67 @@ def redact_table(df: DataFrame, redactor: Redactor | None = None, columns: Seque
 
 
 def _named(column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
+    return F.col(_quoted(column))
 
 
 def redact_nested(df: DataFrame, redactor: Redactor | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """String leaves of structs, arrays and maps; keys, other types and NULLs are untouched.
+    """String leaves of structs, arrays, maps and VARIANT columns; keys, other types and NULLs are untouched.
 
-    All string leaves of a row are gathered in one array, redacted together, and
-    those that changed are written back where they came from.
+    All string leaves of a row are gathered in one array, in the order of a fixed
+    walk, redacted together, and written back by their place in that walk: linear in
+    the number of leaves. A VARIANT column is walked as its JSON text; one inside
+    another type is refused, so that nothing passes unread.
     """
     r = redactor or Redactor()
-    chosen = [f for f in df.schema.fields if (columns is None or f.name in columns) and _has_text(f.dataType)]
-    if not chosen:
+    wanted = [f for f in df.schema.fields if columns is None or f.name in columns]
+    for f in wanted:
+        if not isinstance(f.dataType, T.VariantType) and _has_variant(f.dataType):
+            raise ValueError(f"column {f.name} has a VARIANT inside another type: extract it to a column of its own")
+    variants = [f.name for f in wanted if isinstance(f.dataType, T.VariantType)]
+    chosen = [f for f in wanted if _has_text(f.dataType)]
+    if not chosen and not variants:
         return df
-    leaves = F.array_distinct(F.concat(*(_leaves(_named(f.name), f.dataType) for f in chosen)))
-    done = r.run(df.withColumn("_leaves", leaves), F.col("_leaves"))
-    changed = F.map_from_entries(F.filter(
-        F.zip_with("_leaves", "_done.t", lambda old, new: F.struct(old.alias("old"), new.alias("new"))),
-        lambda pair: pair["old"] != pair["new"]))
-    done = done.withColumn("_changed", changed)
-    new = F.col("_changed")
-    return done.select(*(
-        F.when(F.size(new) == 0, _named(f.name)).otherwise(_walk(_named(f.name), f.dataType, new)).alias(f.name)
-        if f in chosen else _named(f.name) for f in df.schema.fields))
+    json = {c: f"to_json({_quoted(c)})" for c in variants}
+    parts, walks, base = [], {}, "0"
+    for f in chosen:
+        parts.append(_leaves(_quoted(f.name), f.dataType))
+        walks[f.name], base = _walk(_quoted(f.name), f.dataType, base), f"{base} + {_count(_quoted(f.name), f.dataType)}"
+    for c in variants:
+        strings = f"coalesce(transform({hits(json[c], JSON_STRING)}, s -> {_unquoted('s')}), CAST(array() AS ARRAY<STRING>))"
+        parts.append(strings)
+        written = (f"transform({hits(json[c], JSON_STRING)}, (s, i) -> IF({_unquoted('s')} IS NULL, s, "
+                   f"{_json_quoted(f'_done[{base} + i].t')}))")
+        pieces = f"split({json[c]}, {quote(JSON_STRING)}, -1)"
+        walks[c], base = f"parse_json({interleave(pieces, written)})", f"{base} + size({strings})"
+    done = r.run(df.withColumn("_leaves", F.expr(f"concat({', '.join(parts)})")), F.col("_leaves"))
+    return done.select(*(F.expr(walks[f.name]).alias(f.name) if f.name in walks else _named(f.name) for f in df.schema.fields))
+
+
+# A string of a JSON text, with the colon that makes it a key.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
+
+
+def _unquoted(token: str) -> str:
+    """SQL: the value of a JSON string, NULL for a key."""
+    return f"IF(endswith({token}, ':'), NULL, from_json(concat('[', {token}, ']'), 'ARRAY<STRING>')[0])"
+
+
+def _json_quoted(text: str) -> str:
+    return let("j", f"to_json(array({text}))", "substring(j, 2, length(j) - 2)")
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _has_variant(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_variant(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_variant(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_variant(dtype.keyType) or _has_variant(dtype.valueType)
+    return isinstance(dtype, T.VariantType)
 
 
 def _has_text(dtype: T.DataType) -> bool:
@@ -199,32 +237,63 @@ def _has_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.StringType)
 
 
-def _leaves(value: Column, dtype: T.DataType) -> Column:
-    """All string leaves of a value as ``ARRAY<STRING>`` without NULLs."""
-    none = F.array().cast("array<string>")
+def _fixed(dtype: T.DataType) -> int | None:
+    """How many leaves every value of a type has, NULLs included; None if that varies."""
+    if isinstance(dtype, T.StructType):
+        own = [_fixed(f.dataType) for f in dtype.fields if _has_text(f.dataType)]
+        return None if None in own else sum(own)
+    return 1 if isinstance(dtype, T.StringType) else None
+
+
+def _count(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL: the number of leaves of a value."""
+    if (fixed := _fixed(dtype)) is not None:
+        return str(fixed)
     if isinstance(dtype, T.StructType):
-        return F.concat(*(_leaves(value[f.name], f.dataType) for f in dtype.fields if _has_text(f.dataType)))
+        return "(" + " + ".join(_count(f"{value}.{_quoted(f.name)}", f.dataType, depth) for f in dtype.fields if _has_text(f.dataType)) + ")"
     if isinstance(dtype, T.MapType):
-        return _leaves(F.map_values(value), T.ArrayType(dtype.valueType))
+        return _count(f"map_values({value})", T.ArrayType(dtype.valueType), depth)
+    if (fixed := _fixed(dtype.elementType)) is not None:
+        return f"IF({value} IS NULL, 0, size({value}) * {fixed})"
+    return f"coalesce({total(f'transform({value}, x{depth} -> {_count(f'x{depth}', dtype.elementType, depth + 1)})')}, 0)"
+
+
+def _leaves(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL: all string leaves of a value as ARRAY<STRING>, NULLs included."""
+    if isinstance(dtype, T.StructType):
+        return "concat(" + ", ".join(_leaves(f"{value}.{_quoted(f.name)}", f.dataType, depth) for f in dtype.fields if _has_text(f.dataType)) + ")"
+    if isinstance(dtype, T.MapType):
+        return _leaves(f"map_values({value})", T.ArrayType(dtype.valueType), depth)
     if isinstance(dtype, T.ArrayType):
-        if isinstance(dtype.elementType, T.StringType):
-            return F.coalesce(F.array_compact(value), none)
-        return F.coalesce(F.flatten(F.transform(value, lambda x: _leaves(x, dtype.elementType))), none)
-    return F.when(value.isNotNull(), F.array(value)).otherwise(none)
+        own = value if isinstance(dtype.elementType, T.StringType) else (
+            f"flatten(transform({value}, x{depth} -> {_leaves(f'x{depth}', dtype.elementType, depth + 1)}))")
+        return f"coalesce({own}, CAST(array() AS ARRAY<STRING>))"
+    return f"array({value})"
 
 
-def _walk(value: Column, dtype: T.DataType, new: Column) -> Column:
-    """The same value with every leaf that ``new`` maps replaced."""
+def _walk(value: str, dtype: T.DataType, base: str, depth: int = 0) -> str:
+    """SQL: the same value with its leaves taken from the redacted ones, from place ``base`` on."""
     if not _has_text(dtype):
         return value
     if isinstance(dtype, T.StructType):
-        return F.when(value.isNotNull(), F.struct(
-            *(_walk(value[f.name], f.dataType, new).alias(f.name) for f in dtype.fields)))
-    if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda x: _walk(x, dtype.elementType, new))
+        fields = []
+        for f in dtype.fields:
+            own = f"{value}.{_quoted(f.name)}"
+            fields.append(f"{quote(f.name)}, {_walk(own, f.dataType, base, depth)}")
+            if _has_text(f.dataType):
+                base = f"{base} + {_count(own, f.dataType, depth)}"
+        return f"IF({value} IS NULL, NULL, named_struct({', '.join(fields)}))"
     if isinstance(dtype, T.MapType):
-        return F.transform_values(value, lambda _, v: _walk(v, dtype.valueType, new))
-    return F.coalesce(F.try_element_at(new, value), value)
+        values = _walk(f"map_values({value})", T.ArrayType(dtype.valueType), base, depth)
+        return f"map_from_arrays(map_keys({value}), {values})"
+    if isinstance(dtype, T.ArrayType):
+        x, i, fixed = f"x{depth}", f"i{depth}", _fixed(dtype.elementType)
+        if fixed is not None:
+            return f"transform({value}, ({x}, {i}) -> {_walk(x, dtype.elementType, f'{base} + {i} * {fixed}', depth + 1)})"
+        starts = running_total(f"transform({value}, {x} -> {_count(x, dtype.elementType, depth + 1)})")
+        return let(f"s{depth}", starts, (
+            f"transform({value}, ({x}, {i}) -> {_walk(x, dtype.elementType, f'{base} + s{depth}[{i}]', depth + 1)})"))
+    return f"IF({value} IS NULL, NULL, _done[{base}].t)"
 
 
 def redact_json_text(df: DataFrame, json_col: str, redactor: Redactor | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scrubline.operators.chain import method_chain
 from scrubline.operators.findings import Recognizer
 from scrubline.operators.redact import Redactor, redact
-from scrubline.sources.files import append_run_metrics, read_documents, run_metrics, spread_out
+from scrubline.sources.files import append_run_metrics, read_documents, run_metrics
 
 
 def redact_files(spark: SparkSession, source: str, target: str, methods: str | Sequence[str] = "regex",
@@ -24,7 +24,7 @@ def redact_files(spark: SparkSession, source: str, target: str, methods: str | S
     file, and their sums are appended to the table at ``metrics``, computed from
     what was written. Returns the written table.
     """
-    docs = spread_out(read_documents(spark, source))
+    docs = read_documents(spark, source)
     names = [m.lower() for m in ([methods] if isinstance(methods, str) else methods)]
     begin = time.time()
     if names == ["regex"]:

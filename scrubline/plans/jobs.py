@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,21 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.operators import audit
-from scrubline.operators.chain import method_chain
+from scrubline.functions.rules import user_rule
+from scrubline.operators.chain import method_chain, redact_blocks_with
 from scrubline.operators.dictionary import recognize_dictionary, redact_dictionary
 from scrubline.operators.findings import (
-    apply_findings, entity_stats, findings, recognize, redact_entities, with_luhn, without_allowed)
+    apply_findings, entity_stats, findings, label_of, recognize, redact_entities, unite, with_luhn, without_allowed)
 from scrubline.operators.redact import (
     Redactor, assemble_blocks, redact, redact_blocks, redact_column, redact_json_text, redact_lines, redact_markup,
     redact_nested, redact_table)
-from scrubline.sources.files import run_metrics, spread_out
-from scrubline.streaming.redact_stream import utc, windowed_counts
+from scrubline.sources.files import read_documents, read_table, run_metrics, write_table
+from scrubline.streaming.redact_stream import read_stream, redact_stream, utc, windowed_counts, write_stream
 
 Job = Callable[[SparkSession, str], DataFrame]
 
 KEYWORDS = ("the", "und", "que", "leur")
-# Detectors whose patterns and labels plain SQL can follow on the given documents.
-PLAIN = ("emails", "api_keys", "credit_cards", "ips")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+
+
+def notes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, each with a line on which some of the rules have something to find, and near misses."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(NOTE_TEXT).alias("text"), *columns)
 
 
 # Texts for the detectors the documents hold nothing for, built from the star tables.
@@ -75,9 +80,50 @@ SECRET_TEXT = """concat(CASE c_mktsegment
     ELSE 'pwd = ab1' END, ' for ', c_mktsegment)"""
 
 
+# One line for every document: what the twelve detectors look for, by turns, and what only resembles it.
+NOTE_LINES = (
+    "concat('api_key = \"', lpad(doc_id, 20, 'k'), '\" then AKIA', lpad(doc_id, 16, '0'), ' but not AKIA12')",
+    "concat('id A3TX', lpad(doc_id, 12, 'Z'), ' or AIza', lpad(doc_id, 35, 'x'), ' done')",
+    "concat(lpad(doc_id, 8, '0'), '-1a2b-3c4d-5e6f-', lpad(doc_id, 12, 'a'), ' and sk_live_', lpad(doc_id, 24, 'q'), ' end')",
+    "concat('ghp_', lpad(doc_id, 36, 'w'), ' xoxb-', lpad(doc_id, 12, 'z'), ' EAACEdEose0cBA', lpad(doc_id, 6, 'e'), ' gh_x')",
+    "concat('paid with 4111 1111 1111 ', lpad(doc_id % 10000, 4, '0'), ' or 5500-0000-0000-', lpad(doc_id % 10000, 4, '0'), ' each')",
+    "concat('was 3782 822463 1', lpad(doc_id % 10000, 4, '0'), ' or 6011 0000 0000 ', lpad(doc_id % 10000, 4, '0'), ' then')",
+    "concat('Card number: 1234 5678 9012 ', lpad(doc_id % 10000, 4, '0'), ' there')",
+    "concat('for $ ', doc_id, ',500.25 here, 12 dollars there, ₪ ', doc_id, ' and 60 shekels, NIS 70; GBP 80, € 90 or £ 95. price is 10 a day')",
+    "concat('call +44 20 7946 ', lpad(doc_id % 10000, 4, '0'), ' or (212) 555-', lpad(doc_id % 10000, 4, '0'), ' now')",
+    "concat('mobile 052-555-', lpad(doc_id % 10000, 4, '0'), ' or 03-555-', lpad(doc_id % 10000, 4, '0'), ' or fax: 1 2 3 4 5 ', doc_id % 10, ' x')",
+    "concat('TZ: ', lpad(doc_id, 9, '1'), ' then SSN 123-45-', lpad(doc_id % 10000, 4, '0'), ' then passport no. AB', lpad(doc_id, 7, '0'))",
+    "concat('file KX', lpad(doc_id, 8, '0'), ' with Employee ID: E-', lpad(doc_id, 6, '0'), ' ok')",
+    "concat('from 10.', doc_id % 256, '.0.7 to 8.8.', doc_id % 256, '.8 not 300.1.1.', doc_id % 256, ' or 2001:db8:0:0:0:0:0:', doc_id % 10, ' or fe80::', doc_id % 10)",
+    "concat('ship to ', doc_id + 1, ' Old Mill Road today, ', doc_id + 1, ' Evergreen Garden, P.O. Box ', doc_id + 1)",
+    "concat('office: ', doc_id + 1, ' Main St, Springfield, IL 62704-1234')",
+    "concat('sold ', doc_id % 28 + 1, ' march weeks, version 2.2.15')",
+    "concat('born on ', lpad(doc_id % 28 + 1, 2, '0'), '/03/1980')",
+    "concat('card expires 2031-05-', lpad(doc_id % 28 + 1, 2, '0'))",
+    "concat('sent ', doc_id % 28 + 1, ' Mar 2020')",
+    "concat('issued March ', doc_id % 28 + 1, ', 2019')",
+    "concat('dob 13.13.', lpad(doc_id % 100, 2, '0'))",
+    "concat('Password: Key_', doc_id, '!x and pwd = ab1')",
+    "concat('<token>id-', doc_id, '-zz</token>')",
+    "concat('{\"secret\": \"v ', doc_id, ' abc\"}')",
+    "concat('eyJhbGciOiJub25lIn0.eyJzdWIiOiJ4', lpad(doc_id, 8, '0'), '.c2lnbmF0dXJl')",
+    "concat('see www.shop-', doc_id, '.example.com or http://a.b.co.uk/x')",
+    "concat('mail [EMAIL:41111111111111', doc_id % 90 + 10, '] or a.b@mail-', doc_id, '.example.org')",
+)
+
+
+def note_line(key: str) -> str:
+    """SQL: the line of a key."""
+    cases = " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(NOTE_LINES))
+    return f"(CASE {key} % {len(NOTE_LINES)} {cases} END)".replace("doc_id", key)
+
+
+NOTE_TEXT = f"concat(text, '\\n', {note_line('doc_id')})"
+
+
 def _redacted(detector: str, name: str, key: str, text: str, text_col: str = "text") -> Job:
     def job(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spread_out(table(spark, sf_dir, name).select(key, F.expr(text).alias(text_col)))
+        df = table(spark, sf_dir, name).select(key, F.expr(text).alias(text_col))
         return redact_column(df, text_col, Redactor(detectors=(detector,)))
     return job
 
@@ -95,8 +141,12 @@ def _document(profile: str) -> Job:
     return job
 
 
+def every_rule() -> Redactor:
+    return Redactor(KEYWORDS)
+
+
 def stats_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.redaction_stats(documents(spark, sf_dir, "lang", "source"), redactor=Redactor(detectors=PLAIN))
+    return audit.redaction_stats(notes(spark, sf_dir, "lang", "source"), redactor=every_rule())
 
 
 def rollup_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +154,11 @@ def rollup_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.length_change(documents(spark, sf_dir), redactor=Redactor(detectors=PLAIN))
+    return audit.length_change(notes(spark, sf_dir), redactor=every_rule())
+
+
+def redact_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_column(notes(spark, sf_dir), "text", every_rule())
 
 
 def findings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +166,7 @@ def findings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(documents(spark, sf_dir), redactor=Redactor(KEYWORDS))
+    return findings(notes(spark, sf_dir), redactor=every_rule())
 
 
 def apply_findings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,12 +175,16 @@ def apply_findings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long words of ``benchmark`` as companies, names of nations and regions as places."""
-    words = (table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword"))
-             .where(F.length("keyword") >= 7).select("keyword", F.lit("COMPANY").alias("entity_type")))
-    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("keyword"), F.lit("LOCATION"))
-    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("keyword"), F.lit("LOCATION"))
-    return words.union(nations).union(regions).distinct()
+    """Names from the tables: all words of ``benchmark`` and pairs of neighbours in it as companies, parts, nations and
+    regions as products and places. Pairs overlap their words and each other."""
+    words = table(spark, sf_dir, "benchmark").select(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w"))
+    single = words.select(F.explode("w").alias("keyword"), F.lit("COMPANY").alias("entity_type")).where("length(keyword) >= 5")
+    pairs = words.select(F.explode(F.expr("transform(filter(sequence(0, greatest(size(w) - 2, 0)), i -> i % 5 = 0 AND i + 1 < size(w) AND w[i] <> w[i + 1]), "
+                                          "i -> concat(w[i], ' ', w[i + 1]))")).alias("keyword"), F.lit("PERSON").alias("entity_type"))
+    parts = table(spark, sf_dir, "part").select(F.lower("p_name").alias("keyword"), F.lit("URL"))
+    nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("keyword"), F.lit("LOCATION"))
+    regions = table(spark, sf_dir, "region").select(F.lower("r_name").alias("keyword"), F.lit("LOCATION"))
+    return single.union(pairs).union(parts).union(nations).union(regions).distinct()
 
 
 def dictionary_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,20 +199,42 @@ def redact_dictionary_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_dictionary(documents(spark, sf_dir), gazetteer(spark, sf_dir))
 
 
+def redact_dictionary_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns are told apart by two columns."""
+    turns_only = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return redact_dictionary(turns_only, gazetteer(spark, sf_dir), ("conv_id", "turn"))
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gazetteer and names with other characters at their ends."""
+    odd = spark.createDataFrame([("C++", "COMPANY"), (".NET", "COMPANY"), ("Yahoo!", "COMPANY")], "keyword STRING, entity_type STRING")
+    return gazetteer(spark, sf_dir).union(odd)
+
+
 def redact_dictionary_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way of a dictionary too large to be sent to every executor."""
-    return redact_dictionary(documents(spark, sf_dir), gazetteer(spark, sf_dir), broadcast_chars=0)
+    """Every entry at once, some of them with symbols at their ends, over texts that end with such names."""
+    docs = documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" c++, .Net and yahoo! not netc++x yahoo?")))
+    return redact_dictionary(docs, symbols(spark, sf_dir))
+
+
+def redact_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of names, however long, as one rule: those of the customers, and two with symbols at their ends."""
+    customers = table(spark, sf_dir, "customer")
+    names = [r.c_name for r in customers.select("c_name").distinct().orderBy("c_name").collect()]  # the list is a setting
+    lines = customers.select("c_custkey", F.concat(
+        F.lit("By "), "c_name", F.lit(" with c++ and .NET, not "), "c_name", F.lit("x or NETC++")).alias("text"))
+    return redact_column(lines, "text", Redactor(("C++", ".NET", *names), ("company_names",)))
 
 
 def redact_lines_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact_lines(documents(spark, sf_dir), redactor=Redactor(detectors=PLAIN))
+    return redact_lines(notes(spark, sf_dir), redactor=every_rule())
 
 
 def redact_blocks_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as a block table, as a reader of paragraphs or pages would give it."""
-    blocks = documents(spark, sf_dir).select(
+    blocks = notes(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
-    done = redact_blocks(blocks.withColumn("kind", F.lit("body")), Redactor(detectors=("emails", "ips")))
+    done = redact_blocks(blocks.withColumn("kind", F.lit("body")), every_rule())
     return done.select("doc_id", "block_no", "kind", "redacted", "changed")
 
 
@@ -165,48 +245,62 @@ def assemble_blocks_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", F.expr("concat(lower(c_mktsegment), '.', c_custkey, '@mail.example.com')").alias("email"),
-        F.expr("concat('10.', c_nationkey, '.0.', c_custkey % 300)").alias("ip"), "c_nationkey", "c_acctbal")
+        F.expr("concat('10.', c_nationkey, '.0.', c_custkey % 300)").alias("ip"), F.expr(note_line("c_custkey")).alias("note"),
+        "c_nationkey", "c_acctbal")
 
 
 def redact_table_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact_table(spread_out(contacts(spark, sf_dir)), Redactor(detectors=("emails", "ips")))
+    return redact_table(contacts(spark, sf_dir), every_rule())
 
 
 def redact_nested_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = spread_out(table(spark, sf_dir, "events")).select(
+    nested = table(spark, sf_dir, "events").select(
         "event_id", F.from_json("props", "k INT").alias("props"),
-        F.expr("named_struct('type', event_type, 'contacts', array(concat('user', user_id, '@example.org'), event_type),"
-               " 'hosts', map('from', concat('192.168.', user_id % 256, '.7'), 'to', NULL), 'value', value)").alias("body"))
-    done = redact_nested(nested, Redactor(detectors=("emails", "ips")))
+        F.expr("named_struct('type', event_type, 'contacts', array(concat('user', user_id, '@example.org'), NULL, event_type),"
+               f" 'hosts', map('from', concat('192.168.', user_id % 256, '.7'), 'to', NULL), 'notes', array(array({note_line('event_id')}), "
+               "array(), array(event_type, concat('call +1 ', 2000000000 + event_id))), 'value', value)").alias("body"))
+    done = redact_nested(nested, every_rule())
     return done.select("event_id", F.col("props.k").alias("k"), F.col("body.type").alias("type"),
-                       F.col("body.contacts")[0].alias("contact"), F.col("body.contacts")[1].alias("kind"),
+                       F.col("body.contacts")[0].alias("contact"), F.col("body.contacts")[2].alias("kind"),
                        F.col("body.hosts")["from"].alias("host"), F.col("body.hosts")["to"].alias("host_to"),
-                       F.col("body.value").alias("value"))
+                       F.col("body.notes")[0][0].alias("note"), F.col("body.notes")[2][1].alias("call"), F.col("body.value").alias("value"))
+
+
+def redact_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties of an event as a VARIANT, with strings at several depths."""
+    events = table(spark, sf_dir, "events").select("event_id", F.expr(
+        "parse_json(concat('{\"props\": ', props, ', \"mail@example.org\": [\"user', user_id, '@example.org\", ', user_id, ', null, "
+        "{\"note\": \"say \\\\\"hi\\\\\" to 10.0.', user_id % 256, '.7\"}]}'))").alias("v"))
+    done = redact_nested(events, every_rule())
+    return done.select("event_id", F.expr("variant_get(v, '$[\"mail@example.org\"][0]', 'string')").alias("mail"),
+                       F.expr("variant_get(v, '$[\"mail@example.org\"][1]', 'bigint')").alias("number"),
+                       F.expr("variant_get(v, '$[\"mail@example.org\"][3].note', 'string')").alias("note"),
+                       F.expr("variant_get(v, '$.props.k', 'bigint')").alias("k"))
 
 
 def redact_json_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON as printed text: a bare number taken for an id ends its being JSON."""
-    printed = spread_out(table(spark, sf_dir, "events")).select("event_id", F.expr(
+    printed = table(spark, sf_dir, "events").select("event_id", F.expr(
         "concat('{\"props\": ', props, ', \"mail\": \"', event_type, user_id, '@example.org\"', "
         "CASE event_type WHEN 'signup' THEN concat(', \"id\": ', 100000000 + event_id) ELSE '' END, '}')").alias("json"))
-    return redact_json_text(printed, "json", Redactor(detectors=("emails", "ids")))
+    return redact_json_text(printed, "json", every_rule())
 
 
 def _markup(text_nodes_only: bool) -> Job:
     def job(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = spread_out(table(spark, sf_dir, "pages").select("page_id", F.expr(
-            "concat('<a title=\"web@example.org\">web@example.org</a>', html)").alias("html")))
-        return redact_markup(pages, "html", Redactor(detectors=("emails", "ips")), text_nodes_only)
+        pages = table(spark, sf_dir, "pages").select("page_id", F.expr(
+            f"concat('<a title=\"web@example.org\">web@example.org</a>', html, '<p>', {note_line('page_id')})").alias("html"))
+        return redact_markup(pages, "html", every_rule(), text_nodes_only)
     return job
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_out(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(
-        "concat(text, ' ', role, '.', conv_id, '@chat.example.net')").alias("text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(
+        f"concat(text, ' ', role, '.', conv_id, '@chat.example.net\\n', {note_line('(conv_id + turn)')})").alias("text"))
 
 
 def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact_column(turns(spark, sf_dir), "text", Redactor(detectors=("emails", "ips")))
+    return redact_column(turns(spark, sf_dir), "text", every_rule())
 
 
 def conversation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,8 +310,7 @@ def conversation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chain(*methods: str) -> Job:
     def job(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return method_chain(documents(spark, sf_dir), methods, redactor=Redactor(detectors=("emails", "ips")),
-                            dictionary=gazetteer(spark, sf_dir))
+        return method_chain(notes(spark, sf_dir), methods, redactor=every_rule(), dictionary=gazetteer(spark, sf_dir))
     return job
 
 
@@ -251,16 +344,15 @@ def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_detectors(documents(spark, sf_dir), redactor=Redactor(detectors=PLAIN))
+    return audit.audit_detectors(notes(spark, sf_dir), redactor=every_rule())
 
 
 def audit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_columns(spread_out(contacts(spark, sf_dir)), ("c_name", "email", "ip"),
-                               Redactor(detectors=("emails", "ips")))
+    return audit.audit_columns(contacts(spark, sf_dir), ("c_name", "email", "ip", "note"), every_rule())
 
 
 def riskiest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.riskiest(documents(spark, sf_dir, "source"), 3, redactor=Redactor(detectors=PLAIN))
+    return audit.riskiest(notes(spark, sf_dir, "source"), 3, redactor=every_rule())
 
 
 def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +364,15 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = redact(documents(spark, sf_dir)).select("doc_id", "text")
-    return audit.residual_scan(once).select("doc_id", "n_total")
+    """What the other detectors still find where only e-mails, cards and amounts have been redacted."""
+    once = redact(notes(spark, sf_dir), redactor=Redactor(detectors=("emails", "credit_cards", "money"))).select("doc_id", "text")
+    return audit.residual_scan(once, redactor=every_rule()).select("doc_id", "n_total")
+
+
+def residual_scan_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts redacted by all detectors have nothing left but passwords that were too short to be one."""
+    once = redact(notes(spark, sf_dir), redactor=every_rule()).select("doc_id", "text")
+    return audit.residual_scan(once, redactor=every_rule()).select("doc_id", "n_total")
 
 
 def luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,44 +381,111 @@ def luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without any e-mail address or IP address: an anti join with the findings."""
+    """Documents in which no detector but that of names finds anything: an anti join with the findings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return docs.join(findings(documents(spark, sf_dir), redactor=Redactor()).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def documents_with_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The others: a semi join."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return docs.join(findings_job(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(findings(documents(spark, sf_dir), redactor=Redactor()).select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def united_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the rules, of a dictionary and of a model in one table, applied together."""
+    docs = documents(spark, sf_dir)
+    rules = findings(docs, redactor=Redactor(detectors=("ips",))).select("doc_id", "start", "end", "score", "label")
+    names = recognize_dictionary(docs, gazetteer(spark, sf_dir).where("entity_type = 'LOCATION'"))
+    model = recognize(docs, load_mail_recognizer)
+    entities = unite(dictionary=names, model=model).select("doc_id", "start", "end", "score", label_of(F.col("entity_type")).alias("label"))
+    return apply_findings(docs, entities.unionByName(rules))
+
+
+def redact_blocks_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks through the rules, then through a model that finds what the rules were not asked for."""
+    blocks = notes(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    done = redact_blocks_with(blocks, load_mail_recognizer, Redactor(detectors=("ips", "credit_cards")))
+    return done.select("doc_id", "block_no", "redacted", "changed")
+
+
+def redact_user_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the user's own: a constant label, and one made from what was found."""
+    own = (user_rule("orders", r"\border \d+\b", "[ORDER]"),
+           user_rule("totals", r"\$(\d+),", label="concat('[OVER:', length(value), ']')", group=1))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(MONEY_TEXT).alias("text"))
+    return redact_column(orders, "text", Redactor(detectors=("orders", "totals"), extra=own))
+
+
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts written as csv, tsv, json, xml and parquet, each read back and redacted: all give the same."""
+    folder, out = _scratch(spark), None
+    rows = contacts(spark, sf_dir).select("c_custkey", "c_name", "email", F.concat_ws("\n", "ip", "note").alias("note"))
+    for fmt, back in (("csv", "csv"), ("tsv", "tsv"), ("json", "jsonl"), ("xml", "xml"), ("parquet", "parquet")):
+        write_table(rows, f"{folder}/{fmt}", fmt)
+        schema = "c_custkey BIGINT, c_name STRING, email STRING, note STRING"
+        one = redact_table(read_table(spark, f"{folder}/{fmt}", back, schema, "row"), every_rule()).select(F.lit(fmt).alias("format"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def files_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as text files, one for each role, read back as whole documents."""
+    folder = _scratch(spark)
+    lines = table(spark, sf_dir, "conversations").select("role", F.concat_ws(" ", F.lit("turn"), "conv_id", "turn").alias("value"))
+    write_table(lines.repartition(1, "role").sortWithinPartitions("value"), folder, "text", ("role",))
+    whole = read_documents(spark, folder, "*.txt")
+    return whole.select(F.regexp_extract("path", "role=([a-z]+)", 1).alias("role"), "extension", "mime_type", "format", "encoding", "lines",
+                        F.length("text").cast("bigint").alias("chars"))
 
 
 def run_metrics_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = redact(documents(spark, sf_dir), redactor=Redactor(detectors=PLAIN))
-    return run_metrics(done, "run-1", "documents")
+    return run_metrics(redact(notes(spark, sf_dir), redactor=every_rule()), "run-1", "documents")
 
 
 LOG_LINE = "concat('user', user_id, '@mail.example.com did ', event_type, ' from 10.0.', user_id % 256, '.', event_id % 300)"
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The folder all executors share, named by the session; a temporary one only where none is set (tests)."""
+    """A new folder below the one all executors share, named by the session; a temporary one only for a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="scrubline-")
     return f"{shared.rstrip('/')}/scrubline-{uuid.uuid4().hex}"
 
 
+# Events of these ids come after all others, as a third file.
+LATE = "event_id % 50 = 0"
+
+
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of log lines in three files: those that are late come last."""
+    folder, events = _scratch(spark), table(spark, sf_dir, "events")
+    for part in ("event_id % 50 > 1", "event_id % 50 = 1", LATE):  # in the second the watermark of the first begins to count
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+    return (read_stream(spark, folder, events.schema, max_files_per_trigger=1)
+            .select(utc("ts").alias("ts"), "event_id", F.expr(LOG_LINE).alias("text")))
+
+
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of log lines: replacements per detector and day of event time."""
-    schema = table(spark, sf_dir, "events").schema
-    lines = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-             .select(utc("ts").alias("ts"), F.expr(LOG_LINE).alias("text")))
-    counts = windowed_counts(lines, "ts", "text", "1 day", "1 hour", Redactor(detectors=("emails", "ips")))
+    """Replacements per detector and day of event time: days that have closed, without what came too late for them."""
+    counts = windowed_counts(arriving_events(spark, sf_dir), "ts", "text", "1 day", "1 hour", every_rule())
     folder = _scratch(spark)
-    # every batch brings the whole small result anew and replaces the table
-    query = (counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint")
-             .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    write_stream(counts, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/counts").withColumn("window_start", F.expr(
         "convert_timezone(current_timezone(), 'UTC', CAST(window_start AS TIMESTAMP_NTZ))"))
 
 
+def redact_stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines redacted as they come, late ones too."""
+    folder = _scratch(spark)
+    done = redact_stream(arriving_events(spark, sf_dir).select("event_id", "text"), redactor=every_rule())
+    write_stream(done, f"{folder}/lines", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{folder}/lines")
+
+
 JOBS: dict[str, Job] = {
     "redact_emails": _redacted("emails", "documents", "doc_id", "text"),
     "redact_keywords": redact_keywords,
@@ -335,6 +501,7 @@ JOBS: dict[str, Job] = {
     "redact_passwords": _redacted("passwords", "customer", "c_custkey", SECRET_TEXT),
     "redact_document": _document("fixed"),
     "redact_document_ref": _document("ref"),
+    "redact_notes": redact_notes,
     "redaction_stats": stats_job,
     "redaction_stats_cube": rollup_job,
     "length_change": length_change,
@@ -345,6 +512,8 @@ JOBS: dict[str, Job] = {
     "entity_stats": entity_stats_job,
     "redact_dictionary": redact_dictionary_job,
     "redact_dictionary_joined": redact_dictionary_joined,
+    "redact_dictionary_turns": redact_dictionary_turns,
+    "redact_many_keywords": redact_many_keywords,
     "recognize_model": recognize_job,
     "redact_entities": redact_entities_job,
     "findings_not_allowed": allowed_job,
@@ -353,6 +522,7 @@ JOBS: dict[str, Job] = {
     "assemble_blocks": assemble_blocks_job,
     "redact_table": redact_table_job,
     "redact_nested": redact_nested_job,
+    "redact_variant": redact_variant,
     "redact_json_text": redact_json_job,
     "redact_markup": _markup(False),
     "redact_markup_text": _markup(True),
@@ -368,8 +538,16 @@ JOBS: dict[str, Job] = {
     "distinct_values": distinct_values,
     "top_values": top_values,
     "residual_scan": residual_scan,
+    "residual_scan_clean": residual_scan_clean,
     "luhn_valid": luhn,
     "clean_documents": clean_documents,
+    "documents_with_pii": documents_with_pii,
+    "united_findings": united_findings,
+    "redact_blocks_chain": redact_blocks_chain,
+    "redact_user_rule": redact_user_rule,
+    "files_round_trip": files_round_trip,
+    "files_as_documents": files_as_documents,
     "run_metrics": run_metrics_job,
     "stream_counts": stream_counts,
+    "redact_stream": redact_stream_job,
 }

@@ -8,9 +8,10 @@ first), and match-dependent labels as a walk over what lies between the matches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from scrubline.plans.jobs import KEYWORDS
+from scrubline.plans.jobs import KEYWORDS, LOG_LINE, note_line
 
 
 def q(text: str) -> str:
@@ -71,12 +72,13 @@ _KEY_CASE = """CASE WHEN contains({k}, 'AKIA') THEN '[AWS_ACCESS_KEY]' WHEN cont
 _IN_CONTEXT = _KEY_CASE.replace("{k}", "{v}") + """WHEN contains(lower({h}), 'secret') THEN '[API_SECRET]'
     WHEN contains(lower({h}), 'token') THEN '[API_TOKEN]' ELSE '[API_KEY]' END"""
 _BARE = _KEY_CASE.replace("{k}", "{h}") + "ELSE '[GENERIC_API_KEY]' END"
+# Fixed values from here on: the patterns, where RE2 takes them as they are.
 API_KEY_RULES = [
     (r"""(?i)\b(?:api_key|apikey|api-key|access_key|access-key|secret_key|secret-key|token)\s*[:=]\s*["']?([a-zA-Z0-9_/+.-]{16,128})["']?""", _IN_CONTEXT, 1),
     (r"\bAKIA[0-9A-Z]{16}\b", _BARE, 0),
     (r"\b(A3T[A-Z0-9]|AMZN|ASCA|AGPA)[A-Z0-9]{8,}\b", _IN_CONTEXT, 1),
     (r"\bAIza[0-9A-Za-z_-]{35}", _BARE, 0),
-    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", _BARE, 0),
+    (r"(?i)\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", _BARE, 0),
     (r"\b(?:sk|pk)_(?:live|test)_[0-9a-zA-Z]{24,}\b", _BARE, 0),
     (r"\bgh[pousr]_[a-zA-Z0-9]{36,255}\b", _BARE, 0),
     (r"\bxox[baprs]-[0-9a-zA-Z-]{10,}\b", _BARE, 0),
@@ -107,6 +109,7 @@ _CARD = f"""(CASE WHEN regexp_matches({_DIGITS}, '^4(\\d{{12}}|\\d{{15}})$') THE
     WHEN length({_DIGITS}) = 16 AND (substr({_DIGITS}, 1, 4) = '6011' OR substr({_DIGITS}, 1, 2) = '65'
         OR substr({_DIGITS}, 1, 6) BETWEEN '622126' AND '622925' OR substr({_DIGITS}, 1, 3) BETWEEN '644' AND '649')
         THEN '[CREDIT_CARD:DISCOVER]' ELSE '[CREDIT_CARD]' END)"""
+# fixed values
 CARD_PATTERNS = [
     r"4\d{3}(?:[\s-]?\d{4}){2}[\s-]?\d{1,4}",
     r"(?:5[1-5]\d{2}|222[1-9]|22[3-9]\d|2[3-6]\d{2}|27[01]\d|2720)(?:[\s-]?\d{4}){3}",
@@ -125,12 +128,21 @@ _PHONE = f"""(CASE WHEN regexp_matches({{n}}, '^\\+\\d{{1,4}}[ -]')
     WHEN regexp_matches({_DIGITS}, '^0\\d{{8,9}}$') THEN '[PHONE:IL_LANDLINE]'
     WHEN regexp_matches({_DIGITS}, '^[2-9]\\d{{9}}$') THEN '[PHONE:US]'
     WHEN regexp_matches({_DIGITS}, '^1\\d{{10}}$') THEN '[PHONE:US_LONG]' ELSE '[PHONE]' END)"""
-PHONES = _guarded(_BROAD_PHONE, _PHONE)
+_PHONE_WORDS = (r"(?i)(?:phone|tel|cell|mobile|fax)\s*(?:number|num|#)?\s*[:=-]?\s*"
+                r"((?:\+\d{1,3}[\s.-]?)?(?:\(\d+\)[\s.-]?)?[\d\s.-]{7,17}\d)([^0-9]|$)")
+PHONES = [step for p in (
+    _BROAD_PHONE,
+    r"0(?:5\d|7[234678])(?:[\s.-]?\d{3}[\s.-]?\d{4}|[\s.-]?\d{7})",
+    r"0[23489](?:[\s.-]?\d{3}[\s.-]?\d{4}|[\s.-]?\d{7})",
+    r"(?:\(\d{3}\)[\s.-]?|\d{3}[\s.-]?)\d{3}[\s.-]?\d{4}",
+) for step in _guarded(p, _PHONE)] + [
+    relabel("t", _PHONE_WORDS, _PHONE.replace("{n}", "{v}") + f" || regexp_extract({{h}}, {q('([^0-9]?)$')}, 1)", 1)]
 
 _ID_CASE = """CASE WHEN contains(lower({h}), 'ssn') OR regexp_matches({k}, '^\\d{3}-\\d{2}-\\d{4}$') THEN '[SSN_ID]'
     WHEN contains(lower({h}), 'passport') THEN '[PASSPORT_ID]'
     WHEN contains(lower({h}), 'tz') OR regexp_matches({k}, '^\\d{9}$') THEN '[NATIONAL_ID:IL]'
     WHEN contains(lower({h}), 'emp') OR contains(lower({h}), 'staff') THEN '[EMPLOYEE_ID]' ELSE '[ID_NUMBER]' END"""
+# fixed values
 IDS = [relabel("t", p, _ID_CASE.replace("{k}", "{v}" if g else "{h}"), g) for p, g in (
     (r"(?i)(?:\b(?:TZ|T\.Z\.|ID|id number)\s*[:=-]?\s*)?(\b\d{9}\b)", 1),
     (r"(?i)(?:\bSSN\s*[:=-]?\s*)?(\b\d{3}[\s.-]?\d{2}[\s.-]?\d{4}\b)", 1),
@@ -166,6 +178,7 @@ MONEY = [step for p in (
     # the blank after the amount belongs to the match, whether a currency word follows or not
     r"(?:\s*(?:dollars|USD|shekels?|ILS|NIS|euros?|EUR|GBP|pounds?)|\s+|(\D)|$)"), r"\1[MONEY]\2")]
 
+# fixed values
 _STREET = (r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct|Circle|Cir|Place|Pl"
            r"|Square|Sq|Terrace|Ter|Way|Highway|Hwy|Parkway|Pkwy|Route|Rte|Trail|Trl)")
 _NOT_MONTH = "CASE WHEN regexp_matches({h}, '^\\d+\\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\b') THEN {h} ELSE '[ADDRESS]' END"
@@ -175,6 +188,8 @@ ADDRESSES = [
     replaced("t", r"(?i)\bP\.?O\.?\s*Box\s+\d+\b", "[ADDRESS]"),
     replaced("t", r"(?i)(?:address|location|office|hq|headquarters|residence|property)\s*[:=-]?\s*"
                   rf"(\d+\s+.*?{_STREET}.*?\b\d{{5}}(?:-\d{{4}})?\b)", "[ADDRESS]"),
+    replaced("t", r"""(^|[^\p{L}\p{N}_])(?:רחוב|רח\.?|שדרות|שד\.?|דרך|סמטה|כיכר)\s+[א-ת\s."'-]+\s+\d+(?:[/\-]\d+)?[א-ת]?([^\p{L}\p{N}_]|$)""",
+             r"\1[ADDRESS]\2"),
 ]
 
 _DAY = r"(?:0?[1-9]|[12]\d|3[01])"
@@ -190,6 +205,14 @@ DATES = [relabel("t", p, _DATE_LABEL) for p in (
     rf"(?i)\b{_DAY}\s+{_MONTH}[a-z]*\.?\s+(?:\d{{4}}|\d{{2}})\b",
     rf"(?i)\b{_MONTH}[a-z]*\.?\s+{_DAY},?\s+(?:\d{{4}}|\d{{2}})\b",
 )]
+# a date in a line of a note stands at its end: 30 characters before it tell its purpose
+_NOTE_DATE_LABEL = _DATE_LABEL.replace("lower(o)", "lower(right(t, length({h}) + 30))")
+_DATE_WORDS = (
+    r"(?i)(?:date\s*(?:of|of birth|issued|valid|expires|expiry|from|until|through)|dob)\s*[:=-]?\s*"
+    rf"(\b(?:[0-9]+(?:st|nd|rd|th)?\s)?{_MONTH}[a-z]*\.?\s\d+[\s,]*\d{{2,4}}\b|\b\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}\b"
+    r"|\b\d{4}[/.-]\d{1,2}[/.-]\d{1,2}\b)")
+NOTE_DATES = [d.replace(_DATE_LABEL.replace("{h}", "x[2]"), _NOTE_DATE_LABEL.replace("{h}", "x[2]")) for d in DATES] + [
+    relabel("t", _DATE_WORDS, _NOTE_DATE_LABEL, 1)]
 DATE_LABELS = ("[DATE_OF_BIRTH]", "[EXPIRY_DATE]", "[ISSUE_DATE]", "[DATE]")
 
 _SECRET = r"(?:password|passwd|pwd|passphrase|pass[\s_]?code|secret|credential|token|auth_key|private_key)"
@@ -197,6 +220,7 @@ _SECRET_CASE = """CASE WHEN starts_with({v}, '[') AND ends_with({v}, ']') THEN {
     WHEN starts_with({v}, 'eyJ') THEN '[JWT_TOKEN]' WHEN length({v}) < 6 THEN {h}
     WHEN contains(lower({h}), 'jwt') THEN '[JWT_TOKEN]' WHEN contains(lower({h}), 'token') THEN '[AUTH_TOKEN]'
     WHEN contains(lower({h}), 'secret') OR contains(lower({h}), 'key') THEN '[SECRET_OR_KEY]' ELSE '[PASSWORD]' END"""
+# fixed values
 PASSWORDS = [relabel("t", p, _SECRET_CASE, g) for p, g in (
     (rf"""(?i)\b{_SECRET}\s*[:=]\s*["']?([A-Za-z0-9!@#$%^&*()_+\-=\[\]{{}};:'",.<>\/?~`]{{6,64}})["']?""", 1),
     (rf"(?i)<{_SECRET}>([^<]+)</{_SECRET}>", 1),
@@ -236,44 +260,58 @@ SECRET_TEXT = """SELECT c_custkey, concat(CASE c_mktsegment
     WHEN 'FURNITURE' THEN concat('{"secret": "v ', c_custkey, ' abc"}')
     WHEN 'HOUSEHOLD' THEN concat('eyJhbGciOiJub25lIn0.eyJzdWIiOiJ4', lpad(c_custkey::VARCHAR, 8, '0'), '.c2lnbmF0dXJl')
     ELSE 'pwd = ab1' END, ' for ', c_mktsegment) AS t FROM customer"""
-CONTACTS = """SELECT c_custkey, c_name, concat(lower(c_mktsegment), '.', c_custkey, '@mail.example.com') AS email,
-    concat('10.', c_nationkey, '.0.', c_custkey % 300) AS ip, c_nationkey, c_acctbal FROM customer"""
-PAGES = """SELECT page_id, concat('<a title="web@example.org">web@example.org</a>', html) AS t FROM pages"""
-TURNS = """SELECT conv_id, turn, concat(text, ' ', role, '.', conv_id, '@chat.example.net') AS t FROM conversations"""
-LOG_LINES = """SELECT ts, concat('user', user_id, '@mail.example.com did ', event_type, ' from 10.0.', user_id % 256, '.',
-    event_id % 300) AS t FROM events"""
+
+
+def _line(key: str) -> str:
+    """The line of a note, in this dialect."""
+    return re.sub(r"lpad\(([^,]+), ", r"lpad((\1)::VARCHAR, ", note_line(key))
+
+
+def _with_line(columns: str, text: str, key: str, table: str) -> str:
+    return f"SELECT {columns}, concat({text}, chr(10), {_line(key)}) AS t FROM {table}"
+
+
+NOTES = _with_line("doc_id", "text", "doc_id", "documents")
+CONTACTS = f"""SELECT c_custkey, c_name, concat(lower(c_mktsegment), '.', c_custkey, '@mail.example.com') AS email,
+    concat('10.', c_nationkey, '.0.', c_custkey % 300) AS ip, {_line('c_custkey')} AS note, c_nationkey, c_acctbal FROM customer"""
+PAGES = f"""SELECT page_id, concat('<a title="web@example.org">web@example.org</a>', html, '<p>', {_line('page_id')}) AS t FROM pages"""
+TURNS = _with_line("conv_id, turn", "concat(text, ' ', role, '.', conv_id, '@chat.example.net')", "(conv_id + turn)", "conversations")
+LOG_LINES = f"SELECT event_id, ts, {LOG_LINE} AS t FROM events"
 
 EMAIL_LABELS = ("[EMAIL:",)
 CARD_LABELS = ("[CREDIT_CARD",)
 SIMPLE = EMAILS + IPS
 SIMPLE_LABELS = EMAIL_LABELS + IP_LABELS
-# the order of the rules; on these documents no two of them compete
-PLAIN = {"emails": (EMAILS, EMAIL_LABELS), "api_keys": (API_KEYS, API_KEY_LABELS),
-         "credit_cards": (CARDS, CARD_LABELS), "ips": (IPS, IP_LABELS)}
-PLAIN_STEPS = [step for steps, _ in PLAIN.values() for step in steps]
-PLAIN_LABELS = tuple(label for _, names in PLAIN.values() for label in names)
-
 
 _KEYWORD_CASE = "CASE WHEN lower({h}) IN (" + ", ".join(q(k) for k in KEYWORDS) + ") THEN '[COMPANY_NAME]' ELSE {h} END"
 
-# All detectors in order. On these documents there are no dates, ids, amounts or passwords to find;
-# what is compared is the order, the interplay, and that nothing else is taken for one.
+# All detectors in order. The documents hold no dates, ids, amounts or passwords; the lines added to notes do.
 # An address in an e-mail label is protected in one profile and taken for a domain in the other.
 _KEYWORDS = [relabel("t", _WORD + "+", _KEYWORD_CASE)]
-_KEPT_LABEL = r"\[EMAIL:[A-Za-z0-9.-]+\]"
+_KEPT_LABEL = rf"\[EMAIL:(?:{_DOT})+[a-zA-Z]{{2,6}}\]"
 _DOMAIN_CASE = (f"CASE WHEN starts_with({{h}}, '[EMAIL:') THEN {{h}} ELSE "
                 f"regexp_replace({{h}}, {q('^' + _DOMAIN + '$')}, {q(chr(92) + '1[DOMAIN:.' + chr(92) + '2]' + chr(92) + '3')}) END")
 _FREE_DOMAINS = [relabel("t", f"{_KEPT_LABEL}|{_DOMAIN}", _DOMAIN_CASE)] * 2
+# three numbers between dots are a date in this profile, whatever the year; the original tells its purpose
+_REF_LABEL = _DATE_LABEL.replace("lower(o)", "lower(right(o, length({h}) + 30))")
+REF_DATES = [relabel("t", p, _REF_LABEL) for p in (
+    rf"\b(?:{_DAY}/{_MON}/(?:\d{{4}}|\d{{2}})|{_DAY}-{_MON}-(?:\d{{4}}|\d{{2}})|{_DAY}\.{_MON}\.(?:\d{{4}}|\d{{2}}))\b",
+    rf"\b(?:\d{{4}}/{_MON}/{_DAY}|\d{{4}}\.{_MON}\.{_DAY}|\d{{4}}-{_MON}-{_DAY})\b",
+    rf"(?i)\b{_DAY}\s+{_MONTH}[a-z]*\.?\s+(?:\d{{4}}|\d{{2}})\b",
+    rf"(?i)\b{_MONTH}[a-z]*\.?\s+{_DAY},?\s+(?:\d{{4}}|\d{{2}})\b")]
 _SHORT_AMOUNT = r"[0-9]{1,3}(?:,\d{3})*(?:\.\d{1,2})?"
 _ANY_WORDS = replaced("t", rf"(?i)\b\d+\s+(?:[A-Z][a-z]+\s+){{1,3}}[A-Z][a-z]+({_NO_WORD}|$)", r"[ADDRESS]\1")
 _LABELS = {"company_names": ("[COMPANY_NAME]",), "emails": EMAIL_LABELS, "domains": ("[DOMAIN",),
            "api_keys": API_KEY_LABELS, "credit_cards": CARD_LABELS, "money": ("[MONEY]",), "phones": ("[PHONE",),
            "ids": ID_LABELS, "ips": IP_LABELS, "addresses": ("[ADDRESS]",), "dates": DATE_LABELS,
            "passwords": SECRET_LABELS}
-FULL_FIXED = (EMAILS + _KEYWORDS + _FREE_DOMAINS + API_KEYS + PASSWORDS + CARDS + IPS + IDS + DATES + ADDRESSES + MONEY
-              + PHONES)
+BY_DETECTOR = {"emails": EMAILS, "company_names": _KEYWORDS, "domains": _FREE_DOMAINS, "api_keys": API_KEYS, "passwords": PASSWORDS,
+               "credit_cards": CARDS, "ips": IPS, "ids": IDS, "dates": NOTE_DATES, "addresses": ADDRESSES, "money": MONEY, "phones": PHONES}
+FULL_FIXED = [step for steps in BY_DETECTOR.values() for step in steps]
+FULL_LABELS = tuple(label for d in BY_DETECTOR for label in _LABELS[d])
+# the second pattern of passwords as it stands wants the literal text "6, 64"; the others differ in nothing
 FULL_REF = (_KEYWORDS + EMAILS + DOMAINS + API_KEYS + CARDS + [m.replace(_AMOUNT, _SHORT_AMOUNT) for m in MONEY] + PHONES
-            + IDS + IPS + [ADDRESSES[0], _ANY_WORDS, *ADDRESSES[2:]] + DATES)
+            + IDS + IPS + [ADDRESSES[0], _ANY_WORDS, *ADDRESSES[2:]] + REF_DATES + PASSWORDS[1:])
 
 
 def _document(steps: Sequence[str]) -> str:
@@ -287,14 +325,14 @@ def _sum_of(labels: Sequence[str], of: str = "t") -> str:
     return " + ".join(times(of, label) for label in labels)
 
 
-# one row per document with the counts of the plain detectors
-PLAIN_COUNTS = ("SELECT doc_id, " + ", ".join(
-    f"CAST({_sum_of(labels)} AS INTEGER) AS {d}" for d, (_, labels) in PLAIN.items())
-    + f", length(o) AS len_before, length(t) AS len_after FROM ({chain(DOCUMENTS, 'doc_id', PLAIN_STEPS)})")
-PLAIN_LONG = (f"SELECT doc_id, detector, n FROM (UNPIVOT ({PLAIN_COUNTS}) ON {', '.join(PLAIN)} "
-              "INTO NAME detector VALUE n)")
+# one row per note with the counts of all detectors
+COUNTS = ("SELECT doc_id, " + ", ".join(f"CAST({_sum_of(_LABELS[d])} - ({_sum_of(_LABELS[d], 'o')}) AS INTEGER) AS {d}" for d in BY_DETECTOR)
+          + f", length(o) AS len_before, length(t) AS len_after FROM ({chain(NOTES, 'doc_id', FULL_FIXED)})")
+COUNTS_LONG = (f"SELECT doc_id, detector, n FROM (UNPIVOT ({COUNTS}) ON {', '.join(BY_DETECTOR)} INTO NAME detector VALUE n)")
 STATS = ("SELECT lang, source, detector, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS docs "
-         f"FROM ({PLAIN_LONG}) JOIN documents USING (doc_id) GROUP BY lang, source, detector")
+         f"FROM ({COUNTS_LONG}) JOIN documents USING (doc_id) GROUP BY lang, source, detector")
+# whether any rule but that of names changes a text
+ANY_RULE = " OR ".join(f"({step}) <> t" for d, steps in BY_DETECTOR.items() if d != "company_names" for step in steps)
 
 # findings: the matches of one pattern with their offsets
 def _matches(detector: str, no: int, pattern: str, label: str, source: str = DOCUMENTS) -> str:
@@ -318,10 +356,14 @@ def _findings(source: str = DOCUMENTS) -> str:
         start, "end", match, match AS value, label, CAST(1 AS DOUBLE) AS score FROM ({rows}) WHERE label <> match"""
 
 
-GAZETTEER = """SELECT DISTINCT keyword, entity_type FROM (
-    SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS keyword, 'COMPANY' AS entity_type FROM benchmark
-    UNION ALL SELECT lower(n_name), 'LOCATION' FROM nation UNION ALL SELECT lower(r_name), 'LOCATION' FROM region)
-    WHERE entity_type = 'LOCATION' OR length(keyword) >= 7"""
+_BENCHMARK_WORDS = "SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM benchmark"
+GAZETTEER = f"""SELECT DISTINCT keyword, entity_type FROM (
+    SELECT unnest(w) AS keyword, 'COMPANY' AS entity_type FROM ({_BENCHMARK_WORDS}) UNION ALL
+    SELECT unnest(list_transform(list_filter(range(0, len(w)), lambda i: i % 5 = 0 AND i + 1 < len(w) AND w[i + 1] <> w[i + 2]), lambda i: w[i + 1] || ' ' || w[i + 2])),
+        'PERSON' FROM ({_BENCHMARK_WORDS}) UNION ALL
+    SELECT lower(p_name), 'URL' FROM part UNION ALL
+    SELECT lower(n_name), 'LOCATION' FROM nation UNION ALL SELECT lower(r_name), 'LOCATION' FROM region)
+    WHERE entity_type <> 'COMPANY' OR length(keyword) >= 5"""
 
 
 def _words(source: str = DOCUMENTS) -> str:
@@ -334,7 +376,7 @@ def _words(source: str = DOCUMENTS) -> str:
 
 
 def _known(source: str = DOCUMENTS) -> str:
-    """Dictionary findings: single words, and the one entry of two words by two neighbours."""
+    """Dictionary findings: single words, and entries of two words by two neighbours."""
     return f"""WITH w AS ({_words(source)}), k AS ({GAZETTEER}),
         two AS (SELECT doc_id, start, word || lead(gap) OVER d || lead(word) OVER d AS match FROM w
                 WINDOW d AS (PARTITION BY doc_id ORDER BY i))
@@ -344,12 +386,31 @@ def _known(source: str = DOCUMENTS) -> str:
         JOIN k ON keyword = lower(match)"""
 
 
-def _dictionary_redacted(source: str = DOCUMENTS) -> str:
-    """No two findings overlap on these texts: no entry is part of another."""
-    label = "CASE entity_type WHEN 'COMPANY' THEN '[COMPANY_NAME]' ELSE '[ADDRESS]' END"
-    return f"""SELECT doc_id, coalesce(string_agg(gap || coalesce(CASE WHEN entity_type IS NULL THEN word
-            ELSE {label} END, ''), '' ORDER BY i), '') AS text, CAST(count(entity_type) AS INTEGER) AS n
-        FROM ({_words(source)}) LEFT JOIN ({GAZETTEER}) ON keyword = lower(word) GROUP BY doc_id"""
+_TYPE_LABEL = """CASE entity_type WHEN 'COMPANY' THEN '[COMPANY_NAME]' WHEN 'LOCATION' THEN '[ADDRESS]' WHEN 'URL' THEN '[URL]'
+    ELSE '[PERSON_NAME]' END"""
+
+
+def _dictionary_redacted(source: str = DOCUMENTS, keys: str = "doc_id") -> str:
+    """An entry of two words goes before one of one word; of two such that share a word the longer, then the first.
+
+    Two rounds: those that no neighbour beats, then those that only a neighbour beaten in the first stood against.
+    Of several types the first label."""
+    k = f"SELECT keyword, min({_TYPE_LABEL}) AS label FROM ({GAZETTEER}) GROUP BY keyword"
+    words = _words(source).replace("doc_id", keys)
+    over = f"OVER (PARTITION BY {keys} ORDER BY i)"
+    best = "(size > coalesce(lag({w}) %s, 0) AND size >= coalesce(lead({w}) %s, 0))" % (over, over)
+    return f"""WITH k AS ({k}), w AS ({words}),
+        n AS (SELECT *, lead(gap) {over} AS gap2, lead(word) {over} AS word2 FROM w),
+        j AS (SELECT n.*, k1.label AS one, k2.label AS two, CASE WHEN k2.label IS NULL THEN 0 ELSE length(word || gap2 || word2) END AS size
+              FROM n LEFT JOIN k k1 ON k1.keyword = lower(word) LEFT JOIN k k2 ON k2.keyword = lower(word || gap2 || word2)),
+        r1 AS (SELECT *, size > 0 AND {best.replace('{w}', 'size')} AS first FROM j),
+        o1 AS (SELECT *, CASE WHEN first OR coalesce(lag(first) {over}, false) OR coalesce(lead(first) {over}, false) THEN 0 ELSE size END AS left_size
+               FROM r1),
+        r2 AS (SELECT *, first OR left_size > 0 AND left_size > coalesce(lag(left_size) {over}, 0)
+               AND left_size >= coalesce(lead(left_size) {over}, 0) AS pair FROM o1),
+        f AS (SELECT *, coalesce(lag(pair) {over}, false) AS second FROM r2)
+        SELECT {keys}, coalesce(string_agg(CASE WHEN second THEN '' ELSE gap || coalesce(CASE WHEN pair THEN two ELSE coalesce(one, word) END, '') END,
+            '' ORDER BY i), '') AS text, CAST(count(*) FILTER (pair OR one IS NOT NULL AND NOT second) AS INTEGER) AS n FROM f GROUP BY {keys}"""
 
 
 _EXTENSION = r"""lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''),
@@ -363,8 +424,8 @@ def _profile(table: str, key: str, text: str, extra: str = "") -> str:
 
 
 # every line under its own key: document and number
-BLOCKS = """SELECT doc_id, block_no, l[block_no + 1] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-    unnest(range(0, len(l))) AS r(block_no)"""
+BLOCKS = """SELECT doc_id, block_no, l[block_no + 1] AS t FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM ({notes})),
+    unnest(range(0, len(l))) AS r(block_no)""".replace("{notes}", NOTES)
 
 def _text_nodes() -> str:
     """Markup taken apart at the tags, each piece of text redacted, and put together again."""
@@ -372,8 +433,22 @@ def _text_nodes() -> str:
         regexp_split_to_array(t, '<[^>]*>'), regexp_extract_all(t, '<[^>]*>')) AS x FROM ({PAGES})),
         unnest(range(1, len(x) + 1)) AS r(i)"""
     return f"""SELECT page_id, string_agg(t || coalesce(tag, ''), '' ORDER BY i) AS html,
-        CAST(sum({' + '.join(f'{times("t", s)} - {times("o", s)}' for s in SIMPLE_LABELS)}) AS INTEGER) AS n
-        FROM ({chain(pieces, 'page_id, i, tag', SIMPLE)}) GROUP BY page_id"""
+        CAST(sum({' + '.join(f'{times("t", s)} - {times("o", s)}' for s in FULL_LABELS)}) AS INTEGER) AS n
+        FROM ({chain(pieces, 'page_id, i, tag', FULL_FIXED)}) GROUP BY page_id"""
+
+
+CELLS = f"""SELECT c_custkey, c, t, c_nationkey, c_acctbal FROM (UNPIVOT ({CONTACTS}) ON c_name, email, ip, note INTO NAME c VALUE t)"""
+FILE_CELLS = f"""SELECT c_custkey, c, t FROM (UNPIVOT (SELECT c_custkey, c_name, email,
+    ip || chr(10) || note AS ip FROM ({CONTACTS})) ON c_name, email, ip INTO NAME c VALUE t)"""
+LEAVES = f"""SELECT event_id, c, t, k, type, value FROM (UNPIVOT (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+    event_type AS type, value, 'user' || user_id || '@example.org' AS contact, '192.168.' || (user_id % 256) || '.7' AS host,
+    {_line('event_id')} AS note, 'call +1 ' || (2000000000 + event_id) AS "call" FROM events) ON contact, host, note, "call" INTO NAME c VALUE t)"""
+VARIANT_LEAVES = """SELECT event_id, c, t, number, k FROM (UNPIVOT (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+    CAST(user_id AS BIGINT) AS number, 'user' || user_id || '@example.org' AS mail, 'say "hi" to 10.0.' || (user_id % 256) || '.7' AS say FROM events)
+    ON mail, say INTO NAME c VALUE t)"""
+PRINTED = """SELECT event_id, concat('{"props": ', props, ', "mail": "', event_type, user_id, '@example.org"',
+    CASE event_type WHEN 'signup' THEN concat(', "id": ', 100000000 + event_id) ELSE '' END, '}') AS t FROM events"""
+_PLACE_CASE = "CASE WHEN lower({h}) IN ('africa', 'america', 'asia', 'europe') OR regexp_matches({h}, '(?i)^nation_[0-9]+$') THEN '[ADDRESS]' ELSE {h} END"
 
 
 def _luhn(number: str) -> str:
@@ -412,11 +487,12 @@ ORACLES: dict[str, str] = {
     "redact_passwords": counted(SECRET_TEXT, "c_custkey", PASSWORDS, SECRET_LABELS),
     "redact_document": _document(FULL_FIXED),
     "redact_document_ref": _document(FULL_REF),
+    "redact_notes": counted(NOTES, "doc_id", FULL_FIXED, FULL_LABELS),
     "redaction_stats": STATS,
     "redaction_stats_cube": f"""SELECT lang, source, detector, CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs
         FROM ({STATS}) GROUP BY CUBE (lang, source, detector)""",
     "length_change": f"""SELECT doc_id, CAST(len_before AS INTEGER) AS before, CAST(len_after AS INTEGER) AS after,
-        CAST(len_after - len_before AS INTEGER) AS diff FROM ({PLAIN_COUNTS})""",
+        CAST(len_after - len_before AS INTEGER) AS diff FROM ({COUNTS})""",
     "findings": _findings(),
     "apply_findings": counted(DOCUMENTS, "doc_id", SIMPLE, SIMPLE_LABELS),
     "recognize_dictionary": _known(),
@@ -425,7 +501,13 @@ ORACLES: dict[str, str] = {
         'IBAN_CODE', 'US_DRIVER_LICENSE', 'CRYPTO', 'URL', 'COMPANY', 'MONEY', 'PASSWORD']) AS entity_type) t
         LEFT JOIN ({_known()}) f USING (entity_type) GROUP BY t.entity_type""",
     "redact_dictionary": _dictionary_redacted(),
-    "redact_dictionary_joined": _dictionary_redacted(),
+    "redact_dictionary_joined": f"""SELECT doc_id, text || ' [COMPANY_NAME], [COMPANY_NAME] and [COMPANY_NAME] not netc++x yahoo?' AS text,
+        CAST(n + 3 AS INTEGER) AS n FROM ({_dictionary_redacted()})""",
+    "redact_dictionary_turns": _dictionary_redacted("SELECT conv_id, turn, text AS t FROM conversations", "conv_id, turn"),
+    "redact_many_keywords": counted("SELECT c_custkey, concat('By ', c_name, ' with c++ and .NET, not ', c_name, 'x or NETC++') AS t FROM customer",
+        "c_custkey", [relabel("t", r"[\p{L}\p{N}_#]+(?:\+\+)?|\.NET",
+                              r"CASE WHEN regexp_matches({h}, '^(Customer#[0-9]+|c\+\+|\.NET)$') THEN '[COMPANY_NAME]' ELSE {h} END")],
+        ("[COMPANY_NAME]",)),
     "recognize_model": f"""SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, start, "end", match, CAST(0.9 AS DOUBLE) AS score
         FROM ({_matches('emails', 1, MODEL_EMAIL, "''")})""",
     "redact_entities": counted(DOCUMENTS, "doc_id", [replaced("t", MODEL_EMAIL, "[EMAIL]")], ("[EMAIL]",)),
@@ -434,57 +516,75 @@ ORACLES: dict[str, str] = {
     "redact_lines": f"""SELECT b.doc_id, string_agg(t, chr(10) ORDER BY block_no) AS text,
         CAST(count(*) FILTER (trim(o, ' ' || chr(9) || chr(13)) <> '') AS INTEGER) AS n_blocks,
         CAST(count(*) FILTER (t <> o) AS INTEGER) AS n_changed
-        FROM ({chain(BLOCKS, 'doc_id, block_no', PLAIN_STEPS)}) b GROUP BY b.doc_id""",
+        FROM ({chain(BLOCKS, 'doc_id, block_no', FULL_FIXED)}) b GROUP BY b.doc_id""",
     "redact_blocks": f"""SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, 'body' AS kind, t AS redacted, t <> o AS changed
-        FROM ({chain(BLOCKS, 'doc_id, block_no', SIMPLE)})""",
+        FROM ({chain(BLOCKS, 'doc_id, block_no', FULL_FIXED)})""",
     "assemble_blocks": f"""SELECT doc_id, string_agg(t, chr(10) ORDER BY block_no) AS text,
         CAST(count(*) FILTER (trim(t, ' ' || chr(9) || chr(13)) <> '') AS INTEGER) AS n_blocks,
         CAST(count(*) FILTER (t <> o) AS INTEGER) AS n_changed
-        FROM ({chain(BLOCKS, 'doc_id, block_no', SIMPLE)}) GROUP BY doc_id""",
-    "redact_table": f"""SELECT c_custkey, c_name, {EMAILS[0].replace('(t,', '(email,')} AS email,
-        {relabel('ip', IPV4, IPV4_LABEL)} AS ip, c_nationkey, c_acctbal FROM ({CONTACTS})""",
-    "redact_nested": f"""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type AS type,
-        '[EMAIL:example.org]' AS contact, event_type AS kind, '[PRIVATE_IPV4]' AS host, CAST(NULL AS VARCHAR) AS host_to,
-        value FROM events""",
-    "redact_json_text": f"""SELECT event_id, concat('{{"props": ', props, ', "mail": "[EMAIL:example.org]"',
-        CASE event_type WHEN 'signup' THEN ', "id": [NATIONAL_ID:IL]' ELSE '' END, '}}') AS json,
-        CAST(CASE event_type WHEN 'signup' THEN 2 ELSE 1 END AS INTEGER) AS n, event_type <> 'signup' AS is_json
-        FROM events""",
-    "redact_markup": counted(PAGES, "page_id", SIMPLE, SIMPLE_LABELS, "html"),
+        FROM ({chain(BLOCKS, 'doc_id, block_no', FULL_FIXED)}) GROUP BY doc_id""",
+    "redact_table": f"""SELECT c_custkey, max(CASE WHEN c = 'c_name' THEN t END) AS c_name, max(CASE WHEN c = 'email' THEN t END) AS email,
+        max(CASE WHEN c = 'ip' THEN t END) AS ip, max(CASE WHEN c = 'note' THEN t END) AS note, any_value(c_nationkey) AS c_nationkey,
+        any_value(c_acctbal) AS c_acctbal FROM ({chain(CELLS, 'c_custkey, c, c_nationkey, c_acctbal', FULL_FIXED)}) GROUP BY c_custkey""",
+    "redact_nested": f"""SELECT event_id, any_value(k) AS k, any_value(type) AS type, max(CASE WHEN c = 'contact' THEN t END) AS contact,
+        any_value(type) AS kind, max(CASE WHEN c = 'host' THEN t END) AS host, CAST(NULL AS VARCHAR) AS host_to,
+        max(CASE WHEN c = 'note' THEN t END) AS note, max(CASE WHEN c = 'call' THEN t END) AS "call", any_value(value) AS value
+        FROM ({chain(LEAVES, 'event_id, c, k, type, value', FULL_FIXED)}) GROUP BY event_id""",
+    "redact_variant": f"""SELECT event_id, max(CASE WHEN c = 'mail' THEN t END) AS mail, any_value(number) AS number,
+        max(CASE WHEN c = 'say' THEN t END) AS note, any_value(k) AS k FROM ({chain(VARIANT_LEAVES, 'event_id, c, number, k', FULL_FIXED)})
+        GROUP BY event_id""",
+    "redact_json_text": f"""SELECT event_id, t AS json, CAST({_sum_of(FULL_LABELS)} AS INTEGER) AS n, json_valid(t) AS is_json
+        FROM ({chain(PRINTED, 'event_id', FULL_FIXED)})""",
+    "redact_markup": counted(PAGES, "page_id", FULL_FIXED, FULL_LABELS, "html"),
     "redact_markup_text": _text_nodes(),
-    "redact_conversations": counted(TURNS, "conv_id, turn", SIMPLE, SIMPLE_LABELS),
+    "redact_conversations": counted(TURNS, "conv_id, turn", FULL_FIXED, FULL_LABELS),
     "conversation_totals": f"""SELECT conv_id, count(*) AS turns, CAST(sum(n) AS BIGINT) AS n
-        FROM ({counted(TURNS, 'conv_id, turn', SIMPLE, SIMPLE_LABELS)}) GROUP BY conv_id""",
-    "method_chain": f"SELECT doc_id, text FROM ({_dictionary_redacted(chain(DOCUMENTS, 'doc_id', SIMPLE))})",
-    "method_chain_model_first": f"SELECT doc_id, t AS text FROM ({chain('SELECT doc_id, text AS t FROM (' + _dictionary_redacted() + ')', 'doc_id', SIMPLE)})",
+        FROM ({counted(TURNS, 'conv_id, turn', FULL_FIXED, FULL_LABELS)}) GROUP BY conv_id""",
+    "method_chain": f"SELECT doc_id, text FROM ({_dictionary_redacted(chain(NOTES, 'doc_id', FULL_FIXED))})",
+    "method_chain_model_first": f"SELECT doc_id, t AS text FROM ({chain('SELECT doc_id, text AS t FROM (' + _dictionary_redacted(NOTES) + ')', 'doc_id', FULL_FIXED)})",
     "profile_documents": _profile("documents", "doc_id", "text"),
     "profile_pages": _profile("pages", "page_id", "html", f", {_EXTENSION} AS extension"),
     "audit_detectors": f"""SELECT detector, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS docs, count(*) AS docs_total,
-        count(*) FILTER (n > 0) / count(*) AS share FROM ({PLAIN_LONG}) GROUP BY detector""",
-    "audit_columns": f"""SELECT "column", count(*) AS rows, detector, CAST(sum(n) AS BIGINT) AS n,
-        count(*) FILTER (n > 0) AS rows_hit, count(*) FILTER (n > 0) / count(*) AS share FROM (
-        SELECT "column", d.detector, CASE d.detector WHEN 'emails' THEN len({found('cell', EMAIL)})
-            ELSE len(list_filter({found('cell', IPV4)}, lambda h: {IPV4_LABEL.replace('{h}', 'h')} <> h))
-                 + len({found('cell', IPV6)}) END AS n
-        FROM (UNPIVOT (SELECT c_name, email, ip FROM ({CONTACTS})) ON c_name, email, ip INTO NAME "column" VALUE cell),
-             (VALUES ('emails'), ('ips')) AS d(detector)) GROUP BY "column", detector""",
+        count(*) FILTER (n > 0) / count(*) AS share FROM ({COUNTS_LONG}) GROUP BY detector""",
+    "audit_columns": f"""SELECT "column", count(*) AS rows, detector, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS rows_hit,
+        count(*) FILTER (n > 0) / count(*) AS share FROM (UNPIVOT (SELECT c AS "column", {', '.join(
+            f"CAST({_sum_of(_LABELS[d])} - ({_sum_of(_LABELS[d], 'o')}) AS INTEGER) AS {d}" for d in BY_DETECTOR)}
+        FROM ({chain(CELLS, 'c_custkey, c', FULL_FIXED)})) ON {', '.join(BY_DETECTOR)} INTO NAME detector VALUE n) GROUP BY "column", detector""",
     "riskiest_documents": f"""SELECT source, doc_id, n_total, CAST(rank AS INTEGER) AS rank FROM (SELECT source, doc_id,
         n_total, row_number() OVER (PARTITION BY source ORDER BY n_total DESC, doc_id) AS rank
-        FROM (SELECT doc_id, CAST({' + '.join(PLAIN)} AS INTEGER) AS n_total FROM ({PLAIN_COUNTS})) JOIN documents USING (doc_id)
+        FROM (SELECT doc_id, CAST({' + '.join(BY_DETECTOR)} AS INTEGER) AS n_total FROM ({COUNTS})) JOIN documents USING (doc_id)
         WHERE n_total > 0) WHERE rank <= 3""",
     "distinct_values": f"""SELECT detector, count(*) AS n, count(DISTINCT match) AS values FROM ({_findings()}) GROUP BY detector""",
     "top_values": f"""SELECT detector, match, count(*) AS n FROM ({_findings()}) GROUP BY detector, match
         ORDER BY n DESC, detector, match LIMIT 20""",
-    # nothing may be left
-    "residual_scan": "SELECT doc_id, CAST(0 AS INTEGER) AS n_total FROM documents WHERE false",
+    "residual_scan": f"""SELECT doc_id, n AS n_total FROM ({counted(
+        chain(NOTES, 'doc_id', EMAILS + CARDS + MONEY), 'doc_id', FULL_FIXED, FULL_LABELS)}) WHERE n > 0""",
+    "residual_scan_clean": f"""SELECT doc_id, n AS n_total FROM ({counted(
+        chain(NOTES, 'doc_id', FULL_FIXED), 'doc_id', FULL_FIXED, FULL_LABELS)}) WHERE n > 0""",
     "luhn_valid": _cards(),
-    "clean_documents": f"""SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_findings()}))""",
+    "clean_documents": f"SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, text AS t, text AS o FROM documents) WHERE NOT ({ANY_RULE})",
+    "documents_with_pii": f"SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, text AS t, text AS o FROM documents) WHERE {ANY_RULE}",
+    "united_findings": counted(DOCUMENTS, "doc_id", [replaced("t", MODEL_EMAIL, "[EMAIL]"), *IPS, relabel("t", _WORD + "+", _PLACE_CASE)],
+                               ("[EMAIL]", *IP_LABELS, "[ADDRESS]")),
+    "redact_blocks_chain": f"""SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, t AS redacted, t <> o AS changed
+        FROM ({chain(BLOCKS, 'doc_id, block_no', CARDS + IPS + [replaced("t", MODEL_EMAIL, "[EMAIL]")])})""",
+    "redact_user_rule": counted(MONEY_TEXT, "o_orderkey", [replaced("t", r"\border \d+\b", "[ORDER]"),
+        relabel("t", r"\$(\d+),", "'[OVER:' || length({v}) || ']'", 1)], ("[ORDER]", "[OVER:")),
+    "files_round_trip": f"""SELECT format, c_custkey, max(CASE WHEN c = 'c_name' THEN t END) AS c_name, max(CASE WHEN c = 'email' THEN t END) AS email,
+        max(CASE WHEN c = 'ip' THEN t END) AS note FROM ({chain(FILE_CELLS, 'c_custkey, c', FULL_FIXED)}),
+        (VALUES ('csv'), ('tsv'), ('json'), ('xml'), ('parquet')) AS f(format) GROUP BY format, c_custkey""",
+    "files_as_documents": """SELECT role, '.txt' AS extension, 'text/plain' AS mime_type, 'text' AS format, 'UTF-8' AS encoding,
+        CAST(count(*) + 1 AS INTEGER) AS lines, CAST(sum(length(concat_ws(' ', 'turn', conv_id, turn)) + 1) AS BIGINT) AS chars
+        FROM conversations GROUP BY role""",
     "run_metrics": f"""SELECT 'run-1' AS run_id, 'documents' AS job, detector, CAST(sum(n) AS BIGINT) AS n,
-        count(*) FILTER (n > 0) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(NULL AS DOUBLE) AS seconds
-        FROM (SELECT doc_id, detector, n FROM ({PLAIN_LONG}) UNION ALL SELECT doc_id, unnest(['company_names', 'domains', 'money', 'phones',
-            'ids', 'addresses', 'dates', 'passwords']), 0 FROM documents) JOIN documents USING (doc_id) GROUP BY detector""",
-    "stream_counts": f"""SELECT date_trunc('day', ts) AS window_start, detector, CAST(sum(n) AS BIGINT) AS n, count(*) AS events
-        FROM (SELECT ts, d.detector, CASE d.detector WHEN 'emails' THEN len({found('t', EMAIL)})
+        count(*) FILTER (n > 0) AS docs, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(NULL AS DOUBLE) AS seconds
+        FROM ({COUNTS_LONG}) JOIN ({NOTES}) USING (doc_id) GROUP BY detector""",
+    "stream_counts": f"""WITH lines AS ({LOG_LINES}), marks AS (SELECT max(ts) FILTER (event_id % 50 > 1) - INTERVAL 1 HOUR AS first,
+            max(ts) - INTERVAL 1 HOUR AS last FROM events)
+        SELECT window_start, detector, CAST(sum(n) AS BIGINT) AS n, count(*) AS events
+        FROM (SELECT event_id, date_trunc('day', ts) AS window_start, d.detector, CASE d.detector WHEN 'emails' THEN len({found('t', EMAIL)})
             ELSE len(list_filter({found('t', IPV4)}, lambda h: {IPV4_LABEL.replace('{h}', 'h')} <> h)) END AS n
-            FROM ({LOG_LINES}), (VALUES ('emails'), ('ips')) AS d(detector)) WHERE n > 0 GROUP BY 1, 2""",
+            FROM lines, (VALUES ('emails'), ('ips')) AS d(detector)), marks
+        WHERE n > 0 AND window_start + INTERVAL 1 DAY <= last AND (event_id % 50 <> 0 OR window_start + INTERVAL 1 DAY > first) GROUP BY 1, 2""",
+    "redact_stream": f"SELECT event_id, text, n FROM ({counted(LOG_LINES, 'event_id', FULL_FIXED, FULL_LABELS)})",
 }

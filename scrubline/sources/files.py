@@ -45,17 +45,23 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str | N
 
     Bytes that are not valid UTF-8 are read as ISO-8859-1 and flagged; a file of
     unknown extension is text if it is valid UTF-8 and ``unsupported`` otherwise.
-    Containers and archives have a row but no text. Files of length 0 have no row.
+    Containers and archives have a row but no text; their bytes are not read. Files
+    of length 0 have no row. A value holds 2 GB at most: a larger text file fails the
+    job (raise its split with ``read_lines`` instead).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path if isinstance(path, str) else list(path))
     by_extension = {ext: name for name, extensions in FORMATS.items() for ext in extensions}
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    known = files.select(
-        "path", F.col("length").alias("size"), extension_of(F.col("path")).alias("extension"), "content",
-        utf8.alias("_utf8")).withColumn("format", _lookup(F.col("extension"), by_extension))
+    # the name decides before anything is read: Spark skips the other files, and the content where it is not asked for
+    containers = [ext for ext, name in by_extension.items() if name not in TEXT_FORMATS]
+    is_container = extension_of(F.col("_metadata.file_name")).isin(*containers)
+    columns = ("path", F.col("length").alias("size"), extension_of(F.col("path")).alias("extension"))
+    read = files.where(~is_container).select(*columns, "content")
+    listed = files.where(is_container).select(*columns).withColumn("content", F.lit(None).cast("binary"))
+    known = read.withColumn("_utf8", F.is_valid_utf8(F.col("content").cast("string"))).unionByName(
+        listed.withColumn("_utf8", F.lit(False))).withColumn("format", _lookup(F.col("extension"), by_extension))
     known = known.withColumn("format", F.coalesce("format", F.when(F.col("_utf8"), "text").otherwise("unsupported")))
     has_text = F.col("format").isin(*TEXT_FORMATS)
     encoding = F.when(F.col("_utf8"), "UTF-8").otherwise("ISO-8859-1")
@@ -81,8 +87,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_table(spark: SparkSession, path: str, fmt: str, schema: str | None = None, row_tag: str | None = None,
-               spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str, schema: str | None = None, row_tag: str | None = None) -> DataFrame:
     """A table for column-wise or nested redaction: csv, tsv, json, json5, jsonl, xml, parquet or orc."""
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt in DELIMITERS:
@@ -100,18 +105,7 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema: str | None = No
         df = reader.format(fmt).load(path)
     else:
         raise ValueError(f"unknown table format {fmt!r}")
-    return spread_out(df) if spread else df
-
-
-def spread_out(df: DataFrame) -> DataFrame:
-    """Deal out a small input over all cores.
-
-    The rules are CPU-bound. An input with fewer splits than cores (one file with
-    one row group is one split) would leave cores idle; any larger one is left as
-    it is and never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df
 
 
 def write_table(df: DataFrame, path: str, fmt: str, partition_by: Sequence[str] = (), mode: str = "errorifexists",

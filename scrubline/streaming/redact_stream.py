@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubline.operators.redact import Redactor, redact_column
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
+def read_stream(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:

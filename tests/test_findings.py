@@ -13,8 +13,8 @@ from scrubline.operators.findings import (
     apply_findings, entity_stats, findings, recognize, redact_entities, resolve_overlaps, with_luhn, without_allowed)
 from scrubline.operators.redact import Redactor, redact, redact_column
 from scrubline.sources.files import write_bucketed
-from tests import brute
 from tests.cases import CASES, EDGE, KEYWORDS, REPORT
+from tests.plain import mails_and_ips
 
 FOUND = "doc_id BIGINT, start INT, end INT, entity_type STRING, score DOUBLE"
 
@@ -24,16 +24,22 @@ def frame(spark, texts):
 
 
 @pytest.mark.parametrize("profile", ["fixed", "ref"])
-def test_findings_equal_brute_force(spark, docs, profile):
+def test_findings_stand_where_they_say(spark, docs, profile):
+    """Offsets, numbers and order; and the addresses of documents, told by the standard library."""
     texts = [REPORT, *EDGE, *(text for cases in CASES.values() for text, _, _ in cases)]
     texts += [r.text for r in docs.collect()]
     got = findings(frame(spark, texts), redactor=Redactor(KEYWORDS, profile=profile)).collect()
-    by_doc = {}
+    by_rule = {}
     for r in got:
-        by_doc.setdefault(r.doc_id, []).append((r.detector, r.rule_no, r.start, r.end, r.match, r.label))
-        assert texts[r.doc_id][r.start:r.end] == r.match
-    for i, text in enumerate(texts):
-        assert sorted(by_doc.get(i, [])) == brute.findings(text, profile, KEYWORDS)
+        assert texts[r.doc_id][r.start:r.end] == r.match and r.value in r.match and re.fullmatch(r"\[[A-Z0-9_]+(:.+)?\]", r.label)
+        by_rule.setdefault((r.doc_id, r.detector, r.rule_no), []).append(r)
+    for rows in by_rule.values():
+        rows.sort(key=lambda r: r.ord)
+        assert [r.ord for r in rows] == list(range(len(rows))) and all(a.end <= b.start for a, b in zip(rows, rows[1:]))
+    assert {(d, n) for _, d, n in by_rule} >= {(d, 1) for d in CASES if (d, profile) != ("passwords", "ref")}
+    for i, r in enumerate(docs.collect(), len(texts) - docs.count()):
+        mine = [(f.match, f.label) for f in by_rule.get((i, "ips", 1), [])]
+        assert mine == [f[1:] for f in mails_and_ips(re.sub(r"[^0-9.]+|\.+(?![0-9])", " ", r.text)) if f[0] == "ips"]
 
 
 def test_counts_tie_out_for_a_single_rule(spark, docs):
@@ -166,28 +172,61 @@ def brute_dictionary(text):
 def test_dictionary_equals_brute_force(spark, docs, dictionary):
     texts = ["ACME corp in New York, new  york", "acmes acme", "Été été étés", "", None] + [r.text for r in docs.collect()]
     df = frame(spark, texts)
-    for size in (10 ** 6, 0):  # broadcast and shuffled
-        got = {}
-        for r in recognize_dictionary(df, dictionary, broadcast_chars=size).collect():
-            got.setdefault(r.doc_id, []).append((r.entity_type, r.start, r.end, r.match))
-        for i, text in enumerate(texts):
-            assert sorted(got.get(i, [])) == brute_dictionary(text)
-    inside = redact_dictionary(df, dictionary)
-    joined = redact_dictionary(df, dictionary, broadcast_chars=0)
-    assert sorted(inside.collect()) == sorted(joined.collect())
-    assert inside.orderBy("doc_id").first().text == "[COMPANY_NAME] in [ADDRESS], new  york"
-
-
-def test_dictionary_plans(spark, docs, dictionary):
-    small = recognize_dictionary(docs, dictionary)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in small
-    large = recognize_dictionary(docs, dictionary, broadcast_chars=0)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in large and "Broadcast" not in large
-
-
-def test_dictionary_refuses_unbounded_keywords_and_takes_none(spark, docs):
-    with pytest.raises(ValueError):
-        recognize_dictionary(docs, spark.createDataFrame([("C++", "COMPANY")], "keyword STRING, entity_type STRING"))
+    for threshold in (str(10 ** 7), "-1"):  # broadcast or not is Spark's choice and changes nothing
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = {}
+            for r in recognize_dictionary(df, dictionary).collect():
+                got.setdefault(r.doc_id, []).append((r.entity_type, r.start, r.end, r.match))
+            for i, text in enumerate(texts):
+                assert sorted(got.get(i, [])) == brute_dictionary(text)
+            assert redact_dictionary(df, dictionary).orderBy("doc_id").first().text == "[COMPANY_NAME] in [ADDRESS], new  york"
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def redacted(spark, entries, texts):
+    table = spark.createDataFrame(entries, "keyword STRING, entity_type STRING")
+    return [r.text for r in redact_dictionary(frame(spark, texts), table).orderBy("doc_id").collect()]
+
+
+def test_dictionary_of_any_script_and_symbols(spark):
+    cafe = "cafe\u0301"  # with a combining accent
+    assert redacted(spark, [("नमस्ते", "PERSON"), (cafe, "PERSON")], ["say नमस्ते now", f"Un {cafe}, s'il", "cafe"]) == [
+        "say [PERSON_NAME] now", "Un [PERSON_NAME], s'il", "cafe"]
+    assert redacted(spark, [("Acme", "COMPANY")], ["acme½ Acme", "acme_ acme"]) == ["[COMPANY_NAME]½ [COMPANY_NAME]", "acme_ [COMPANY_NAME]"]
+    assert redacted(spark, [("Acme", "LOCATION"), ("acme", "COMPANY")], ["Acme"]) == ["[ADDRESS]"]
+    assert redacted(spark, [("C++", "COMPANY"), (".NET", "COMPANY"), ("C", "URL")], ["c++, .Net, c+ x.net nets"]) == [
+        "[COMPANY_NAME], [COMPANY_NAME], [URL]+ x[COMPANY_NAME] nets"]
+
+
+def test_dictionary_of_many_overlapping_names(spark):
+    entries = [(f"n{i}", "PERSON") for i in range(5000)] + [(f"n{i} n{i + 1}", "COMPANY") for i in range(0, 5000, 2)] + [("n1 n2 n3", "LOCATION")]
+    assert redacted(spark, entries, ["n0 n1 n2 n3", "n4 n5, n6", "n4999 n5000 n5001"]) == [
+        "[PERSON_NAME] [ADDRESS]", "[COMPANY_NAME], [PERSON_NAME]", "[PERSON_NAME] n5000 n5001"]
+
+
+def test_rows_that_share_an_id(spark):
+    """Turns have two keys; rows that share even those are told apart by their text."""
+    rows = [(1, 1, "acme is one"), (1, 2, "one is acme"), (2, 1, "acme"), (2, 1, "no acme"), (2, 1, "no acme"), (None, None, "acme")]
+    df = spark.createDataFrame(rows, "conv_id INT, turn INT, text STRING")
+    table = spark.createDataFrame([("Acme", "COMPANY")], "keyword STRING, entity_type STRING")
+    got = redact_dictionary(df, table, ("conv_id", "turn")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [
+        type(got[0])(conv_id=a, turn=b, text=t.replace("acme", "[COMPANY_NAME]"), n=1) for a, b, t in rows]))
+    by_conv = redact_dictionary(df, table, "conv_id").where("conv_id = 1").collect()
+    assert sorted(r.text for r in by_conv) == ["[COMPANY_NAME] is one", "one is [COMPANY_NAME]"]
+
+
+def test_dictionary_shuffles_little(spark, docs, dictionary):
+    """Only runs of words whose bit is set become rows."""
+    plan = recognize_dictionary(docs, dictionary)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_dictionary_refuses_what_has_no_word_and_takes_none(spark, docs):
+    with pytest.raises(Exception, match="without any word character"):
+        recognize_dictionary(docs, spark.createDataFrame([("++", "COMPANY")], "keyword STRING, entity_type STRING")).collect()
     empty = spark.createDataFrame([], "keyword STRING, entity_type STRING")
     assert recognize_dictionary(docs, empty).count() == 0
     assert redact_dictionary(docs, empty).where("n > 0").count() == 0

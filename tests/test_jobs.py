@@ -5,7 +5,8 @@ import __spark_entry__ as entry
 from check import TABLES, compare
 from tests.conftest import DATA
 
-JOBS, SQL = entry.queries(), entry.oracle_sql()
+from scrubline.plans.jobs import JOBS  # noqa: E402
+from scrubline.plans.oracles import ORACLES as SQL  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,10 @@ def con():
     return con
 
 
+def test_entry_has_all_jobs():
+    assert JOBS.items() <= entry.queries().items() and SQL.items() <= entry.oracle_sql().items()
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["doc_id", "text"] and len(df.columns) == 14 and df.count() == 200

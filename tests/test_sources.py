@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from scrubline.operators.redact import Redactor, redact, redact_nested, redact_table
 from scrubline.plans.corpus import redact_files
 from scrubline.sources.files import (
-    RUN_METRICS, append_run_metrics, read_documents, read_lines, read_table, run_metrics, spread_out, write_table)
+    RUN_METRICS, append_run_metrics, read_documents, read_lines, read_table, run_metrics, write_table)
 
 PLAIN = Redactor(detectors=("emails", "ips"))
 
@@ -103,7 +103,8 @@ def test_run_metrics_schema(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).where("detector = 'emails'").count() == 2
 
 
-def test_small_inputs_are_spread_and_large_ones_left_alone(spark):
-    assert spread_out(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
-    many = spark.range(100, numPartitions=50)
-    assert spread_out(many) is many
+def test_containers_are_listed_unread(spark, folder):
+    """The names decide: the content of containers is not asked for."""
+    plan = read_documents(spark, str(folder / "in")).select("path", "format", "text")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert len(scans) == 2 and sum("content" in line.split("ReadSchema")[1] for line in scans) == 1
