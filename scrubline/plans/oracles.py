@@ -143,12 +143,13 @@ _ID_CASE = """CASE WHEN contains(lower({h}), 'ssn') OR regexp_matches({k}, '^\\d
     WHEN contains(lower({h}), 'tz') OR regexp_matches({k}, '^\\d{9}$') THEN '[NATIONAL_ID:IL]'
     WHEN contains(lower({h}), 'emp') OR contains(lower({h}), 'staff') THEN '[EMPLOYEE_ID]' ELSE '[ID_NUMBER]' END"""
 # fixed values
-IDS = [relabel("t", p, _ID_CASE.replace("{k}", "{v}" if g else "{h}"), g) for p, g in (
+ID_PATTERNS = (
     (r"(?i)(?:\b(?:TZ|T\.Z\.|ID|id number)\s*[:=-]?\s*)?(\b\d{9}\b)", 1),
     (r"(?i)(?:\bSSN\s*[:=-]?\s*)?(\b\d{3}[\s.-]?\d{2}[\s.-]?\d{4}\b)", 1),
     (r"(?i)\b(?:passport\s*(?:number|no)?\.?\s*[:=-]?\s*)([A-Z0-9]{6,15})\b", 1),
     (r"\b[A-Z]{1,2}\d{6,9}\b", 0),
-    (r"(?i)\b(?:employee|emp|staff)\s*(?:id|number|#)\s*[:=-]?\s*([A-Za-z0-9\-_]{4,15})\b", 1))]
+    (r"(?i)\b(?:employee|emp|staff)\s*(?:id|number|#)\s*[:=-]?\s*([A-Za-z0-9\-_]{4,15})\b", 1))
+IDS = [relabel("t", p, _ID_CASE.replace("{k}", "{v}" if g else "{h}"), g) for p, g in ID_PATTERNS]
 ID_LABELS = ("[SSN_ID]", "[PASSPORT_ID]", "[NATIONAL_ID:IL]", "[EMPLOYEE_ID]", "[ID_NUMBER]")
 
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
@@ -199,12 +200,13 @@ _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _DATE_LABEL = """CASE WHEN regexp_matches(lower(o), 'birth|born|dob') THEN '[DATE_OF_BIRTH]'
     WHEN regexp_matches(lower(o), 'expir|valid until|good through') THEN '[EXPIRY_DATE]'
     WHEN regexp_matches(lower(o), 'issue|created on') THEN '[ISSUE_DATE]' ELSE '[DATE]' END"""
-DATES = [relabel("t", p, _DATE_LABEL) for p in (
+DATE_PATTERNS = (
     rf"\b(?:{_DAY}/{_MON}/(?:\d{{4}}|\d{{2}})|{_DAY}-{_MON}-(?:\d{{4}}|\d{{2}})|{_DAY}\.{_MON}\.\d{{4}})\b",
     rf"\b(?:\d{{4}}/{_MON}/{_DAY}|\d{{4}}\.{_MON}\.{_DAY}|\d{{4}}-{_MON}-{_DAY})\b",
     rf"(?i)\b{_DAY}\s+{_MONTH}[a-z]*\.?\s+(?:\d{{4}}|\d{{2}})\b",
     rf"(?i)\b{_MONTH}[a-z]*\.?\s+{_DAY},?\s+(?:\d{{4}}|\d{{2}})\b",
-)]
+)
+DATES = [relabel("t", p, _DATE_LABEL) for p in DATE_PATTERNS]
 # a date in a line of a note stands at its end: 30 characters before it tell its purpose
 _NOTE_DATE_LABEL = _DATE_LABEL.replace("lower(o)", "lower(right(t, length({h}) + 30))")
 _DATE_WORDS = (
@@ -221,11 +223,12 @@ _SECRET_CASE = """CASE WHEN starts_with({v}, '[') AND ends_with({v}, ']') THEN {
     WHEN contains(lower({h}), 'jwt') THEN '[JWT_TOKEN]' WHEN contains(lower({h}), 'token') THEN '[AUTH_TOKEN]'
     WHEN contains(lower({h}), 'secret') OR contains(lower({h}), 'key') THEN '[SECRET_OR_KEY]' ELSE '[PASSWORD]' END"""
 # fixed values
-PASSWORDS = [relabel("t", p, _SECRET_CASE, g) for p, g in (
+PASSWORD_PATTERNS = (
     (rf"""(?i)\b{_SECRET}\s*[:=]\s*["']?([A-Za-z0-9!@#$%^&*()_+\-=\[\]{{}};:'",.<>\/?~`]{{6,64}})["']?""", 1),
     (rf"(?i)<{_SECRET}>([^<]+)</{_SECRET}>", 1),
     (rf"""(?i)["']{_SECRET}["']\s*:\s*["']([^"']{{6,64}})["']""", 1),
-    (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?", 0))]
+    (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?", 0))
+PASSWORDS = [relabel("t", p, _SECRET_CASE, g) for p, g in PASSWORD_PATTERNS]
 SECRET_LABELS = ("[JWT_TOKEN]", "[AUTH_TOKEN]", "[SECRET_OR_KEY]", "[PASSWORD]")
 
 # --- sources -----------------------------------------------------------------
@@ -345,6 +348,66 @@ def _matches(detector: str, no: int, pattern: str, label: str, source: str = DOC
               WHERE regexp_matches(t, {q(pattern)})), unnest(range(1, len(m) + 1)) AS r(i))"""
 
 
+def _rule(detector: str, no: int, core: str, label: str, left: str = "", right: str = "", group: int = 0, flags: str = "") -> str:
+    """The matches of one rule in the notes. ``left``, ``right``: the neighbours that may stand on either side, in a group.
+    No two matches of a rule stand so close in the notes that they share a neighbour on the right and the left."""
+    whole = f"{flags}{left}({core}){right}"
+    part = f"regexp_extract(hit, {q(f'{flags}^{left}({core}){right}$')}, "
+    first, match = (f"length({part}1))" if left else "0", f"{part}{2 if left else 1})")
+    value = f"regexp_extract(match, {q(f'{flags}^(?:{core})$')}, {group})" if group else "match"
+    label = label.replace("{h}", "match").replace("{v}", "value").replace("{n}", "value").replace("{k}", "value")
+    return f"""SELECT *, {label} AS label FROM (SELECT *, {value} AS value FROM (SELECT doc_id, '{detector}' AS detector, {no} AS rule_no, i,
+        CAST(start + {first} AS INTEGER) AS start, {match} AS match, t FROM (
+        SELECT m.doc_id, i, start, match AS hit, t FROM ({_matches(detector, no, whole, "''", NOTES)}) m JOIN ({NOTES}) USING (doc_id))))"""
+
+
+_WORDS_RIGHT, _WORDS_LEFT = rf"({_NO_WORD}|$)", rf"(^|{_NO_WORD})"
+_PURPOSE = "lower(match || chr(10) || substr(t, greatest(start - 29, 1), least(start, 30) + length(match) + 30))"
+_FOUND_DATE = _DATE_LABEL.replace("lower(o)", _PURPOSE)
+_SIGN_MONEY = rf"\s*{_AMOUNT}"
+
+
+def _findings_of_all() -> str:
+    """All rules but that of names, each over the notes as they are, and the names."""
+    rules = [_rule("emails", 1, EMAIL, "'[EMAIL:' || substr({h}, position('@' IN {h}) + 1) || ']'"),
+             _rule("company_names", 1, _WORD + "+", _KEYWORD_CASE),
+             _rule("domains", 1, rf"(?:https?://)?(?:www\.)?(?:{_DOT})+[a-zA-Z]{{2,63}}", "'[DOMAIN:.' || regexp_extract({h}, '[a-zA-Z]+$') || ']'",
+                   r"(^|[^@\[\p{L}\p{N}_])", _WORDS_RIGHT)]
+    rules += [_rule("api_keys", no, p.removeprefix("(?i)"), label, group=group, flags="(?i)" if p.startswith("(?i)") else "",
+                    right="([^0-9A-Za-z_-]|$)" if no == 4 else "") for no, (p, label, group) in enumerate(API_KEY_RULES, 1)]
+    rules += [_rule("credit_cards", no, p, _CARD, _LEFT, _RIGHT) for no, p in enumerate(CARD_PATTERNS, 1)]
+    rules.append(_rule("credit_cards", 5, _CARD_WORDS.removeprefix("(?i)").removesuffix("([^0-9]|$)"), _CARD, "", _RIGHT, 1, "(?i)"))
+    signs = ((1, r"\$", ""), (3, "₪", ""), (7, "€", ""), (8, "£", ""), (5, "(?:NIS|ILS)", "(?i)"), (6, "(?:EUR|GBP|JPY|CHF|AUD|CAD|CNY)", "(?i)"))
+    rules += [_rule("money", no, sign + _SIGN_MONEY, "'[MONEY]'", _WORDS_LEFT, _RIGHT, 0, flags) for no, sign, flags in signs]
+    rules += [_rule("money", no, rf"{_AMOUNT}\s*{name}", "'[MONEY]'", _WORDS_LEFT, _WORDS_RIGHT, 0, "(?i)")
+              for no, name in ((2, r"(?:dollars|USD|US\$)"), (4, "(?:shekels?|ILS|NIS)"))]
+    rules.append(_rule("money", 9, r"(?:costs?|worth|value|amount|payment|fee|price|charge|rate|income|revenue|profit|loss|salary|wage|fine|total)"
+                       rf"\s+(?:is|of|:)?\s*(?:\$|₪|€|£)?\s*{_AMOUNT}\s*(?:dollars|USD|shekels?|ILS|NIS|euros?|EUR|GBP|pounds?)?", "'[MONEY]'", "", _RIGHT, 0, "(?i)"))
+    rules += [_rule("phones", no, p, _PHONE, _LEFT, _RIGHT) for no, p in enumerate((
+        _BROAD_PHONE, r"0(?:5\d|7[234678])(?:[\s.-]?\d{3}[\s.-]?\d{4}|[\s.-]?\d{7})", r"0[23489](?:[\s.-]?\d{3}[\s.-]?\d{4}|[\s.-]?\d{7})",
+        r"(?:\(\d{3}\)[\s.-]?|\d{3}[\s.-]?)\d{3}[\s.-]?\d{4}"), 1)]
+    rules.append(_rule("phones", 5, _PHONE_WORDS.removeprefix("(?i)").removesuffix("([^0-9]|$)"), _PHONE, "", _RIGHT, 1, "(?i)"))
+    rules += [_rule("ids", no, p.removeprefix("(?i)"), _ID_CASE, group=g, flags="(?i)" if p.startswith("(?i)") else "")
+              for no, (p, g) in enumerate(ID_PATTERNS, 1)]
+    rules += [_rule("ips", 1, IPV4, IPV4_LABEL), _rule("ips", 2, IPV6, "'[IPV6_ADDRESS]'")]
+    rules += [_rule("addresses", 1, rf"\b\d+\s+(?:[A-Z][a-z]+\s+)*[A-Z][a-z]+\s+{_STREET}\b", "'[ADDRESS]'", flags="(?i)"),
+              _rule("addresses", 2, r"\b\d+\s+(?:[A-Z][a-z]+\s+){1,3}[A-Z][a-z]+\b", _NOT_MONTH),
+              _rule("addresses", 3, r"\bP\.?O\.?\s*Box\s+\d+\b", "'[ADDRESS]'", flags="(?i)"),
+              _rule("addresses", 4, r"(?:address|location|office|hq|headquarters|residence|property)\s*[:=-]?\s*"
+                    rf"\d+\s+.*?{_STREET}.*?\b\d{{5}}(?:-\d{{4}})?\b", "'[ADDRESS]'", flags="(?i)"),
+              _rule("addresses", 5, r"""(?:רחוב|רח\.?|שדרות|שד\.?|דרך|סמטה|כיכר)\s+[א-ת\s."'-]+\s+\d+(?:[/\-]\d+)?[א-ת]?""", "'[ADDRESS]'", _WORDS_LEFT, _WORDS_RIGHT)]
+    rules += [_rule("dates", no, p.removeprefix("(?i)"), _FOUND_DATE, flags="(?i)" if p.startswith("(?i)") else "") for no, p in enumerate(DATE_PATTERNS, 1)]
+    rules.append(_rule("dates", 5, _DATE_WORDS.removeprefix("(?i)"), _FOUND_DATE, group=1, flags="(?i)"))
+    rules += [_rule("passwords", no, p.removeprefix("(?i)"), _SECRET_CASE, group=g, flags="(?i)" if p.startswith("(?i)") else "")
+              for no, (p, g) in enumerate(PASSWORD_PATTERNS, 1)]
+    rows = " UNION ALL ".join(f"({r})" for r in rules)
+    # the value of a contextual address is its number and street, which no label looks at
+    return f"""SELECT doc_id, detector, CAST(rule_no AS INTEGER) AS rule_no,
+        CAST(row_number() OVER (PARTITION BY doc_id, detector, rule_no ORDER BY i) - 1 AS INTEGER) AS ord, start,
+        CAST(start + length(match) AS INTEGER) AS "end", match, CASE WHEN detector = 'addresses' AND rule_no = 4
+            THEN regexp_extract(match, '[0-9].*$') ELSE value END AS value, label, CAST(1 AS DOUBLE) AS score FROM ({rows}) WHERE label <> match"""
+
+
 def _findings(source: str = DOCUMENTS) -> str:
     label = "'[EMAIL:' || substr({h}, position('@' IN {h}) + 1) || ']'"
     parts = (_matches("emails", 1, EMAIL, label, source), _matches("ips", 1, IPV4, IPV4_LABEL, source),
@@ -494,6 +557,7 @@ ORACLES: dict[str, str] = {
     "length_change": f"""SELECT doc_id, CAST(len_before AS INTEGER) AS before, CAST(len_after AS INTEGER) AS after,
         CAST(len_after - len_before AS INTEGER) AS diff FROM ({COUNTS})""",
     "findings": _findings(),
+    "findings_all": _findings_of_all(),
     "apply_findings": counted(DOCUMENTS, "doc_id", SIMPLE, SIMPLE_LABELS),
     "recognize_dictionary": _known(),
     "entity_stats": f"""SELECT t.entity_type, count(f.entity_type) AS n FROM (SELECT unnest(['PERSON', 'EMAIL_ADDRESS',
