@@ -108,6 +108,7 @@ NOTE_LINES = (
     "concat('{\"secret\": \"v ', doc_id, ' abc\"}')",
     "concat('eyJhbGciOiJub25lIn0.eyJzdWIiOiJ4', lpad(doc_id, 8, '0'), '.c2lnbmF0dXJl')",
     "concat('see www.shop-', doc_id, '.example.com or http://a.b.co.uk/x')",
+    "concat('at רחוב הרצל ', doc_id % 90 + 1, ' now')",
     "concat('mail [EMAIL:41111111111111', doc_id % 90 + 10, '] or a.b@mail-', doc_id, '.example.org')",
 )
 
