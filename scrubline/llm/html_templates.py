@@ -174,11 +174,9 @@ def parse(page: str) -> tuple[list[Block], set[int], int]:
 
 
 def main_blocks(blocks: list[Block]) -> list[Block]:
-    """The blocks of the article, if there is one; else of the main element; else all. Dropped ones never."""
-    for chosen in ([b for b in blocks if b.article], [b for b in blocks if b.main], blocks):
-        if chosen:
-            return [b for b in chosen if not b.dropped]
-    return []
+    """Of the blocks that are not dropped those of the article, if there are any; else of the main element; else all."""
+    kept = [b for b in blocks if not b.dropped]
+    return [b for b in kept if b.article] or [b for b in kept if b.main] or kept
 
 
 def host(url: str | None) -> str:
