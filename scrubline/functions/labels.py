@@ -134,13 +134,14 @@ def ipv4(of: str) -> str:
         ELSE '[PUBLIC_IPV4]' END""")
 
 
+# The words, in lower case, that tell the purpose of a date near them.
+DATE_PURPOSES = {"DATE_OF_BIRTH": "birth|born|dob", "EXPIRY_DATE": "expir|valid until|good through", "ISSUE_DATE": "issue|created on"}
+
+
 def date(of: str) -> str:
     words = "lower(concat_ws('\\n', hit, around))"
-    return f"""CASE
-        WHEN {words} RLIKE 'birth|born|dob' THEN '[DATE_OF_BIRTH]'
-        WHEN {words} RLIKE 'expir|valid until|good through' THEN '[EXPIRY_DATE]'
-        WHEN {words} RLIKE 'issue|created on' THEN '[ISSUE_DATE]'
-        ELSE '[DATE]' END"""
+    cases = " ".join(f"WHEN {words} RLIKE '{pattern}' THEN '[{label}]'" for label, pattern in DATE_PURPOSES.items())
+    return f"CASE {cases} ELSE '[DATE]' END"
 
 
 def password(of: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrubline.functions.labels import ANY_LABEL
+from scrubline.functions.labels import ANY_LABEL, DATE_PURPOSES
 from scrubline.functions.rules import Rule
 from scrubline.functions.text import any_contains, chunks, hits, interleave, let, offsets, piece, quote
 
@@ -40,11 +40,14 @@ def _decide(text: str, rule: Rule, result: str, context: str, pattern: str, kept
     label = quote(rule.constant) if rule.constant is not None else f"({rule.label})"
     decided = let("label", f"CASE WHEN NOT hit RLIKE {quote(kept)} THEN {label} END" if kept else label, result)
     if rule.around:
+        # where no such word stands anywhere in the text, what stands around a match need not be known
+        plain = f"transform({hits(text, pattern)}, hit -> {let('around', 'CAST(NULL AS STRING)', decided)})"
         near = piece("found.context", f"greatest(start - {AROUND}, 0)", f"(start + length(hit) + {AROUND})")
-        return let("found", f"named_struct('gaps', {_split(text, pattern)}, 'hits', {hits(text, pattern)}, "
-                            f"'context', {chunks(context)})",
-                   f"zip_with({offsets('found.gaps', 'found.hits')}, found.hits, "
-                   f"(start, hit) -> {let('around', near, decided)})")
+        placed = let("found", f"named_struct('gaps', {_split(text, pattern)}, 'hits', {hits(text, pattern)}, "
+                              f"'context', {chunks(context)})",
+                     f"zip_with({offsets('found.gaps', 'found.hits')}, found.hits, "
+                     f"(start, hit) -> {let('around', near, decided)})")
+        return f"CASE WHEN lower({context}) RLIKE '{'|'.join(DATE_PURPOSES.values())}' THEN {placed} ELSE {plain} END"
     if rule.group:
         return f"zip_with({hits(text, pattern)}, {hits(text, pattern, rule.group)}, (hit, value) -> {decided})"
     return f"transform({hits(text, pattern)}, hit -> {decided})"
