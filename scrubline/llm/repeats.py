@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.common import as_bytes, fresh, own_columns, slices, table
@@ -40,8 +40,8 @@ class Settings:
     one k-gram. ``block``: bytes of a text hashed at a time, below 2^23."""
 
     length: int = 200
-    gram: int = 64
-    most: int = 16384
+    gram: int = 32
+    most: int = 65536
     block: int = 1 << 20
 
 
@@ -124,22 +124,21 @@ def farthest(own: list[bytes], other: list[bytes], length: int) -> list[int]:
     return best
 
 
-def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """t (hashes of the text), text, copies."""
-    return (docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", text_key("text"))
-            .groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-
-
-def text_key(text_col: str):
+def text_key(text_col: str) -> list[Column]:
+    """a, b: two hashes that stand for a text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+    return [F.xxhash64(text).alias("a"), F.hash(text).alias("b")]
 
 
-_KEY = pa.struct([("a", pa.int64()), ("b", pa.int32())])
+def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """a, b, text, copies."""
+    return (docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(*text_key("text"), "text")
+            .groupBy("a", "b").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
 
 
-def _take(keys: pa.Array, places: np.ndarray) -> pa.Array:
-    return keys.take(pa.array(places)).cast(_KEY)
+def _keys(batch: pa.RecordBatch, places: np.ndarray) -> list[pa.Array]:
+    places = pa.array(places)
+    return [batch["a"].take(places), batch["b"].take(places)]
 
 
 def _anchor_rows(texts: DataFrame, s: Settings) -> DataFrame:
@@ -147,14 +146,14 @@ def _anchor_rows(texts: DataFrame, s: Settings) -> DataFrame:
         for batch in slices(batches):
             found = [anchors(t, s) for t in as_bytes(batch["text"])]
             whose = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([_take(batch["t"], whose), pa.array(np.concatenate([f[0] for f in found]).astype(np.int32)),
-                                              pa.array(np.concatenate([f[1] for f in found]))], ["t", "pos", "gram"])
+            yield pa.RecordBatch.from_arrays([*_keys(batch, whose), pa.array(np.concatenate([f[0] for f in found]).astype(np.int32)),
+                                              pa.array(np.concatenate([f[1] for f in found]))], ["a", "b", "pos", "gram"])
 
-    return texts.mapInArrow(run, "t struct<a: long, b: int>, pos int, gram long")
+    return texts.mapInArrow(run, "a long, b int, pos int, gram long")
 
 
 def _suffix_rows(texts: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """gram, t, pos, before (reversed), after: the wanted suffixes, cut to what a repeat can reach."""
+    """gram, a, b, pos, before (reversed), after: the wanted suffixes, cut to what a repeat can reach."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = batch["own"]
@@ -168,15 +167,15 @@ def _suffix_rows(texts: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
                     before.append(text[max(0, p - s.length + s.gram):p][::-1])
                     after.append(text[p:p + s.length])
             inside = slice(ends[0], ends[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(gram[inside]), _take(batch["t"], whose), pa.array(pos[inside]),
-                                              pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["gram", "t", "pos", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[inside]), *_keys(batch, whose), pa.array(pos[inside]),
+                                              pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["gram", "a", "b", "pos", "before", "after"])
 
-    own = wanted.groupBy("t").agg(F.collect_list(F.struct("pos", "gram")).alias("own"))
-    return texts.join(own, "t").mapInArrow(run, "gram long, t struct<a: long, b: int>, pos int, before binary, after binary")
+    own = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("pos", "gram")).alias("own"))
+    return texts.join(own, ["a", "b"]).mapInArrow(run, "gram long, a long, b int, pos int, before binary, after binary")
 
 
 def _interval_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
-    """t, begin, end: what the suffixes of each k-gram show to be repeated."""
+    """a, b, begin, end: what the suffixes of each k-gram show to be repeated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -186,16 +185,16 @@ def _interval_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
             whole = bounds if last else bounds[:-1]
             before, after, pos = rows["before"].to_pylist(), rows["after"].to_pylist(), rows["pos"].to_pylist()
             who, begins, ends = [], [], []
-            for a, b in zip(whole, whole[1:]):
-                right = farthest(after[a:b], before[a:b], s.length)
+            for first, stop in zip(whole, whole[1:]):
+                right = farthest(after[first:stop], before[first:stop], s.length)
                 if max(right) < 0:
                     continue
-                for i, (r, n) in enumerate(zip(right, farthest(before[a:b], after[a:b], s.length)), a):
+                for i, (r, n) in enumerate(zip(right, farthest(before[first:stop], after[first:stop], s.length)), first):
                     if r >= 0:
                         who.append(i), begins.append(pos[i] - n), ends.append(pos[i] + r)
             held[:] = [] if last else [rows.slice(whole[-1])]
-            return pa.RecordBatch.from_arrays([_take(rows["t"], np.array(who, np.int64)), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
-                                              ["t", "begin", "end"])
+            return pa.RecordBatch.from_arrays([*_keys(rows, np.array(who, np.int64)), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
+                                              ["a", "b", "begin", "end"])
 
         def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
@@ -206,7 +205,7 @@ def _interval_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
         if held and held[0].num_rows:
             yield spans(held[0], True)
 
-    return suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "t struct<a: long, b: int>, begin int, end int")
+    return suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b int, begin int, end int")
 
 
 def _window_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
@@ -219,25 +218,24 @@ def _window_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
                 for start in range(len(text) - s.length + 1):
                     who.append(i), starts.append(p - len(b) + start)
                     keys.append(xxhash.xxh3_128_digest(text[start:start + s.length]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _take(batch["t"], np.array(who, np.int64)), pa.array(starts, pa.int32())],
-                                             ["window", "t", "begin"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *_keys(batch, np.array(who, np.int64)), pa.array(starts, pa.int32())],
+                                             ["window", "a", "b", "begin"])
 
-    windows = suffixes.mapInArrow(run, "window binary, t struct<a: long, b: int>, begin int")
-    at = F.struct("t", "begin")
+    windows = suffixes.mapInArrow(run, "window binary, a long, b int, begin int")
+    at = F.struct("a", "b", "begin")
     often = windows.groupBy("window").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x < y").select("window")
-    return windows.join(often, "window", "left_semi").select("t", "begin", (F.col("begin") + s.length).alias("end")).distinct()
+    return windows.join(often, "window", "left_semi").select("a", "b", "begin", (F.col("begin") + s.length).alias("end")).distinct()
 
 
 def repeat_spans(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """t, spans (begin, end in bytes; they may overlap) of distinct texts that share a passage with another place."""
+    """a, b, spans (begin, end in bytes; they may overlap) of distinct texts that share a passage with another place."""
     found = _anchor_rows(texts, s)
-    at = F.struct("t", "pos")
     often = (found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
              .select("gram", (F.col("n") > s.most).alias("many")))
-    wanted = found.join(often, "gram").select("gram", "t", "pos", "many")
+    wanted = found.join(often, "gram").select("gram", "a", "b", "pos", "many")
     few = _interval_spans(_suffix_rows(texts, wanted.where("NOT many"), s), s)
     many = _window_spans(_suffix_rows(texts, wanted.where("many"), s), s)
-    return few.union(many).groupBy("t").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return few.union(many).groupBy("a", "b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -252,7 +250,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut_repeats(docs: DataFrame, text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """t, n_bytes, n_removed, n_spans, kept (bytes), kept_text of every distinct text. ``kept_text`` drops the rest of
+    """a, b, n_bytes, n_removed, n_spans, kept (bytes), kept_text of every distinct text. ``kept_text`` drops the rest of
     a character of which a part was removed."""
     texts = distinct_texts(docs, text_col)
 
@@ -266,22 +264,24 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", s: Settings = Settings(
                 kept = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
                 rows.append((n, sum(b - a for a, b in gone), len(gone), b"".join(kept), "".join(k.decode("utf-8", "ignore") for k in kept)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["t"].cast(_KEY), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
-                                             ["t", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
+                                             ["a", "b", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
-    return texts.join(repeat_spans(texts, s), "t", "left").mapInArrow(
-        run, "t struct<a: long, b: int>, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    return texts.join(repeat_spans(texts, s), ["a", "b"], "left").mapInArrow(
+        run, "a long, b int, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def op5_repeats(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    cut = cut_repeats(docs).select("t", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return docs.select("doc_id", text_key("text").alias("t")).join(cut, "t").drop("t")
+    cut = cut_repeats(docs).select("a", "b", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", *text_key("text")).join(cut, ["a", "b"]).drop("a", "b")
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """``docs`` with the repeated passages cut from their texts; null texts stay null."""
-    key, own, kept = fresh(docs, "_t", "_own", "_kept")
-    cut = cut_repeats(docs, text_col, s).select(F.col("t").alias(key), F.col("kept_text").alias(kept))
-    return (docs.withColumn(own, text_key(text_col)).join(cut, F.col(own) == F.col(key))
-            .withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col(kept))).select(*own_columns(docs)))
+    a, b, other_a, other_b, kept, null = fresh(docs, "_a", "_b", "_other_a", "_other_b", "_kept", "_null")
+    cut = cut_repeats(docs, text_col, s).select(F.col("a").alias(other_a), F.col("b").alias(other_b), F.col("kept_text").alias(kept))
+    # the texts themselves are not needed again: what is left of them comes with the join
+    mine = docs.withColumns({**dict(zip((a, b), text_key(text_col))), null: F.col(text_col).isNull()}).drop(text_col)
+    joined = mine.join(cut, (F.col(a) == F.col(other_a)) & (F.col(b) == F.col(other_b)))
+    return joined.withColumn(text_col, F.when(~F.col(null), F.col(kept))).select(*own_columns(docs))
