@@ -41,7 +41,7 @@ class Settings:
 
     length: int = 200
     gram: int = 32
-    most: int = 65536
+    most: int = 131072
     block: int = 1 << 20
 
 
@@ -222,7 +222,7 @@ def _window_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
                                              ["window", "a", "b", "begin"])
 
     windows = suffixes.mapInArrow(run, "window binary, a long, b int, begin int")
-    at = F.struct("a", "b", "begin")
+    at = F.xxhash64("a", "b", "begin")  # numbers are merged in place, which structs are not
     often = windows.groupBy("window").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x < y").select("window")
     return windows.join(often, "window", "left_semi").select("a", "b", "begin", (F.col("begin") + s.length).alias("end")).distinct()
 
