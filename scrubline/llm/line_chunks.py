@@ -1,32 +1,38 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines and by units of two lines.
 
 A rolling hash over the hashes of the last lines of a text decides, from content
 alone, after which lines a chunk ends; a passage of lines is therefore cut alike
 wherever it stands, however many lines precede it. A chunk of several lines that
-occurs elsewhere, in the same text or another, is removed; its first occurrence
-(smallest id, then text, then position) stays.
-
-Hashes of chunks are brought together first; only texts that hold a repeated hash give
-bytes of chunks, which are grouped and so compared as bytes. Copies are merged within
-tasks before they are shuffled: a chunk that a third of all texts hold is a count, not
+occurs elsewhere, in the same text or another, is removed. So that a match does not
+end with the chunk, each two lines that follow each other, blank ones between them
+included, are a unit as well: a passage of two lines or more that recurs goes line by
+line, as far as it recurs, whatever its neighbours are. The first occurrence of each
+chunk and unit (smallest id, then text, then position) is not removed for its own
+sake, and occurrences that overlap the first one do not count. The first place of
+each line always stays.
+
+Hashes of chunks and units are brought together first; only texts that hold a repeated
+hash give bytes, which are grouped and so compared as bytes. Copies are merged within
+tasks before they are shuffled: a passage that a third of all texts hold is a count, not
 a group. Nothing is collected or broadcast.
 
 Defined cases: a null or empty text has no chunk and stays as it is (null stays null).
-Chunks of one line, and chunks whose lines are all blank, are never removed. Rows that
-share id and text are one document stored twice: all are cut alike, and they do not
-make each other's chunks repeated. A null id comes after all others. Other columns pass
-through unchanged.
+A line that recurs alone, and blank lines alone, are never removed. Rows that share id
+and text are one document stored twice: all are cut alike, and they do not make each
+other's lines repeated. A null id comes after all others. Other columns pass through
+unchanged.
 """
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import SLICE, as_bytes, fresh, own_columns, table
+from scrubline.llm.common import SLICE, as_bytes, own_columns, table
 
 _MASK = (1 << 64) - 1
 
@@ -36,8 +42,8 @@ class Settings:
     """``window``: lines that the rolling hash looks back over. ``divisor``: mean distance of boundaries, in lines.
     ``least``: lines of a chunk that may be removed, and that a chunk has unless the text ends."""
 
-    window: int = 2
-    divisor: int = 4
+    window: int = 1
+    divisor: int = 2
     least: int = 2
 
 
@@ -70,57 +76,89 @@ def body_of(text: bytes, chunk: tuple[int, int, int]) -> bytes:
     return text[begin:end - 1] if text[end - 1:end] == b"\n" else text[begin:end]
 
 
+def spans(text: bytes, s: Settings = Settings()) -> dict[tuple[int, int], int]:
+    """(begin, end) in bytes, without the closing line end, and hash of what could be removed: each two lines in a row
+    that are not blank, with the blank ones between, and chunks that begin or end with a blank line. The lines of other
+    chunks are those of their pairs."""
+    out, at, before, base = {}, 0, None, 0x9E3779B97F4A7C15
+    for line in text.split(b"\n"):
+        if line.strip():
+            own = xxhash.xxh64_intdigest(line)
+            if before:
+                out[before[0], at + len(line)] = (before[1] * base + own) & _MASK
+            before = at, own
+        at += len(line) + 1
+    for c in chunks(text, s):
+        body = body_of(text, c)
+        lines = body.split(b"\n")
+        if c[2] >= s.least and body.strip() and not (lines[0].strip() and lines[-1].strip() and len(lines) > 1):
+            out.setdefault((c[0], c[0] + len(body)), xxhash.xxh64_intdigest(body))
+    return out
+
+
+def without(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """What is left of a text without the lines that lie within ``gone``, how many lines it had and how many go."""
+    if not text:
+        return text, 0, 0
+    lines, kept, at, reach, place, gone = text.split(b"\n"), [], 0, -1, 0, sorted(gone)
+    for line in lines:
+        while place < len(gone) and gone[place][0] <= at:
+            reach = max(reach, gone[place][1])
+            place += 1
+        if at + len(line) > reach:
+            kept.append(line)
+        at += len(line) + 1
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+
+
 def _key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
 
 
+def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_key and _row, all columns as one: both joins by _key then need the same columns, and texts are shuffled once."""
+    return docs.select(_key(id_col, text_col).alias("_key"), F.struct(*own_columns(docs)).alias("_row"))
+
+
 def _hashed(keyed: DataFrame, text_col: str, s: Settings) -> DataFrame:
-    """_key, places, hashes: the chunks of each text that could be removed."""
-    @F.arrow_udf("array<struct<place: int, hash: long>>")
+    """_key, begin, size, hash: the spans of each text that could be removed."""
+    @F.arrow_udf("array<struct<begin: int, size: int, hash: long>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
+            counts, begins, sizes, hashes = [0], [], [], []
             for begin in range(0, len(texts), SLICE):
                 for text in as_bytes(texts.slice(begin, SLICE)):
-                    bodies = ((place, body_of(text, c)) for place, c in enumerate(chunks(text, s)) if c[2] >= s.least)
-                    out.append([{"place": p, "hash": xxhash.xxh64_intdigest(body) - (1 << 63)} for p, body in bodies if body.strip()])
-            yield pa.array(out, pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())])))
-
-    return keyed.select("_key", F.explode(run(F.col(text_col))).alias("chunk")).select("_key", "chunk.place", "chunk.hash")
-
-
-def _bodies(keyed: DataFrame, wanted: DataFrame, text_col: str, s: Settings) -> DataFrame:
-    """_key, place, body of the wanted chunks (_key, places)."""
-    @F.arrow_udf("array<struct<place: int, body: binary>>")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, places in batches:
-            out = []
-            for begin in range(0, len(texts), SLICE):
-                for text, own in zip(as_bytes(texts.slice(begin, SLICE)), places.slice(begin, SLICE).to_pylist()):
-                    cut = chunks(text, s)
-                    out.append([{"place": p, "body": body_of(text, cut[p])} for p in sorted(own)])
-            yield pa.array(out, pa.list_(pa.struct([("place", pa.int32()), ("body", pa.binary())])))
+                    for (first, end), own in spans(text, s).items():
+                        begins.append(first)
+                        sizes.append(end - first)
+                        hashes.append(own)
+                    counts.append(len(begins))
+            fields = [pa.array(begins, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))]
+            yield pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, ["begin", "size", "hash"]))
 
-    return (keyed.join(wanted, "_key").select("_key", F.explode(run(F.col(text_col), F.col("places"))).alias("chunk"))
-            .select("_key", "chunk.place", "chunk.body"))
+    return keyed.select("_key", F.explode(run(F.col(text_col))).alias("span")).select("_key", "span.begin", "span.size", "span.hash")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """_key of each text (no_id, id, hash of the text) and ``gone``, the places of its chunks that go."""
+    """_key of each text (no_id, id, hash of the text) and ``gone``, begin and end of its spans that go."""
     keyed = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
-    text_col = "text"
-    found = _hashed(keyed, text_col, s)
+    found = _hashed(keyed, "text", s)
     often = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    wanted = found.join(often, "hash", "left_semi").groupBy("_key").agg(F.collect_set("place").alias("places"))
-    bodies = _bodies(keyed, wanted, text_col, s).select("body", F.struct("_key", "place").alias("at"))
+    wanted = found.join(often, "hash", "left_semi").groupBy("_key").agg(F.collect_set(F.struct("begin", "size")).alias("spans"))
+    text = F.element_at(F.array("_row"), 1).getField(text_col).cast("binary")  # in an array, as no field is then drawn below the shuffle
+    bodies = _packed(docs, id_col, text_col).join(wanted, "_key").select("_key", F.explode(F.transform("spans", lambda x: F.struct(
+        x.begin.alias("begin"), F.substring(text, x.begin + 1, x.size).alias("body")))).alias("span"))  # of binary, in bytes
+    bodies = bodies.select(F.col("span.body").alias("body"), F.struct("_key", "span.begin").alias("at"))
     groups = bodies.groupBy("body").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("body", "first")
-    return (bodies.join(groups, "body").where("at > first").select("at._key", "at.place")
-            .groupBy("_key").agg(F.collect_set("place").alias("gone")))
+    end = F.col("at.begin") + F.length("body")
+    later = (F.col("at._key") != F.col("first._key")) | (F.col("at.begin") > F.col("first.begin") + F.length("body"))
+    return (bodies.join(groups, "body").where(later).select("at._key", F.struct(F.col("at.begin").alias("begin"), end.alias("end")).alias("span"))
+            .groupBy("_key").agg(F.collect_set("span").alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(),
                 counts: Sequence[str] = ("n_lines", "n_removed")) -> DataFrame:
-    """``docs`` without the repeated chunks of their texts; what is left is joined as it stood. ``counts`` adds how many
+    """``docs`` without the repeated lines of their texts; what is left is joined as it stood. ``counts`` adds how many
     lines a text had and lost; none of them may be a column of ``docs``."""
     @F.arrow_udf("struct<text: string, n_lines: int, n_removed: int>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -129,21 +167,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = []
             for text, places in zip(texts, gone.to_pylist()):
                 raw = b"" if text.as_py() is None else text.as_buffer().to_pybytes()
-                lost = set(places or ())
-                own = chunks(raw, s)
-                kept = b"".join(raw[begin:end] for p, (begin, end, _) in enumerate(own) if p not in lost)
-                if lost and len(own) - 1 in lost and kept.endswith(b"\n"):
-                    kept = kept[:-1]  # the end of the text is no longer after a line end that it did not have
-                out.append({"text": None if text.as_py() is None else kept.decode(), "n_lines": sum(c[2] for c in own),
-                            "n_removed": sum(own[p][2] for p in lost)})
+                kept, n, lost = without(raw, [(x["begin"], x["end"]) for x in places or ()])
+                out.append({"text": None if text.as_py() is None else kept.decode(), "n_lines": n, "n_removed": lost})
             yield pa.array(out, kind)
 
-    key, cut_col, gone_key, gone_col = fresh(docs, "_key", "_cut", "_gone_key", "_gone")
-    gone = repeated(docs, id_col, text_col, s).select(F.col("_key").alias(gone_key), F.col("gone").alias(gone_col))
-    joined = docs.withColumn(key, _key(id_col, text_col)).join(gone, F.col(key) == F.col(gone_key), "left")
-    joined = joined.withColumn(cut_col, cut(F.col(text_col), F.col(gone_col)))
-    return joined.withColumn(text_col, F.col(f"{cut_col}.text")).select(
-        *own_columns(docs), *(F.col(f"{cut_col}.{field}").alias(name) for field, name in zip(("n_lines", "n_removed"), counts)))
+    gone = repeated(docs, id_col, text_col, s)
+    joined = _packed(docs, id_col, text_col).join(gone, "_key", "left")
+    joined = joined.select("_row", cut(F.col("_row").getField(text_col), F.col("gone")).alias("_cut"))
+    kept = {text_col.lower(): F.col("_cut.text")}
+    return joined.select(*(kept.get(c.lower(), F.col("_row").getField(c)).alias(c) for c in docs.columns),
+                         *(F.col(f"_cut.{field}").alias(name) for field, name in zip(("n_lines", "n_removed"), counts)))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
