@@ -8,9 +8,12 @@ page headers, footers, sidebars, forms, scripts and styles, and those whose clas
 role names such a part, an advert, a notice or reader comments. Where a page marks its
 article, only that is text; without one its main element, without that the rest.
 
-Paragraphs and headings that stand in an article are never template by themselves, so a
-sentence that many articles share stays. Copies of a page count once, so that their text
-does not become template. Only hashes are shuffled for the counts; pages meet the
+How many pages are many does not grow with the host; only on small hosts a share of the
+pages is less. Paragraphs, items, headings and quotations in an article are template by
+themselves only if they stand on more pages still and at one place, counted from the
+begin or from the end of the article, so a sentence that articles share here and there
+stays. Copies of a page count once, so that their text does not become template; near
+copies are different pages. Only hashes are shuffled for the counts; pages meet the
 template subtrees that they hold by one join.
 
 Defined cases: null or empty html gives an empty text; a null or malformed address is
@@ -33,10 +36,13 @@ from scrubline.llm.common import slices, table
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is template if it stands on ``least`` different pages of its host, and on ``share`` of them."""
+    """A subtree is template if it stands on ``least`` different pages of its host and on ``share`` of them, or on
+    ``enough`` of any host; a paragraph in an article if it stands at one place of the articles of ``strong`` pages."""
 
     least: int = 4
     share: float = 0.1
+    enough: int = 16
+    strong: int = 32
 
 
 # Names of elements and words of class, id and role.
@@ -48,6 +54,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
                    "thead tr ul".split())
 CONTAINERS = frozenset("aside details div dl fieldset figure footer form header menu nav ol section table ul dialog center".split())
+#: What is tested by its place within an article.
+LEAVES = frozenset("p li address blockquote h1 h2 h3 h4 h5 h6".split())
 #: Whole words of class and id, and values of role, that name a part which is not main text.
 PARTS = frozenset("""nav navbar navigation menu submenu topbar breadcrumb breadcrumbs header masthead footer colophon sidebar side aside widget widgets
     cookie cookies consent gdpr notice notices alert banner popup modal overlay ad ads advert adverts advertisement advertising sponsor sponsored
@@ -83,6 +91,7 @@ class _Open:
     article: bool
     main: bool
     first: int
+    leaves: list[tuple[int, int, int]]  # of the article around: hash, first block, end
     parts: list[str] = field(default_factory=list)
 
 
@@ -93,10 +102,11 @@ def _part(attributes: str) -> int:
 
 
 def parse(page: str) -> tuple[list[Block], set[int], int]:
-    """Blocks of text in page order with the hashes of the containers they stand in, all such hashes, and that of the page."""
+    """Blocks of text in page order with the hashes of the containers they stand in, all such hashes, and that of the page.
+    The hashes are even; those of leaves of an article with their places, from its begin and its end, are odd."""
     blocks: list[Block] = []
     subtrees: set[int] = set()
-    stack = [_Open("", 0, False, False, 0)]
+    stack = [_Open("", 0, False, False, 0, [])]
     run: list[str] = []
 
     def flush() -> None:
@@ -108,16 +118,25 @@ def parse(page: str) -> tuple[list[Block], set[int], int]:
                 top.parts.append(text)
                 blocks.append(Block(text, top.dropped > 0, top.article, top.main))
 
+    def mark(own: int, first: int, last: int) -> None:
+        subtrees.add(own)
+        for block in blocks[first:last]:
+            if not block.dropped:
+                block.marks.append(own)
+
     def close() -> None:
         top = stack.pop()
         own = xxhash.xxh64_intdigest("\x01".join([top.name, *top.parts, "\x02"])) - (1 << 63)
         stack[-1].parts.append(f"\x03{own}")
         if top.name in CONTAINERS or not top.article and top.name in ("p", "li", "address"):
             if top.parts:
-                subtrees.add(own)
-                for block in blocks[top.first:]:
-                    if not block.dropped:
-                        block.marks.append(own)
+                mark(own & ~1, top.first, len(blocks))
+        elif top.article and top.name in LEAVES and top.parts and not top.dropped:
+            top.leaves.append((own, top.first, len(blocks)))
+        if top.name == "article":
+            for place, (leaf, first, last) in enumerate(top.leaves):
+                for where in (place, place - len(top.leaves)):
+                    mark((xxhash.xxh64_intdigest(f"{leaf} {where}") - (1 << 63)) | 1, first, last)
 
     def end(names: set[str], until: set[str] | frozenset = frozenset()) -> None:
         """Closes the nearest open element of ``names``, unless one of ``until`` is nearer."""
@@ -162,7 +181,8 @@ def parse(page: str) -> tuple[list[Block], set[int], int]:
             continue  # text flows through other elements
         flush()
         before = 0 if own and up.dropped == 1 else up.dropped
-        stack.append(_Open(name, max(before, part), up.article or name == "article" and not part, up.main or name == "main", len(blocks)))
+        stack.append(_Open(name, max(before, part), up.article or name == "article" and not part, up.main or name == "main", len(blocks),
+                           [] if name == "article" else up.leaves))
         if name in RAW:
             closing = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = closing.end() if closing else len(page)
@@ -207,18 +227,20 @@ def parsed(pages: DataFrame) -> DataFrame:
 def templates(read: DataFrame, s: Settings) -> DataFrame:
     """host, subtree of what stands on many different pages of its host."""
     whole = read.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    each = read.select("host", "page", F.explode("subtrees").alias("subtree")).distinct()
-    often = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= s.least)
-    return often.join(whole, "host").where(F.col("n") >= s.share * F.col("pages")).select("host", "subtree")
+    each = read.select("host", "page", "subtrees").dropDuplicates(["host", "page"]).select("host", F.explode("subtrees").alias("subtree"))
+    leaf = F.col("subtree").bitwiseAND(1) == 1
+    often = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(leaf, s.strong).otherwise(s.least))
+    bar = F.least(s.share * F.col("pages"), F.lit(float(s.enough)))
+    return often.join(whole, "host").where(leaf | (F.col("n") >= bar)).select("host", "subtree")
 
 
 def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """page_id, url, text, n_chars of each page; blocks are joined by an empty line."""
     read = parsed(pages)
-    marked = read.select("key", "host", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("subtree"))
-    gone = marked.join(templates(read, s), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("gone"))
-    kept = F.expr("transform(filter(blocks, b -> gone IS NULL OR NOT arrays_overlap(b.marks, gone)), b -> b.text)")
-    return (read.select("key", "page_id", "url", "blocks").join(gone, "key", "left")
+    marked = read.select("key", "host", F.posexplode("blocks.marks").alias("block", "marks")).select("key", "host", "block", F.explode("marks").alias("subtree"))
+    gone = marked.join(templates(read, s), ["host", "subtree"]).groupBy("key").agg(F.collect_set("block").alias("gone"))
+    kept = F.expr("IF(gone IS NULL, texts, transform(array_except(sequence(0, size(texts) - 1), gone), i -> texts[i]))")
+    return (read.select("key", "page_id", "url", F.col("blocks.text").alias("texts")).join(gone, "key", "left")
             .select("page_id", "url", F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long")))
 
 
