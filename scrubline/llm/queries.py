@@ -6,6 +6,7 @@ from scrubline.llm.byte_bpe import op4_byte_bpe
 from scrubline.llm.html_templates import op10_html_main_text
 from scrubline.llm.line_chunks import op9_line_dedup
 from scrubline.llm.lm_scoring import op1_lm_scoring
+from scrubline.llm.minhash import op11_minhash_dedup
 from scrubline.llm.neighbours import op6_nearest
 from scrubline.llm.packing import op7_packing
 from scrubline.llm.repeats import op5_repeats
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_main_text": op10_html_main_text,
+    "op11_minhash_dedup": op11_minhash_dedup,
 }
 ORACLES: dict[str, str] = {}
