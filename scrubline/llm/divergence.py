@@ -166,7 +166,8 @@ def pair_values(kept: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
         return pa.table([pa.array([name[0].as_py()] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
                         names=["lang", "one", "two", "value", "held"])
 
-    merged = (sides.where("tile = lo").groupBy(*key).cogroup(sides.where("tile = hi AND lo < hi").groupBy(*key))
+    others = sides.where("tile = hi AND lo < hi").select(*(F.col(c).alias(c) for c in sides.columns))
+    merged = (sides.where("tile = lo").groupBy(*key).cogroup(others.groupBy(*key))
               .applyInArrow(run, "lang string, one string, two string, value long, held long"))
     summed = merged.groupBy("lang", "one", "two").agg(F.sum("value").alias("value"), F.sum("held").alias("held"))
     side = [groups.select("lang", "kinds", F.col("source").alias(n), F.col("total").alias(f"{n}_total")) for n in ("one", "two")]
