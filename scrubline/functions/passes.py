@@ -53,20 +53,33 @@ def _decide(text: str, rule: Rule, result: str, context: str, pattern: str, kept
     return f"transform({hits(text, pattern)}, hit -> {decided})"
 
 
-def start(text: str, profile: str) -> str:
+def start(text: str, profile: str, marks: str | None = None) -> str:
     """State of one text: ``t`` as redacted so far, ``c`` the number of the detector
-    of every replacement, ``d`` how many digits there are.
+    of every replacement, ``d`` how many digits there are, ``p`` the places of ``marks``
+    (offsets in ascending order), if there are any to be kept.
 
     Profile ``ref`` reads the purpose of a date from the original, kept in ``o``.
     NULL becomes the empty text. No rule matches the digits labels bring into a
     text, so they are counted only once.
     """
-    original = f", 'o', coalesce({text}, '')" if profile == "ref" else ""
+    original = (f", 'o', coalesce({text}, '')" if profile == "ref" else "") + (f", 'p', {marks}" if marks else "")
     return (f"named_struct('t', coalesce({text}, ''), 'c', CAST(array() AS ARRAY<INT>), "
             f"'d', {digits(f"coalesce({text}, '')")}{original})")
 
 
-def apply_rule(state: str, rule: Rule, detector_no: int, profile: str) -> str:
+def _moved(marks: str, text: str, pattern: str) -> str:
+    """The places of marks after the matches of ``pattern`` in a text have become what ``new`` says; what stood within a
+    replaced match stands behind its label."""
+    spans = let("found", f"named_struct('gaps', {_split(text, pattern)}, 'hits', {hits(text, pattern)})",
+                let("starts", offsets("found.gaps", "found.hits"), (
+                    "filter(transform(found.hits, (h, i) -> named_struct('start', starts[i], 'end', starts[i] + length(h), "
+                    "'more', length(new[i].w) - length(h), 'y', new[i].y)), m -> m.y)")))
+    after = let("before", "filter(spans, m -> m.start < o)", (
+        "IF(size(before) = 0, o, greatest(o, element_at(before, -1).end) + aggregate(before, 0, (n, m) -> n + m.more))"))
+    return f"IF(size({marks}) = 0, {marks}, {let('spans', spans, f'transform({marks}, o -> {after})')})"
+
+
+def apply_rule(state: str, rule: Rule, detector_no: int, profile: str, marks: bool = False) -> str:
     """The state after one more pass; untouched where the rule finds nothing.
 
     In profile ``fixed`` the labels of earlier passes are matched along with the
@@ -82,8 +95,9 @@ def apply_rule(state: str, rule: Rule, detector_no: int, profile: str) -> str:
                       context, pattern, kept)
     new = let("new", written, (
         f"named_struct('t', {interleave(_split(text, pattern), 'new.w')}, 'c', concat({state}.c, "
-        f"array_repeat({detector_no}, size(array_remove(new.y, false)))), {rest})"))
-    if rule.constant is not None:
+        f"array_repeat({detector_no}, size(array_remove(new.y, false)))), {rest}"
+        f"{f", 'p', {_moved(f'{state}.p', text, pattern)}" if marks else ''})"))
+    if rule.constant is not None and not marks:
         # one plain replacement where there is no label to be kept
         label = rule.constant.replace("\\", "\\\\").replace("$", "\\$")
         plain = (f"named_struct('t', regexp_replace({text}, {quote(rule.pattern)}, {quote(label)}), 'c', "

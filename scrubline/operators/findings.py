@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.labels import COUNTED_ENTITIES, ENTITY_LABELS
 from scrubline.functions.passes import digits, matches
+from scrubline.functions.recognizers import RECOGNIZERS, Recognizer as Scored, scored
 from scrubline.functions.text import chunks, piece
 from scrubline.operators.redact import Redactor
 
@@ -44,6 +45,20 @@ def with_luhn(found: DataFrame, value_col: str = "value") -> DataFrame:
             .withColumn("luhn_valid", (F.size("_digits") > 1) & (checksum % 10 == 0)).drop("_digits"))
 
 
+def scored_findings(df: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text",
+                    recognizers: Sequence[Scored] = RECOGNIZERS, threshold: float = 0.4) -> DataFrame:
+    """Findings of recognizers with checksums and context words, those with a score of ``threshold`` or more.
+
+    Columns: the ids, ``entity_type``, ``recognizer_no``, ``start``, ``end``, ``match``,
+    ``score``: what ``apply_findings`` and ``resolve_overlaps`` take, which give way to
+    the higher score. No shuffle.
+    """
+    texts = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    each = ", ".join(scored("_text", r) for r in recognizers)
+    return (texts.select(*id_cols, F.explode(F.expr(f"flatten(array_compact(array({each})))")).alias("f"))
+            .select(*id_cols, "f.*").where(F.col("score") >= threshold))
+
+
 def label_of(entity_type: Column, label_map: Mapping[str, str] | None = None) -> Column:
     """The label of an entity type; types the map does not know become ``<TYPE>``."""
     label_map = ENTITY_LABELS if label_map is None else label_map

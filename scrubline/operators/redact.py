@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubline.functions import context
 from scrubline.functions.passes import apply_rule, counts, start
 from scrubline.functions.rules import DETECTORS, Rule, rules
-from scrubline.functions.text import hits, interleave, let, quote, running_total, total
+from scrubline.functions.text import chunks, hits, interleave, let, piece, quote, running_total, total
 
 
 # As many as the analyzer resolves within its default number of iterations, with room to spare.
@@ -33,23 +34,27 @@ class Redactor:
         self.rules = rules(profile, keywords, detectors, extra)
         self.detectors = list(dict.fromkeys(rule.detector for rule in self.rules))
 
-    def run(self, df: DataFrame, texts: Column, name: str = "_done") -> DataFrame:
+    def run(self, df: DataFrame, texts: Column, name: str = "_done", marks: bool = False) -> DataFrame:
         """Add ``name``: for every text of the array ``texts`` the struct ``(t, c)``.
 
         ``t`` is the redacted text, ``c`` the replacements in the order of
         ``self.detectors``. A few rules at a time keep the analysis of the plan
         short; as every step refers to the one before only once, Catalyst merges
-        them all into a single projection.
+        them all into a single projection. With ``marks`` an element of ``texts`` is a
+        struct of the text ``t`` and ascending offsets ``p`` in it, and so is the result,
+        with the offsets moved along.
         """
         df = df.withColumn(name, texts)
-        df = df.withColumn(name, F.expr(f"transform({name}, text -> {start('text', self.profile)})"))
-        for first in range(0, len(self.rules), _RULES_PER_STEP):
+        first_state = start("text.t", self.profile, "text.p") if marks else start("text", self.profile)
+        df = df.withColumn(name, F.expr(f"transform({name}, text -> {first_state})"))
+        at_once = 2 if marks else _RULES_PER_STEP
+        for first in range(0, len(self.rules), at_once):
             step = name
-            for rule in self.rules[first:first + _RULES_PER_STEP]:
-                one = apply_rule("state", rule, self.detectors.index(rule.detector), self.profile)
+            for rule in self.rules[first:first + at_once]:
+                one = apply_rule("state", rule, self.detectors.index(rule.detector), self.profile, marks)
                 step = f"transform({step}, state -> {one})"
             df = df.withColumn(name, F.expr(step))
-        result = f"named_struct('t', state.t, 'c', {counts('state', len(self.detectors))})"
+        result = f"named_struct('t', state.t, 'c', {counts('state', len(self.detectors))}{", 'p', state.p" if marks else ''})"
         # the generator keeps a filter on the result from being pushed below it,
         # where it would evaluate all rules a second time
         return df.withColumn(name, F.explode(F.expr(f"array(transform({name}, state -> {result}))")))
@@ -142,11 +147,13 @@ def assemble_blocks(blocks: DataFrame, id_col: str = "doc_id", order_col: str =
         F.count_if("changed").cast("int").alias("n_changed"))
 
 
-def redact_table(df: DataFrame, redactor: Redactor | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+def redact_table(df: DataFrame, redactor: Redactor | None = None, columns: Sequence[str] | None = None,
+                 keys: bool = True) -> DataFrame:
     """Every STRING column of a table, or those named; other types and NULLs are untouched.
 
     The cells of a row run through the rules together, as one array: the plan
-    does not grow with the number of columns.
+    does not grow with the number of columns. With ``keys`` the name of a column
+    tells about its cells (see ``functions.context``).
     """
     r = redactor or Redactor()
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -155,10 +162,13 @@ def redact_table(df: DataFrame, redactor: Redactor | None = None, columns: Seque
         raise ValueError(f"not STRING columns: {sorted(set(columns) - set(chosen))}")
     if not chosen:
         return df
-    done = r.run(df, F.array(*(_named(c) for c in chosen)))
+    told = [context.of_key(c, None, r.detectors) if keys else None for c in chosen]
+    done = r.run(df, F.array(*(_named(c) if k is None else F.expr(context.with_phrase(_quoted(c), str(k))) for c, k in zip(chosen, told))))
 
     def cell(c: str) -> Column:
-        return F.when(_named(c).isNotNull(), F.get("_done", chosen.index(c))["t"]).alias(c)
+        at = chosen.index(c)
+        text = f"_done[{at}].t" if told[at] is None else context.without_phrase(_quoted(c), f"_done[{at}].t", str(told[at]))
+        return F.when(_named(c).isNotNull(), F.expr(text)).alias(c)
 
     return done.select(*(cell(c) if c in chosen else _named(c) for c in df.columns))
 
@@ -167,13 +177,19 @@ def _named(column: str) -> Column:
     return F.col(_quoted(column))
 
 
-def redact_nested(df: DataFrame, redactor: Redactor | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+def redact_nested(df: DataFrame, redactor: Redactor | None = None, columns: Sequence[str] | None = None, keys: bool = True) -> DataFrame:
     """String leaves of structs, arrays, maps and VARIANT columns; keys, other types and NULLs are untouched.
 
     All string leaves of a row are gathered in one array, in the order of a fixed
     walk, redacted together, and written back by their place in that walk: linear in
     the number of leaves. A VARIANT column is walked as its JSON text; one inside
     another type is refused, so that nothing passes unread.
+
+    With ``keys`` a leaf is read with what its key tells about it: the name of its
+    field, the key of its map entry, that of the array it stands in, the name of its
+    column (see ``functions.context``). ``{"password": "hunter22x"}`` loses its value
+    as it does in a text. Names of fields are looked up when the job is built, those of
+    maps and of VARIANTs while it runs.
     """
     r = redactor or Redactor()
     wanted = [f for f in df.schema.fields if columns is None or f.name in columns]
@@ -184,19 +200,30 @@ def redact_nested(df: DataFrame, redactor: Redactor | None = None, columns: Sequ
     chosen = [f for f in wanted if _has_text(f.dataType)]
     if not chosen and not variants:
         return df
+    detectors = r.detectors if keys else []
     json = {c: f"to_json({_quoted(c)})" for c in variants}
-    parts, walks, base = [], {}, "0"
+    parts, told, walks, base = [], [], {}, "0"
     for f in chosen:
         parts.append(_leaves(_quoted(f.name), f.dataType))
+        told.append(_contexts(_quoted(f.name), f.dataType, context.of_key(f.name, None, detectors), detectors))
         walks[f.name], base = _walk(_quoted(f.name), f.dataType, base), f"{base} + {_count(_quoted(f.name), f.dataType)}"
     for c in variants:
-        strings = f"coalesce(transform({hits(json[c], JSON_STRING)}, s -> {_unquoted('s')}), CAST(array() AS ARRAY<STRING>))"
+        tokens = hits(json[c], JSON_STRING)
+        strings = f"coalesce(transform({tokens}, s -> {_unquoted('s')}), CAST(array() AS ARRAY<STRING>))"
         parts.append(strings)
-        written = (f"transform({hits(json[c], JSON_STRING)}, (s, i) -> IF({_unquoted('s')} IS NULL, s, "
-                   f"{_json_quoted(f'_done[{base} + i].t')}))")
+        told.append(_json_contexts(json[c], context.of_key(c, None, detectors), detectors) if detectors else None)
+        written = f"transform({tokens}, (s, i) -> IF({_unquoted('s')} IS NULL, s, {_json_quoted(f'_done[{base} + i]')}))"
         pieces = f"split({json[c]}, {quote(JSON_STRING)}, -1)"
         walks[c], base = f"parse_json({interleave(pieces, written)})", f"{base} + size({strings})"
-    done = r.run(df.withColumn("_leaves", F.expr(f"concat({', '.join(parts)})")), F.col("_leaves"))
+    if all(t is None for t in told):
+        done = r.run(df.withColumn("_leaves", F.expr(f"concat({', '.join(parts)})")), F.col("_leaves"))
+        done = done.withColumn("_done", F.col("_done.t"))
+    else:
+        told = [t or _no_contexts(f"size({part})") for t, part in zip(told, parts)]
+        done = df.withColumns({"_leaves": F.expr(f"concat({', '.join(parts)})"), "_told": F.expr(f"concat({', '.join(told)})")})
+        done = r.run(done, F.expr(f"zip_with(_leaves, _told, (v, k) -> {context.with_phrase('v', 'k')})"))
+        done = done.withColumn("_done", F.expr(
+            f"transform(_leaves, (v, i) -> {let('k', '_told[i]', let('d', '_done[i].t', context.without_phrase('v', 'd', 'k')))})"))
     return done.select(*(F.expr(walks[f.name]).alias(f.name) if f.name in walks else _named(f.name) for f in df.schema.fields))
 
 
@@ -271,6 +298,60 @@ def _leaves(value: str, dtype: T.DataType, depth: int = 0) -> str:
     return f"array({value})"
 
 
+def _contexts(value: str, dtype: T.DataType, around: int | str | None, detectors: list[str], depth: int = 0) -> str | None:
+    """SQL: for each leaf, in the order of ``_leaves``, the context its key gives it, as ARRAY<INT>; None if no leaf has one.
+
+    ``around`` is known (a number or None), or SQL for it where a key of a map decides."""
+    if isinstance(dtype, T.StringType):
+        return None if around is None else f"array({around})"
+    if isinstance(dtype, T.StructType):
+        fields = [(f"{value}.{_quoted(f.name)}", f) for f in dtype.fields if _has_text(f.dataType)]
+        names = [around if context.normal(f.name) in context.PLAIN_KEYS else context.of_key(f.name, None, detectors) for _, f in fields]
+        own = [_contexts(field, f.dataType, name, detectors, depth) for (field, f), name in zip(fields, names)]
+        if all(o is None for o in own):
+            return None
+        return "concat(" + ", ".join(o or _no_contexts(_count(field, f.dataType, depth)) for o, (field, f) in zip(own, fields)) + ")"
+    if isinstance(dtype, T.ArrayType):
+        inner = _contexts(f"x{depth}", dtype.elementType, around, detectors, depth + 1)
+        each = f"transform({value}, x{depth} -> {inner})"
+    else:
+        outer = "CAST(NULL AS INT)" if around is None else str(around)
+        by_key = detectors and isinstance(dtype.keyType, T.StringType)
+        inner = _contexts(f"e{depth}.value", dtype.valueType, f"k{depth}" if by_key else around, detectors, depth + 1)
+        key = context.of_key_sql(f"e{depth}.key", outer, detectors) if by_key else outer
+        each = f"transform(map_entries({value}), e{depth} -> {let(f'k{depth}', key, inner or 'NULL')})"
+    return inner and f"coalesce(flatten({each}), CAST(array() AS ARRAY<INT>))"
+
+
+def _no_contexts(number: str) -> str:
+    return f"array_repeat(CAST(NULL AS INT), {number})"
+
+
+# Steps of a walk over a JSON text: its strings, keys told by their colon, and the brackets between them.
+_JSON_STEP = JSON_STRING + r"|[\[\]{}]"
+
+
+def _json_contexts(json: str, around: int | None, detectors: list[str]) -> str:
+    """SQL: for each string of a JSON text, keys included, the context of the key it stands under, as ARRAY<INT>.
+
+    A text in which some key gives a context is walked with a stack of what holds
+    around each bracket.
+    """
+    none = "CAST(array() AS ARRAY<INT>)"
+    outer = "CAST(NULL AS INT)" if around is None else f"CAST({around} AS INT)"
+    name = f"from_json(concat('[', regexp_replace(s, {quote(r'\s*:$')}, ''), ']'), 'ARRAY<STRING>')[0]"
+    init = f"named_struct('up', {none}, 'k', {outer}, 'out', {none})"
+    step = (f"CASE WHEN s IN ('{{', '[') THEN named_struct('up', concat(state.up, array(state.k)), 'k', state.k, 'out', state.out) "
+            "WHEN s IN ('}', ']') THEN named_struct('up', slice(state.up, 1, size(state.up) - 1), 'k', element_at(state.up, -1), 'out', state.out) "
+            f"WHEN endswith(s, ':') THEN named_struct('up', state.up, 'k', {context.of_key_sql(name, 'get(state.up, size(state.up) - 1)', detectors)}, "
+            "'out', concat(state.out, array(CAST(NULL AS INT)))) "
+            "ELSE named_struct('up', state.up, 'k', state.k, 'out', concat(state.out, array(state.k))) END")
+    walked = f"aggregate({hits(json, _JSON_STEP)}, {init}, (state, s) -> {step}, state -> state.out)"
+    told = f"exists({hits(json, JSON_STRING)}, s -> endswith(s, ':') AND {context.of_key_sql(name, 'CAST(NULL AS INT)', detectors)} IS NOT NULL)"
+    strings = f"size({hits(json, JSON_STRING)})"
+    return f"CASE WHEN {json} IS NULL THEN {none} WHEN {'true' if around is not None else told} THEN {walked} ELSE {_no_contexts(strings)} END"
+
+
 def _walk(value: str, dtype: T.DataType, base: str, depth: int = 0) -> str:
     """SQL: the same value with its leaves taken from the redacted ones, from place ``base`` on."""
     if not _has_text(dtype):
@@ -293,7 +374,7 @@ def _walk(value: str, dtype: T.DataType, base: str, depth: int = 0) -> str:
         starts = running_total(f"transform({value}, {x} -> {_count(x, dtype.elementType, depth + 1)})")
         return let(f"s{depth}", starts, (
             f"transform({value}, ({x}, {i}) -> {_walk(x, dtype.elementType, f'{base} + s{depth}[{i}]', depth + 1)})"))
-    return f"IF({value} IS NULL, NULL, _done[{base}].t)"
+    return f"IF({value} IS NULL, NULL, _done[{base}])"
 
 
 def redact_json_text(df: DataFrame, json_col: str, redactor: Redactor | None = None) -> DataFrame:
@@ -306,11 +387,17 @@ def redact_json_text(df: DataFrame, json_col: str, redactor: Redactor | None = N
 
 
 TAG = r"<[^>]*>"  # fixed value: what counts as markup
+# Elements that text flows through.
+INLINE = ("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup time tt u var "
+          "wbr").split()
+INLINE_TAG = rf"<(?i:/?(?:{'|'.join(INLINE)}))(?=[\s/>])[^>]*>"
+OTHER_TAG = rf"<(?!(?i:/?(?:{'|'.join(INLINE)}))[\s/>])[^>]*>"
 
 
 def redact_markup(df: DataFrame, html_col: str = "html", redactor: Redactor | None = None,
                   text_nodes_only: bool = False) -> DataFrame:
-    """Serialized markup, tags and attributes included, or its text nodes alone."""
+    """Serialized markup, tags and attributes included, or its text nodes alone. Adds ``n``, the replacements made,
+    those within what a later one has replaced as well."""
     r = redactor or Redactor()
     if not text_nodes_only:
         return redact_column(df, html_col, r)
@@ -319,3 +406,27 @@ def redact_markup(df: DataFrame, html_col: str = "html", redactor: Redactor | No
     return done.select(*(F.expr(interleave("_done.t", "_tags")).alias(c) if c == html_col else F.col(c)
                          for c in df.columns),
                        _sum(F.flatten(F.col("_done.c"))).alias("n"))
+
+
+def redact_marked_text(df: DataFrame, html_col: str = "html", redactor: Redactor | None = None) -> DataFrame:
+    """The text of markup, read across the tags of elements that text flows through; every tag stays.
+
+    ``jo<b>hn</b>@mail.example.com`` is one address to the rules. The text between two
+    other tags is one text; where its inline tags stood is kept as a list of offsets,
+    which every pass moves along with what it replaces. A tag within a match ends up
+    behind its label. Without its tags the result is the redacted text. Adds ``n``.
+    """
+    r = redactor or Redactor()
+    markup = f"coalesce({_quoted(html_col)}, '')"
+    text = "concat_ws('', gaps)"
+    places = f"slice({running_total('transform(gaps, g -> length(g))')}, 2, size(gaps) - 1)"
+    segments = f"transform(split({markup}, {quote(OTHER_TAG)}, -1), s -> {let('gaps', f'split(s, {quote(INLINE_TAG)}, -1)', f"named_struct('t', {text}, 'p', {places})")})"
+    inner = f"transform(split({markup}, {quote(OTHER_TAG)}, -1), s -> {hits('s', INLINE_TAG)})"
+    taken = df.withColumns({"_segments": F.expr(segments), "_inner": F.expr(inner), "_outer": F.expr(hits(markup, OTHER_TAG))})
+    done = r.run(taken, F.col("_segments"), marks=True)
+    before = piece("cut", "IF(i = 0, 0, d.p[greatest(i - 1, 0)])", "o")
+    rest = piece("cut", "coalesce(get(d.p, size(d.p) - 1), 0)", "length(d.t)")
+    whole = let("cut", chunks("d.t"), f"concat_ws('', flatten(transform(d.p, (o, i) -> array({before}, _inner[j][i]))), {rest})")
+    written = interleave(f"transform(_done, (d, j) -> IF(size(d.p) = 0, d.t, {whole}))", "_outer")
+    return done.select(*(F.expr(written).alias(c) if c == html_col else _named(c) for c in df.columns),
+                       _sum(F.flatten(F.col("_done.c"))).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +15,10 @@ from scrubline.functions.rules import user_rule
 from scrubline.operators.chain import method_chain, redact_blocks_with
 from scrubline.operators.dictionary import recognize_dictionary, redact_dictionary
 from scrubline.operators.findings import (
-    apply_findings, entity_stats, findings, label_of, recognize, redact_entities, unite, with_luhn, without_allowed)
+    apply_findings, entity_stats, findings, label_of, recognize, redact_entities, scored_findings, unite, with_luhn, without_allowed)
 from scrubline.operators.redact import (
-    Redactor, assemble_blocks, redact, redact_blocks, redact_column, redact_json_text, redact_lines, redact_markup,
-    redact_nested, redact_table)
+    INLINE_TAG, TAG, Redactor, assemble_blocks, redact, redact_blocks, redact_column, redact_json_text, redact_lines, redact_marked_text,
+    redact_markup, redact_nested, redact_table)
 from scrubline.sources.files import read_documents, read_table, run_metrics, write_table
 from scrubline.streaming.redact_stream import read_stream, redact_stream, utc, windowed_counts, write_stream
 
@@ -163,7 +163,7 @@ def redact_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(documents(spark, sf_dir), redactor=Redactor(detectors=("emails", "ips")))
+    return findings(documents(spark, sf_dir), redactor=every_rule())
 
 
 def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,16 +171,16 @@ def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_findings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return apply_findings(docs, findings(docs, redactor=Redactor(detectors=("emails", "ips"))))
+    docs = notes(spark, sf_dir)
+    return apply_findings(docs, findings(docs, redactor=every_rule()))
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names from the tables: all words of ``benchmark`` and pairs of neighbours in it as companies, parts, nations and
     regions as products and places. Pairs overlap their words and each other."""
     words = table(spark, sf_dir, "benchmark").select(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w"))
-    single = words.select(F.explode("w").alias("keyword"), F.lit("COMPANY").alias("entity_type")).where("length(keyword) >= 5")
-    pairs = words.select(F.explode(F.expr("transform(filter(sequence(0, greatest(size(w) - 2, 0)), i -> i % 5 = 0 AND i + 1 < size(w) AND w[i] <> w[i + 1]), "
+    single = words.select(F.explode("w").alias("keyword"), F.lit("COMPANY").alias("entity_type"))
+    pairs = words.select(F.explode(F.expr("transform(filter(sequence(0, greatest(size(w) - 2, 0)), i -> i + 1 < size(w) AND w[i] <> w[i + 1]), "
                                           "i -> concat(w[i], ' ', w[i + 1]))")).alias("keyword"), F.lit("PERSON").alias("entity_type"))
     parts = table(spark, sf_dir, "part").select(F.lower("p_name").alias("keyword"), F.lit("URL"))
     nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("keyword"), F.lit("LOCATION"))
@@ -219,12 +219,13 @@ def redact_dictionary_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list of names, however long, as one rule: those of the customers, and two with symbols at their ends."""
+    """A list of names as long as a table: those of all customers, and two with symbols at their ends, found by a join."""
     customers = table(spark, sf_dir, "customer")
-    names = [r.c_name for r in customers.select("c_name").distinct().orderBy("c_name").collect()]  # the list is a setting
+    odd = spark.createDataFrame([("C++",), (".NET",)], "keyword STRING")
+    names = customers.select(F.col("c_name").alias("keyword")).union(odd).withColumn("entity_type", F.lit("COMPANY"))
     lines = customers.select("c_custkey", F.concat(
         F.lit("By "), "c_name", F.lit(" with c++ and .NET, not "), "c_name", F.lit("x or NETC++")).alias("text"))
-    return redact_column(lines, "text", Redactor(("C++", ".NET", *names), ("company_names",)))
+    return redact_dictionary(lines, names, "c_custkey")
 
 
 def redact_lines_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,6 +280,46 @@ def redact_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("variant_get(v, '$.props.k', 'bigint')").alias("k"))
 
 
+# Values under keys that tell what they hold: name, phrase the rules know, label of a secret, and the value.
+KEYED_CELLS = (
+    ("password", "password: ", "[PASSWORD]", "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'ab1' ELSE concat('my Key ', c_custkey, '!x') END"),
+    ("token", "token: ", "[AUTH_TOKEN]", "concat('id-', c_custkey, '-0123456789ab')"),
+    ("mobile", "phone: ", None, "concat('052-555-', CAST(1000 + c_custkey % 9000 AS VARCHAR(9)))"),
+    ("owner", "", None, "concat(lower(c_mktsegment), '.', c_custkey, '@mail.example.com')"),
+    ("client_secret", "secret_key: ", "[SECRET_OR_KEY]", "concat('v ', c_custkey, ' abc')"),
+    ("passport", "passport number: ", None, "concat('AB', CAST(1000000 + c_custkey AS VARCHAR(9)))"),
+    ("plain", "", None, "concat('hunter ', c_custkey)"),
+    ("first_code", "password: ", "[PASSWORD]", "concat('one two ', c_custkey)"),
+    ("second_code", "password: ", "[PASSWORD]", "'x1'"),
+    ("login", "password: ", "[PASSWORD]", "concat('pw-', c_custkey, '-zz')"),
+    ("hint", "", None, "concat('ask 10.0.0.', CAST(c_custkey % 256 AS VARCHAR(9)))"),
+    ("inner_key", "secret_key: ", "[SECRET_OR_KEY]", "concat('k k ', c_custkey)"),
+    ("outer_key", "secret_key: ", "[SECRET_OR_KEY]", "concat('k-', c_custkey)"),
+    ("born", "date of birth: ", None, "'1980-03-01'"),
+    ("salary", "amount : ", None, "CAST(50000 + c_custkey AS VARCHAR(9))"),
+)
+
+
+def redact_nested_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets, numbers and dates that only their keys give away: in a struct, a map, an array and a VARIANT."""
+    v = {name: value for name, _, _, value in KEYED_CELLS}
+    account = (f"named_struct('password', {v['password']}, 'dbToken', {v['token']}, 'MobileNo', named_struct('value', {v['mobile']}), 'owner', {v['owner']})")
+    notes_map = f"map('client-secret', {v['client_secret']}, 'Passport No', {v['passport']}, 'plain', {v['plain']})"
+    json = (f"to_json(named_struct('login', named_struct('User Password', {v['login']}), 'hints', array({v['hint']}), 'private_keys', "
+            f"array(named_struct('id', 'z', 'value', {v['inner_key']})), 'dob', {v['born']}, 'n', array(named_struct('annualSalary', {v['salary']}))))")
+    # a string after an object in the array that the key names
+    json = f"replace({json}, '}}],\"dob\"', concat('}},\"', {v['outer_key']}, '\"],\"dob\"'))"
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", f"{account} AS account", f"{notes_map} AS notes", f"array({v['first_code']}, {v['second_code']}, NULL) AS passcodes", f"parse_json({json}) AS v")
+    done = redact_nested(customers, every_rule())
+    paths = {"login": "$.login[\"User Password\"]", "hint": "$.hints[0]", "inner_key": "$.private_keys[0].value", "outer_key": "$.private_keys[1]",
+             "born": "$.dob", "salary": "$.n[0].annualSalary"}
+    return done.selectExpr(
+        "c_custkey", "account.password", "account.dbToken AS token", "account.MobileNo.value AS mobile", "account.owner", "notes['client-secret'] AS client_secret",
+        "notes['Passport No'] AS passport", "notes['plain'] AS plain", "passcodes[0] AS first_code", "passcodes[1] AS second_code",
+        *(f"variant_get(v, '{path}', 'string') AS {name}" for name, path in paths.items()))
+
+
 def redact_json_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON as printed text: a bare number taken for an id ends its being JSON."""
     printed = table(spark, sf_dir, "events").select("event_id", F.expr(
@@ -295,6 +336,19 @@ def _markup(text_nodes_only: bool) -> Job:
     return job
 
 
+# Values that tags of inline elements split, and some that other tags keep apart.
+SPLIT_VALUES = ("concat('<p>write to jo<b class=x>hn.', page_id, '</b>@mail.<i>example</i>.com or <a href=\"http://a.example.net\">10.0.<b>0</b>.7</a> and pay <i>4111 1111</i>"
+                " 1111 <em/>1111 now</p><td>4111 1111</td><td>1111 1111</td><bold>')")
+
+
+def redact_markup_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text across inline tags: what is left of it without these tags, and all tags as they stood."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(f"concat(html, {SPLIT_VALUES}, '<p>', {note_line('page_id')})").alias("html"))
+    done = redact_marked_text(pages, "html", every_rule())
+    tags = F.array_join(F.regexp_extract_all("html", F.lit(TAG), F.lit(0)), "")
+    return done.select("page_id", F.regexp_replace("html", F.lit(INLINE_TAG), F.lit("")).alias("text"), tags.alias("tags"), "n")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(
         f"concat(text, ' ', role, '.', conv_id, '@chat.example.net\\n', {note_line('(conv_id + turn)')})").alias("text"))
@@ -329,6 +383,49 @@ def redact_entities_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_entities(documents(spark, sf_dir), load_mail_recognizer)
 
 
+# Bank, wallet and licence numbers by turns: right ones, ones with a wrong digit, with and without words around.
+ACCOUNT_NUMBER = "lpad(CAST(c_custkey AS VARCHAR(18)), 18, '3')"
+ROUTING_TEXT = "concat('0210', lpad(CAST(c_custkey % 10000 AS VARCHAR(4)), 4, '0'))"
+WALLETS = ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4")
+ACCOUNT_LINES = (
+    "concat('pay to DE', lpad(CAST(98 - CAST(concat({bban}, '131400') AS {wide}) % 97 AS VARCHAR(2)), 2, '0'), {bban}, ' today')",
+    "concat('pay to DE', lpad(CAST((99 - CAST(concat({bban}, '131400') AS {wide}) % 97) % 97 AS VARCHAR(2)), 2, '0'), {bban}, ' today')",
+    f"concat('wallet {WALLETS[0]} or {WALLETS[1]}, not {WALLETS[0][:-1]}b, ', c_custkey)",
+    f"concat('send {WALLETS[2]} or {WALLETS[2].upper()}, not {WALLETS[2][:-1]}5, ', c_custkey)",
+    "concat('routing ', {routing}, ' here')",
+    "concat('account 7', lpad(CAST(c_custkey AS VARCHAR(11)), 11, '0'), ' of theirs')",
+    "concat('number 7', lpad(CAST(c_custkey AS VARCHAR(11)), 11, '0'), ' of theirs')",
+    "concat('invoice account 7', lpad(CAST(c_custkey AS VARCHAR(11)), 11, '0'), ' of theirs')",
+    "concat('driving licence D', lpad(CAST(c_custkey AS VARCHAR(7)), 7, '0'), ' shown')",
+    "concat('model D', lpad(CAST(c_custkey AS VARCHAR(7)), 7, '0'), ' shown')",
+)
+# nine digits whose weighted sum is a multiple of ten, or one more for every second customer
+ROUTING = ("concat({head}, CAST((CAST((1000 - (3 * CAST(substring({head}, 1, 1) AS INT) + 7 * CAST(substring({head}, 2, 1) AS INT) + CAST(substring({head}, 3, 1) AS INT)"
+           " + 3 * CAST(substring({head}, 4, 1) AS INT) + 7 * CAST(substring({head}, 5, 1) AS INT) + CAST(substring({head}, 6, 1) AS INT)"
+           " + 3 * CAST(substring({head}, 7, 1) AS INT) + 7 * CAST(substring({head}, 8, 1) AS INT))) AS INT) + CAST({odd} AS INT)) % 10 AS VARCHAR(1)))")
+
+
+def account_text(wide: str, div: str) -> str:
+    """SQL: the line of a customer. ``wide``: a type of 24 digits; ``div``: division of whole numbers, by which lines are chosen."""
+    routing = ROUTING.replace("{head}", ROUTING_TEXT).replace("{odd}", f"(c_custkey {div} {len(ACCOUNT_LINES)}) % 2")
+    lines = [x.replace("{bban}", ACCOUNT_NUMBER).replace("{wide}", wide).replace("{routing}", routing) for x in ACCOUNT_LINES]
+    return f"(CASE c_custkey % {len(lines)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(lines)) + " END)"
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(account_text("DECIMAL(38,0)", "div")).alias("text"))
+
+
+def scored_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers told by their checksums and by the words around them, with scores."""
+    return scored_findings(accounts(spark, sf_dir), ("c_custkey",))
+
+
+def redact_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written into the texts: of overlapping findings the one with the higher score."""
+    return apply_findings(accounts(spark, sf_dir), scored_entities(spark, sf_dir), "c_custkey")
+
+
 def allowed_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary findings but for those on an allow list: here the words of seven letters."""
     allowed = table(spark, sf_dir, "benchmark").select(
@@ -357,11 +454,11 @@ def riskiest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.distinct_values(documents(spark, sf_dir), redactor=Redactor(detectors=("emails", "ips")))
+    return audit.distinct_values(notes(spark, sf_dir), redactor=every_rule())
 
 
 def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.top_values(documents(spark, sf_dir), 20, redactor=Redactor(detectors=("emails", "ips")))
+    return audit.top_values(notes(spark, sf_dir), 20, redactor=every_rule())
 
 
 def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,9 +492,9 @@ def documents_with_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def united_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of the rules, of a dictionary and of a model in one table, applied together."""
-    docs = documents(spark, sf_dir)
-    rules = findings(docs, redactor=Redactor(detectors=("ips",))).select("doc_id", "start", "end", "score", "label")
-    names = recognize_dictionary(docs, gazetteer(spark, sf_dir).where("entity_type = 'LOCATION'"))
+    docs = notes(spark, sf_dir)
+    rules = findings(docs, redactor=every_rule()).select("doc_id", "start", "end", "score", "label")
+    names = recognize_dictionary(docs, gazetteer(spark, sf_dir))
     model = recognize(docs, load_mail_recognizer)
     entities = unite(dictionary=names, model=model).select("doc_id", "start", "end", "score", label_of(F.col("entity_type")).alias("label"))
     return apply_findings(docs, entities.unionByName(rules))
@@ -431,13 +528,14 @@ def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as text files, one for each role, read back as whole documents."""
+    """Conversations written as text files, one for each role and thousand conversations, read back as whole documents."""
     folder = _scratch(spark)
-    lines = table(spark, sf_dir, "conversations").select("role", F.concat_ws(" ", F.lit("turn"), "conv_id", "turn").alias("value"))
-    write_table(lines.repartition(1, "role").sortWithinPartitions("value"), folder, "text", ("role",))
+    lines = table(spark, sf_dir, "conversations").select(
+        "role", F.expr("conv_id div 1000").alias("stretch"), F.concat_ws(" ", F.lit("turn"), "conv_id", "turn").alias("value"))
+    write_table(lines.repartition("role", "stretch").sortWithinPartitions("role", "stretch", "value"), folder, "text", ("role", "stretch"))
     whole = read_documents(spark, folder, "*.txt")
-    return whole.select(F.regexp_extract("path", "role=([a-z]+)", 1).alias("role"), "extension", "mime_type", "format", "encoding", "lines",
-                        F.length("text").cast("bigint").alias("chars"))
+    return whole.select(F.regexp_extract("path", "role=([a-z]+)", 1).alias("role"), F.regexp_extract("path", "stretch=([0-9]+)", 1).cast("bigint").alias("stretch"),
+                        "extension", "mime_type", "format", "encoding", "lines", F.length("text").cast("bigint").alias("chars"))
 
 
 def run_metrics_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,20 +559,21 @@ def _scratch(spark: SparkSession) -> str:
 LATE = "event_id % 50 = 0"
 
 
-def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of log lines in three files: those that are late come last."""
+def arriving_events(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """The events as a stream of log lines that come in three parts, each in as many files as tasks write: those that are
+    late come last. The stream is handed out after each part has arrived."""
     folder, events = _scratch(spark), table(spark, sf_dir, "events")
     for part in ("event_id % 50 > 1", "event_id % 50 = 1", LATE):  # in the second the watermark of the first begins to count
-        events.where(part).coalesce(1).write.mode("append").parquet(folder)
-    return (read_stream(spark, folder, events.schema, max_files_per_trigger=1)
-            .select(utc("ts").alias("ts"), "event_id", F.expr(LOG_LINE).alias("text")))
+        events.where(part).write.mode("append").parquet(folder)
+        yield read_stream(spark, folder, events.schema).select(utc("ts").alias("ts"), "event_id", F.expr(LOG_LINE).alias("text"))
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements per detector and day of event time: days that have closed, without what came too late for them."""
-    counts = windowed_counts(arriving_events(spark, sf_dir), "ts", "text", "1 day", "1 hour", every_rule())
     folder = _scratch(spark)
-    write_stream(counts, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    for lines in arriving_events(spark, sf_dir):
+        counts = windowed_counts(lines, "ts", "text", "1 day", "1 hour", every_rule())
+        write_stream(counts, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/counts").withColumn("window_start", F.expr(
         "convert_timezone(current_timezone(), 'UTC', CAST(window_start AS TIMESTAMP_NTZ))"))
 
@@ -482,8 +581,9 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log lines redacted as they come, late ones too."""
     folder = _scratch(spark)
-    done = redact_stream(arriving_events(spark, sf_dir).select("event_id", "text"), redactor=every_rule())
-    write_stream(done, f"{folder}/lines", f"{folder}/checkpoint").awaitTermination()
+    for lines in arriving_events(spark, sf_dir):
+        done = redact_stream(lines.select("event_id", "text"), redactor=every_rule())
+        write_stream(done, f"{folder}/lines", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(done.schema).parquet(f"{folder}/lines")
 
 
@@ -517,16 +617,20 @@ JOBS: dict[str, Job] = {
     "redact_many_keywords": redact_many_keywords,
     "recognize_model": recognize_job,
     "redact_entities": redact_entities_job,
+    "scored_entities": scored_entities,
+    "redact_scored": redact_scored,
     "findings_not_allowed": allowed_job,
     "redact_lines": redact_lines_job,
     "redact_blocks": redact_blocks_job,
     "assemble_blocks": assemble_blocks_job,
     "redact_table": redact_table_job,
     "redact_nested": redact_nested_job,
+    "redact_nested_keys": redact_nested_keys,
     "redact_variant": redact_variant,
     "redact_json_text": redact_json_job,
     "redact_markup": _markup(False),
     "redact_markup_text": _markup(True),
+    "redact_markup_joined": redact_markup_joined,
     "redact_conversations": redact_conversations,
     "conversation_totals": conversation_totals,
     "method_chain": _chain("regex", "offline_model"),

@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from scrubline.plans.jobs import KEYWORDS, LOG_LINE, note_line
+from scrubline.operators.redact import INLINE
+from scrubline.plans.jobs import ACCOUNT_LINES, KEYED_CELLS, KEYWORDS, LOG_LINE, SPLIT_VALUES, WALLETS, account_text, note_line
 
 
 def q(text: str) -> str:
@@ -22,16 +23,31 @@ def found(text: str, pattern: str, group: int = 0) -> str:
     return f"regexp_extract_all({text}, {q(pattern)}, {group})"
 
 
-def relabel(text: str, pattern: str, label: str, group: int = 0) -> str:
+class Step(str):
+    """A text after one pass, as an expression over ``t``; ``n``: the number of replacements made."""
+
+    n: str
+
+    def replace(self, *args) -> Step:
+        return step(str.replace(self, *args), self.n.replace(*args))
+
+
+def step(sql: str, n: str) -> Step:
+    out = Step(sql)
+    out.n = n
+    return out
+
+
+def relabel(text: str, pattern: str, label: str, group: int = 0) -> Step:
     """Every match replaced by ``label``, an expression over ``h`` (match) and ``v`` (group)."""
     label = label.replace("{h}", "x[2]").replace("{v}", "x[3]")
-    return (f"array_to_string(list_transform(list_zip(regexp_split_to_array({text}, {q(pattern)}), "
-            f"{found(text, pattern)}, {found(text, pattern, group)}), "
-            f"lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' ELSE {label} END), '')")
+    parts = f"list_zip(regexp_split_to_array({text}, {q(pattern)}), {found(text, pattern)}, {found(text, pattern, group)})"
+    return step(f"array_to_string(list_transform({parts}, lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' ELSE {label} END), '')",
+                f"len(list_filter({parts}, lambda x: x[2] IS NOT NULL AND {label} <> x[2]))")
 
 
-def replaced(text: str, pattern: str, template: str) -> str:
-    return f"regexp_replace({text}, {q(pattern)}, {q(template)}, 'g')"
+def replaced(text: str, pattern: str, template: str) -> Step:
+    return step(f"regexp_replace({text}, {q(pattern)}, {q(template)}, 'g')", f"len({found(text, pattern)})")
 
 
 def chain(source: str, keys: str, steps: Sequence[str]) -> str:
@@ -42,6 +58,14 @@ def chain(source: str, keys: str, steps: Sequence[str]) -> str:
     return sql
 
 
+def made(source: str, keys: str, steps: Sequence[Step]) -> str:
+    """As ``chain``, with ``n``: the replacements made, those within a later one as well."""
+    sql = f"SELECT {keys}, t, t AS o, 0 AS n FROM ({source})"
+    for one in steps:
+        sql = f"SELECT {keys}, {one} AS t, o, n + {one.n} AS n FROM ({sql})"
+    return sql
+
+
 def times(text: str, needle: str) -> str:
     """How often a literal occurs, as an INTEGER."""
     return f"CAST((length({text}) - length(replace({text}, {q(needle)}, ''))) // {len(needle)} AS INTEGER)"
@@ -277,6 +301,7 @@ def _with_line(columns: str, text: str, key: str, table: str) -> str:
 NOTES = _with_line("doc_id", "text", "doc_id", "documents")
 CONTACTS = f"""SELECT c_custkey, c_name, concat(lower(c_mktsegment), '.', c_custkey, '@mail.example.com') AS email,
     concat('10.', c_nationkey, '.0.', c_custkey % 300) AS ip, {_line('c_custkey')} AS note, c_nationkey, c_acctbal FROM customer"""
+SPLIT_PAGES = f"SELECT page_id, concat(html, {SPLIT_VALUES}, '<p>', {_line('page_id')}) AS t FROM pages"
 PAGES = f"""SELECT page_id, concat('<a title="web@example.org">web@example.org</a>', html, '<p>', {_line('page_id')}) AS t FROM pages"""
 TURNS = _with_line("conv_id, turn", "concat(text, ' ', role, '.', conv_id, '@chat.example.net')", "(conv_id + turn)", "conversations")
 LOG_LINES = f"SELECT event_id, ts, {LOG_LINE} AS t FROM events"
@@ -348,17 +373,27 @@ def _matches(detector: str, no: int, pattern: str, label: str, source: str = DOC
               WHERE regexp_matches(t, {q(pattern)})), unnest(range(1, len(m) + 1)) AS r(i))"""
 
 
-def _rule(detector: str, no: int, core: str, label: str, left: str = "", right: str = "", group: int = 0, flags: str = "") -> str:
-    """The matches of one rule in the notes. ``left``, ``right``: the neighbours that may stand on either side, in a group.
-    No two matches of a rule stand so close in the notes that they share a neighbour on the right and the left."""
+def _rule(detector: str, no: int, core: str, label: str, left: str = "", right: str = "", group: int = 0, flags: str = "",
+          source: str = "{source}") -> str:
+    """The matches of one rule. ``left``, ``right``: the neighbours that may stand on either side, in a group.
+
+    A neighbour between two matches is consumed by the first, so where there are neighbours on both sides the search is
+    done again over the text with the matches blanked out; what it finds must have its neighbours in the text as it was."""
     whole = f"{flags}{left}({core}){right}"
     part = f"regexp_extract(hit, {q(f'{flags}^{left}({core}){right}$')}, "
     first, match = (f"length({part}1))" if left else "0", f"{part}{2 if left else 1})")
     value = f"regexp_extract(match, {q(f'{flags}^(?:{core})$')}, {group})" if group else "match"
     label = label.replace("{h}", "match").replace("{v}", "value").replace("{n}", "value").replace("{k}", "value")
+    rounds = [_matches(detector, no, whole, "''", source)]
+    if left and right:
+        one, two, three = (f"regexp_extract({{h}}, {q(f'{flags}^{left}({core}){right}$')}, {i})" for i in (1, 2, 3))
+        blanked = relabel("t", whole, f"{one} || repeat('~', length({two})) || {three}")
+        rounds.append(_matches(detector, no, whole, "''", f"SELECT doc_id, {blanked} AS t FROM ({source})"))
+    beside = (f" WHERE regexp_matches(substr(t, start, 1), {q(left + '$')}) AND regexp_matches(substr(t, start + length(match) + 1, 1), {q('^' + right)})"
+              if left and right else "")
+    found_in = " UNION ALL ".join(f"(SELECT m.doc_id, i, start, match AS hit, t FROM ({r}) m JOIN ({source}) USING (doc_id))" for r in rounds)
     return f"""SELECT *, {label} AS label FROM (SELECT *, {value} AS value FROM (SELECT doc_id, '{detector}' AS detector, {no} AS rule_no, i,
-        CAST(start + {first} AS INTEGER) AS start, {match} AS match, t FROM (
-        SELECT m.doc_id, i, start, match AS hit, t FROM ({_matches(detector, no, whole, "''", NOTES)}) m JOIN ({NOTES}) USING (doc_id))))"""
+        CAST(start + {first} AS INTEGER) AS start, {match} AS match, t FROM ({found_in})){beside})"""
 
 
 _WORDS_RIGHT, _WORDS_LEFT = rf"({_NO_WORD}|$)", rf"(^|{_NO_WORD})"
@@ -367,8 +402,8 @@ _FOUND_DATE = _DATE_LABEL.replace("lower(o)", _PURPOSE)
 _SIGN_MONEY = rf"\s*{_AMOUNT}"
 
 
-def _findings_of_all() -> str:
-    """All rules but that of names, each over the notes as they are, and the names."""
+def _findings_of_all(source: str) -> str:
+    """All rules, each over the texts as they are."""
     rules = [_rule("emails", 1, EMAIL, "'[EMAIL:' || substr({h}, position('@' IN {h}) + 1) || ']'"),
              _rule("company_names", 1, _WORD + "+", _KEYWORD_CASE),
              _rule("domains", 1, rf"(?:https?://)?(?:www\.)?(?:{_DOT})+[a-zA-Z]{{2,63}}", "'[DOMAIN:.' || regexp_extract({h}, '[a-zA-Z]+$') || ']'",
@@ -400,33 +435,21 @@ def _findings_of_all() -> str:
     rules.append(_rule("dates", 5, _DATE_WORDS.removeprefix("(?i)"), _FOUND_DATE, group=1, flags="(?i)"))
     rules += [_rule("passwords", no, p.removeprefix("(?i)"), _SECRET_CASE, group=g, flags="(?i)" if p.startswith("(?i)") else "")
               for no, (p, g) in enumerate(PASSWORD_PATTERNS, 1)]
-    rows = " UNION ALL ".join(f"({r})" for r in rules)
+    rows = " UNION ALL ".join(f"({r})" for r in rules).replace("{source}", source)
     # the value of a contextual address is its number and street, which no label looks at
     return f"""SELECT doc_id, detector, CAST(rule_no AS INTEGER) AS rule_no,
-        CAST(row_number() OVER (PARTITION BY doc_id, detector, rule_no ORDER BY i) - 1 AS INTEGER) AS ord, start,
+        CAST(row_number() OVER (PARTITION BY doc_id, detector, rule_no ORDER BY start) - 1 AS INTEGER) AS ord, start,
         CAST(start + length(match) AS INTEGER) AS "end", match, CASE WHEN detector = 'addresses' AND rule_no = 4
             THEN regexp_extract(match, '[0-9].*$') ELSE value END AS value, label, CAST(1 AS DOUBLE) AS score FROM ({rows}) WHERE label <> match"""
 
 
-def _findings(source: str = DOCUMENTS) -> str:
-    label = "'[EMAIL:' || substr({h}, position('@' IN {h}) + 1) || ']'"
-    parts = (_matches("emails", 1, EMAIL, label, source), _matches("ips", 1, IPV4, IPV4_LABEL, source),
-             _matches("ips", 2, IPV6, "'[IPV6_ADDRESS]'", source))
-    rows = " UNION ALL ".join(f"({p})" for p in parts)
-    # a declined match is no finding; the others are numbered without it
-    return f"""SELECT doc_id, detector, CAST(rule_no AS INTEGER) AS rule_no,
-        CAST(row_number() OVER (PARTITION BY doc_id, detector, rule_no ORDER BY i) - 1 AS INTEGER) AS ord,
-        start, "end", match, match AS value, label, CAST(1 AS DOUBLE) AS score FROM ({rows}) WHERE label <> match"""
-
-
 _BENCHMARK_WORDS = "SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM benchmark"
 GAZETTEER = f"""SELECT DISTINCT keyword, entity_type FROM (
     SELECT unnest(w) AS keyword, 'COMPANY' AS entity_type FROM ({_BENCHMARK_WORDS}) UNION ALL
-    SELECT unnest(list_transform(list_filter(range(0, len(w)), lambda i: i % 5 = 0 AND i + 1 < len(w) AND w[i + 1] <> w[i + 2]), lambda i: w[i + 1] || ' ' || w[i + 2])),
+    SELECT unnest(list_transform(list_filter(range(0, len(w)), lambda i: i + 1 < len(w) AND w[i + 1] <> w[i + 2]), lambda i: w[i + 1] || ' ' || w[i + 2])),
         'PERSON' FROM ({_BENCHMARK_WORDS}) UNION ALL
     SELECT lower(p_name), 'URL' FROM part UNION ALL
-    SELECT lower(n_name), 'LOCATION' FROM nation UNION ALL SELECT lower(r_name), 'LOCATION' FROM region)
-    WHERE entity_type <> 'COMPANY' OR length(keyword) >= 5"""
+    SELECT lower(n_name), 'LOCATION' FROM nation UNION ALL SELECT lower(r_name), 'LOCATION' FROM region)"""
 
 
 def _words(source: str = DOCUMENTS) -> str:
@@ -438,7 +461,7 @@ def _words(source: str = DOCUMENTS) -> str:
             FROM ({source})))"""
 
 
-def _known(source: str = DOCUMENTS) -> str:
+def _known(source: str = DOCUMENTS, keys: str = "doc_id") -> str:
     """Dictionary findings: single words, and entries of two words by two neighbours."""
     return f"""WITH w AS ({_words(source)}), k AS ({GAZETTEER}),
         two AS (SELECT doc_id, start, word || lead(gap) OVER d || lead(word) OVER d AS match FROM w
@@ -446,35 +469,53 @@ def _known(source: str = DOCUMENTS) -> str:
         SELECT doc_id, entity_type, start, CAST(start + length(match) AS INTEGER) AS "end", match,
             CAST(1 AS DOUBLE) AS score
         FROM (SELECT doc_id, start, word AS match FROM w UNION ALL SELECT doc_id, start, match FROM two)
-        JOIN k ON keyword = lower(match)"""
+        JOIN k ON keyword = lower(match)""".replace("doc_id", keys)
 
 
 _TYPE_LABEL = """CASE entity_type WHEN 'COMPANY' THEN '[COMPANY_NAME]' WHEN 'LOCATION' THEN '[ADDRESS]' WHEN 'URL' THEN '[URL]'
     ELSE '[PERSON_NAME]' END"""
 
 
+#: Rounds in which overlaps are resolved: in each, what nothing better overlaps is taken, and what it overlaps goes.
+ROUNDS = 24
+
+
+def _applied(found_in: str, source: str = DOCUMENTS, keys: str = "doc_id", text: str = "text") -> str:
+    """Findings (with score and label) written into their texts: of overlapping ones the higher score, then the longer, then the earlier."""
+    bins = f"SELECT id, {keys}, start, stop, unnest(range(start // 64, (stop - 1) // 64 + 1)) AS bin FROM f"
+    rounds = []
+    for k in range(ROUNDS):
+        rounds.append(f"t{k} AS MATERIALIZED (SELECT id FROM a{k} ANTI JOIN (SELECT worse AS id FROM o JOIN a{k} ON better = id) USING (id))")
+        rounds.append(f"a{k + 1} AS MATERIALIZED (SELECT id FROM a{k} ANTI JOIN t{k} USING (id) ANTI JOIN (SELECT worse AS id FROM o JOIN t{k} ON better = id) USING (id))")
+    taken = " UNION ALL ".join(f"SELECT id FROM t{k}" for k in range(ROUNDS))
+    over = f"(PARTITION BY {keys} ORDER BY start)"
+    return f"""WITH f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, start - stop, start, stop, label, {keys}) AS id FROM (
+            SELECT {keys}, start, "end" AS stop, score, label, row_number() OVER (PARTITION BY {keys}, start, "end" ORDER BY score DESC, label) AS place
+            FROM ({found_in})) WHERE place = 1),
+        b AS MATERIALIZED ({bins}),
+        o AS MATERIALIZED (SELECT DISTINCT x.id AS better, y.id AS worse FROM b x JOIN b y USING ({keys}, bin)
+            WHERE x.id < y.id AND x.start < y.stop AND y.start < x.stop),
+        a0 AS (SELECT id FROM f), {', '.join(rounds)},
+        s AS (SELECT f.*, coalesce(lag(stop) OVER {over}, 0) AS before, lead(stop) OVER {over} IS NULL AS is_last FROM f SEMI JOIN ({taken}) USING (id)),
+        w AS (SELECT {keys}, start, count(*) OVER (PARTITION BY {keys}) AS n, substr(t, before + 1, start - before) || label
+            || CASE WHEN is_last THEN substr(t, stop + 1) ELSE '' END AS piece FROM s JOIN ({source}) USING ({keys})),
+        done AS (SELECT {keys}, string_agg(piece, '' ORDER BY start) AS done, any_value(n) AS n FROM w GROUP BY {keys})
+        SELECT {keys}, coalesce(done, t) AS {text}, CAST(coalesce(n, 0) AS INTEGER) AS n FROM ({source}) LEFT JOIN done USING ({keys})"""
+
+
+def _labelled(source: str = DOCUMENTS, keys: str = "doc_id") -> str:
+    """Dictionary findings with the label of their type."""
+    return f"SELECT *, {_TYPE_LABEL} AS label FROM ({_known(source, keys)})"
+
+
 def _dictionary_redacted(source: str = DOCUMENTS, keys: str = "doc_id") -> str:
-    """An entry of two words goes before one of one word; of two such that share a word the longer, then the first.
-
-    Two rounds: those that no neighbour beats, then those that only a neighbour beaten in the first stood against.
-    Of several types the first label."""
-    k = f"SELECT keyword, min({_TYPE_LABEL}) AS label FROM ({GAZETTEER}) GROUP BY keyword"
-    words = _words(source).replace("doc_id", keys)
-    over = f"OVER (PARTITION BY {keys} ORDER BY i)"
-    best = "(size > coalesce(lag({w}) %s, 0) AND size >= coalesce(lead({w}) %s, 0))" % (over, over)
-    return f"""WITH k AS ({k}), w AS ({words}),
-        n AS (SELECT *, lead(gap) {over} AS gap2, lead(word) {over} AS word2 FROM w),
-        j AS (SELECT n.*, k1.label AS one, k2.label AS two, CASE WHEN k2.label IS NULL THEN 0 ELSE length(word || gap2 || word2) END AS size
-              FROM n LEFT JOIN k k1 ON k1.keyword = lower(word) LEFT JOIN k k2 ON k2.keyword = lower(word || gap2 || word2)),
-        r1 AS (SELECT *, size > 0 AND {best.replace('{w}', 'size')} AS first FROM j),
-        o1 AS (SELECT *, CASE WHEN first OR coalesce(lag(first) {over}, false) OR coalesce(lead(first) {over}, false) THEN 0 ELSE size END AS left_size
-               FROM r1),
-        r2 AS (SELECT *, first OR left_size > 0 AND left_size > coalesce(lag(left_size) {over}, 0)
-               AND left_size >= coalesce(lead(left_size) {over}, 0) AS pair FROM o1),
-        f AS (SELECT *, coalesce(lag(pair) {over}, false) AS second FROM r2)
-        SELECT {keys}, coalesce(string_agg(CASE WHEN second THEN '' ELSE gap || coalesce(CASE WHEN pair THEN two ELSE coalesce(one, word) END, '') END,
-            '' ORDER BY i), '') AS text, CAST(count(*) FILTER (pair OR one IS NOT NULL AND NOT second) AS INTEGER) AS n FROM f GROUP BY {keys}"""
+    return _applied(_labelled(source, keys), source, keys)
+
 
+# texts that end with names of other characters, and where these stand
+SYMBOL_TEXTS = "SELECT doc_id, text || ' c++, .Net and yahoo! not netc++x yahoo?' AS t FROM documents"
+_SYMBOLS = """SELECT doc_id, CAST(length(text) + p AS INTEGER) AS start, CAST(length(text) + p + n AS INTEGER) AS "end", CAST(1 AS DOUBLE) AS score, '[COMPANY_NAME]' AS label
+    FROM documents, (VALUES (1, 3), (6, 4), (15, 6)) AS v(p, n)"""
 
 _EXTENSION = r"""lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''),
     '[^/.](\.[^./]+)$', 1))"""
@@ -495,9 +536,32 @@ def _text_nodes() -> str:
     pieces = f"""SELECT page_id, i, x[i][1] AS t, x[i][2] AS tag FROM (SELECT page_id, list_zip(
         regexp_split_to_array(t, '<[^>]*>'), regexp_extract_all(t, '<[^>]*>')) AS x FROM ({PAGES})),
         unnest(range(1, len(x) + 1)) AS r(i)"""
-    return f"""SELECT page_id, string_agg(t || coalesce(tag, ''), '' ORDER BY i) AS html,
-        CAST(sum({' + '.join(f'{times("t", s)} - {times("o", s)}' for s in FULL_LABELS)}) AS INTEGER) AS n
-        FROM ({chain(pieces, 'page_id, i, tag', FULL_FIXED)}) GROUP BY page_id"""
+    return f"""SELECT page_id, string_agg(t || coalesce(tag, ''), '' ORDER BY i) AS html, CAST(sum(n) AS INTEGER) AS n
+        FROM ({made(pieces, 'page_id, i, tag', FULL_FIXED)}) GROUP BY page_id"""
+
+
+# inline elements, told by their names, are taken out; what lies between the other tags is one text each
+_INLINE = rf"(?i)</?(?:{'|'.join(INLINE)})(?:[\s/][^>]*)?>"
+
+
+def _joined_nodes() -> str:
+    pieces = f"""SELECT page_id, i, x[i][1] AS t, x[i][2] AS tag, tags FROM (SELECT page_id, tags, list_zip(
+        regexp_split_to_array(t, '<[^>]*>'), regexp_extract_all(t, '<[^>]*>')) AS x FROM (
+            SELECT page_id, regexp_replace(t, {q(_INLINE)}, '', 'g') AS t, array_to_string(regexp_extract_all(t, '<[^>]*>'), '') AS tags FROM ({SPLIT_PAGES}))),
+        unnest(range(1, len(x) + 1)) AS r(i)"""
+    return f"""SELECT page_id, string_agg(t || coalesce(tag, ''), '' ORDER BY i) AS text, any_value(tags) AS tags, CAST(sum(n) AS INTEGER) AS n
+        FROM ({made(pieces, 'page_id, i, tag, tags', FULL_FIXED)}) GROUP BY page_id"""
+
+
+def _keyed_leaves() -> str:
+    """Values read with the phrase of their key; a secret goes as a whole, unless the rules have made one label of it."""
+    cells = ", ".join(f"({q(name)}, {q(phrase)}, {q(secret) if secret else 'NULL'}, {value})" for name, phrase, secret, value in KEYED_CELLS)
+    rows = f"SELECT c_custkey, c, phrase, secret, v, phrase || v AS t FROM customer, LATERAL (VALUES {cells}) AS cell(c, phrase, secret, v)"
+    bare = "CASE WHEN starts_with(t, phrase) THEN substr(t, length(phrase) + 1) ELSE t END"
+    whole = f"""CASE WHEN secret IS NULL OR regexp_matches({bare}, '^\\[[A-Z_]+(:[^\\]]*)?\\]$') OR length(v) < 6 THEN {bare} ELSE secret END"""
+    columns = ", ".join(f"max(CASE WHEN c = {q(name)} THEN w END) AS {name}" for name, *_ in KEYED_CELLS)
+    return f"""SELECT c_custkey, {columns} FROM (SELECT *, {whole} AS w FROM ({chain(rows, 'c_custkey, c, phrase, secret, v', FULL_FIXED)})) GROUP BY c_custkey"""
+
 
 
 CELLS = f"""SELECT c_custkey, c, t, c_nationkey, c_acctbal FROM (UNPIVOT ({CONTACTS}) ON c_name, email, ip, note INTO NAME c VALUE t)"""
@@ -535,7 +599,27 @@ def _cards() -> str:
         FROM ({rows})"""
 
 
+# what the lines of accounts hold, told by how they were made: entity type, number of the recognizer, pattern of the value, score
+_ACCOUNTS = f"SELECT c_custkey, {account_text('HUGEINT', '//')} AS t FROM customer"
+
+
+def _scored() -> str:
+    whole = len(ACCOUNT_LINES)
+    right = f"c_custkey // {whole} % 2 = 0"
+    kinds = ((0, "IBAN_CODE", 1, r"DE[0-9]{20}", "1.0", "true"), (2, "CRYPTO", 1, WALLETS[0], "1.0", "true"), (2, "CRYPTO", 1, WALLETS[1], "1.0", "true"),
+             (3, "CRYPTO", 2, WALLETS[2], "1.0", "true"), (3, "CRYPTO", 2, WALLETS[2].upper(), "1.0", "true"),
+             (4, "US_BANK_NUMBER", 1, "[0-9]{9}", "0.85", right), (5, "US_BANK_NUMBER", 2, "7[0-9]{11}", "0.4", "true"),
+             (8, "US_DRIVER_LICENSE", 1, "D[0-9]{7}", "0.65", "true"))
+    parts = [f"""SELECT c_custkey, '{kind}' AS entity_type, {no} AS recognizer_no, CAST(position(match IN t) - 1 AS INTEGER) AS start, match, CAST({score} AS DOUBLE) AS score
+        FROM (SELECT c_custkey, t, regexp_extract(t, '{pattern}') AS match FROM ({_ACCOUNTS}) WHERE c_custkey % {whole} = {line} AND {test})"""
+             for line, kind, no, pattern, score, test in kinds]
+    return f"""SELECT c_custkey, entity_type, recognizer_no, start, CAST(start + length(match) AS INTEGER) AS "end", match, score FROM ({' UNION ALL '.join(parts)})"""
+
+
 ORACLES: dict[str, str] = {
+    "scored_entities": _scored(),
+    "redact_scored": _applied(f"""SELECT *, CASE entity_type WHEN 'CRYPTO' THEN '[CRYPTO_ADDRESS]' WHEN 'US_DRIVER_LICENSE' THEN '[DRIVER_LICENSE]'
+        ELSE '[BANK_ACCOUNT]' END AS label FROM ({_scored()})""", _ACCOUNTS, "c_custkey"),
     "redact_emails": counted(DOCUMENTS, "doc_id", EMAILS, EMAIL_LABELS),
     "redact_keywords": counted(DOCUMENTS, "doc_id", [relabel("t", _WORD + "+", _KEYWORD_CASE)], ("[COMPANY_NAME]",)),
     "redact_domains": counted("SELECT page_id, html AS t FROM pages", "page_id", DOMAINS, ("[DOMAIN",), "html"),
@@ -556,17 +640,16 @@ ORACLES: dict[str, str] = {
         FROM ({STATS}) GROUP BY CUBE (lang, source, detector)""",
     "length_change": f"""SELECT doc_id, CAST(len_before AS INTEGER) AS before, CAST(len_after AS INTEGER) AS after,
         CAST(len_after - len_before AS INTEGER) AS diff FROM ({COUNTS})""",
-    "findings": _findings(),
-    "findings_all": _findings_of_all(),
-    "apply_findings": counted(DOCUMENTS, "doc_id", SIMPLE, SIMPLE_LABELS),
+    "findings": _findings_of_all(DOCUMENTS),
+    "findings_all": _findings_of_all(NOTES),
+    "apply_findings": _applied(_findings_of_all(NOTES), NOTES),
     "recognize_dictionary": _known(),
     "entity_stats": f"""SELECT t.entity_type, count(f.entity_type) AS n FROM (SELECT unnest(['PERSON', 'EMAIL_ADDRESS',
         'PHONE_NUMBER', 'CREDIT_CARD', 'DOMAIN', 'DATE_TIME', 'LOCATION', 'NRP', 'IP_ADDRESS', 'US_SSN', 'US_BANK_NUMBER',
         'IBAN_CODE', 'US_DRIVER_LICENSE', 'CRYPTO', 'URL', 'COMPANY', 'MONEY', 'PASSWORD']) AS entity_type) t
         LEFT JOIN ({_known()}) f USING (entity_type) GROUP BY t.entity_type""",
     "redact_dictionary": _dictionary_redacted(),
-    "redact_dictionary_joined": f"""SELECT doc_id, text || ' [COMPANY_NAME], [COMPANY_NAME] and [COMPANY_NAME] not netc++x yahoo?' AS text,
-        CAST(n + 3 AS INTEGER) AS n FROM ({_dictionary_redacted()})""",
+    "redact_dictionary_joined": _applied(f"SELECT doc_id, start, \"end\", score, label FROM ({_labelled(SYMBOL_TEXTS)}) UNION ALL {_SYMBOLS}", SYMBOL_TEXTS),
     "redact_dictionary_turns": _dictionary_redacted("SELECT conv_id, turn, text AS t FROM conversations", "conv_id, turn"),
     "redact_many_keywords": counted("SELECT c_custkey, concat('By ', c_name, ' with c++ and .NET, not ', c_name, 'x or NETC++') AS t FROM customer",
         "c_custkey", [relabel("t", r"[\p{L}\p{N}_#]+(?:\+\+)?|\.NET",
@@ -599,8 +682,10 @@ ORACLES: dict[str, str] = {
         GROUP BY event_id""",
     "redact_json_text": f"""SELECT event_id, t AS json, CAST({_sum_of(FULL_LABELS)} AS INTEGER) AS n, json_valid(t) AS is_json
         FROM ({chain(PRINTED, 'event_id', FULL_FIXED)})""",
-    "redact_markup": counted(PAGES, "page_id", FULL_FIXED, FULL_LABELS, "html"),
+    "redact_markup": f"SELECT page_id, t AS html, CAST(n AS INTEGER) AS n FROM ({made(PAGES, 'page_id', FULL_FIXED)})",
     "redact_markup_text": _text_nodes(),
+    "redact_markup_joined": _joined_nodes(),
+    "redact_nested_keys": _keyed_leaves(),
     "redact_conversations": counted(TURNS, "conv_id, turn", FULL_FIXED, FULL_LABELS),
     "conversation_totals": f"""SELECT conv_id, count(*) AS turns, CAST(sum(n) AS BIGINT) AS n
         FROM ({counted(TURNS, 'conv_id, turn', FULL_FIXED, FULL_LABELS)}) GROUP BY conv_id""",
@@ -618,8 +703,8 @@ ORACLES: dict[str, str] = {
         n_total, row_number() OVER (PARTITION BY source ORDER BY n_total DESC, doc_id) AS rank
         FROM (SELECT doc_id, CAST({' + '.join(BY_DETECTOR)} AS INTEGER) AS n_total FROM ({COUNTS})) JOIN documents USING (doc_id)
         WHERE n_total > 0) WHERE rank <= 3""",
-    "distinct_values": f"""SELECT detector, count(*) AS n, count(DISTINCT match) AS values FROM ({_findings()}) GROUP BY detector""",
-    "top_values": f"""SELECT detector, match, count(*) AS n FROM ({_findings()}) GROUP BY detector, match
+    "distinct_values": f"""SELECT detector, count(*) AS n, count(DISTINCT match) AS values FROM ({_findings_of_all(NOTES)}) GROUP BY detector""",
+    "top_values": f"""SELECT detector, match, count(*) AS n FROM ({_findings_of_all(NOTES)}) GROUP BY detector, match
         ORDER BY n DESC, detector, match LIMIT 20""",
     "residual_scan": f"""SELECT doc_id, n AS n_total FROM ({counted(
         chain(NOTES, 'doc_id', EMAILS + CARDS + MONEY), 'doc_id', FULL_FIXED, FULL_LABELS)}) WHERE n > 0""",
@@ -628,8 +713,9 @@ ORACLES: dict[str, str] = {
     "luhn_valid": _cards(),
     "clean_documents": f"SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, text AS t, text AS o FROM documents) WHERE NOT ({ANY_RULE})",
     "documents_with_pii": f"SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, text AS t, text AS o FROM documents) WHERE {ANY_RULE}",
-    "united_findings": counted(DOCUMENTS, "doc_id", [replaced("t", MODEL_EMAIL, "[EMAIL]"), *IPS, relabel("t", _WORD + "+", _PLACE_CASE)],
-                               ("[EMAIL]", *IP_LABELS, "[ADDRESS]")),
+    "united_findings": _applied(f"""SELECT doc_id, start, "end", score, label FROM ({_findings_of_all(NOTES)}) UNION ALL
+        SELECT doc_id, start, "end", score, label FROM ({_labelled(NOTES)}) UNION ALL
+        SELECT doc_id, start, "end", CAST(0.9 AS DOUBLE), '[EMAIL]' FROM ({_matches('emails', 1, MODEL_EMAIL, "''", NOTES)})""", NOTES),
     "redact_blocks_chain": f"""SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, t AS redacted, t <> o AS changed
         FROM ({chain(BLOCKS, 'doc_id, block_no', CARDS + IPS + [replaced("t", MODEL_EMAIL, "[EMAIL]")])})""",
     "redact_user_rule": counted(MONEY_TEXT, "o_orderkey", [replaced("t", r"\border \d+\b", "[ORDER]"),
@@ -637,9 +723,9 @@ ORACLES: dict[str, str] = {
     "files_round_trip": f"""SELECT format, c_custkey, max(CASE WHEN c = 'c_name' THEN t END) AS c_name, max(CASE WHEN c = 'email' THEN t END) AS email,
         max(CASE WHEN c = 'ip' THEN t END) AS note FROM ({chain(FILE_CELLS, 'c_custkey, c', FULL_FIXED)}),
         (VALUES ('csv'), ('tsv'), ('json'), ('xml'), ('parquet')) AS f(format) GROUP BY format, c_custkey""",
-    "files_as_documents": """SELECT role, '.txt' AS extension, 'text/plain' AS mime_type, 'text' AS format, 'UTF-8' AS encoding,
+    "files_as_documents": """SELECT role, conv_id // 1000 AS stretch, '.txt' AS extension, 'text/plain' AS mime_type, 'text' AS format, 'UTF-8' AS encoding,
         CAST(count(*) + 1 AS INTEGER) AS lines, CAST(sum(length(concat_ws(' ', 'turn', conv_id, turn)) + 1) AS BIGINT) AS chars
-        FROM conversations GROUP BY role""",
+        FROM conversations GROUP BY 1, 2""",
     "run_metrics": f"""SELECT 'run-1' AS run_id, 'documents' AS job, detector, CAST(sum(n) AS BIGINT) AS n,
         count(*) FILTER (n > 0) AS docs, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(NULL AS DOUBLE) AS seconds
         FROM ({COUNTS_LONG}) JOIN ({NOTES}) USING (doc_id) GROUP BY detector""",
