@@ -563,7 +563,7 @@ def arriving_events(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
     """The events as a stream of log lines that come in three parts, each in as many files as tasks write: those that are
     late come last. The stream is handed out after each part has arrived."""
     folder, events = _scratch(spark), table(spark, sf_dir, "events")
-    for part in ("event_id % 50 > 1", "event_id % 50 = 1", LATE):  # in the second the watermark of the first begins to count
+    for part in ("event_id % 50 > 1", "event_id % 50 = 1", LATE):  # each part meets the watermark of those before it
         events.where(part).write.mode("append").parquet(folder)
         yield read_stream(spark, folder, events.schema).select(utc("ts").alias("ts"), "event_id", F.expr(LOG_LINE).alias("text"))
 

@@ -730,11 +730,12 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (n > 0) AS docs, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(NULL AS DOUBLE) AS seconds
         FROM ({COUNTS_LONG}) JOIN ({NOTES}) USING (doc_id) GROUP BY detector""",
     "stream_counts": f"""WITH lines AS ({LOG_LINES}), marks AS (SELECT max(ts) FILTER (event_id % 50 > 1) - INTERVAL 1 HOUR AS first,
-            max(ts) - INTERVAL 1 HOUR AS last FROM events)
+            max(ts) FILTER (event_id % 50 > 0) - INTERVAL 1 HOUR AS second, max(ts) - INTERVAL 1 HOUR AS last FROM events)
         SELECT window_start, detector, CAST(sum(n) AS BIGINT) AS n, count(*) AS events
         FROM (SELECT event_id, date_trunc('day', ts) AS window_start, d.detector, CASE d.detector WHEN 'emails' THEN len({found('t', EMAIL)})
             ELSE len(list_filter({found('t', IPV4)}, lambda h: {IPV4_LABEL.replace('{h}', 'h')} <> h)) END AS n
             FROM lines, (VALUES ('emails'), ('ips')) AS d(detector)), marks
-        WHERE n > 0 AND window_start + INTERVAL 1 DAY <= last AND (event_id % 50 <> 0 OR window_start + INTERVAL 1 DAY > first) GROUP BY 1, 2""",
+        WHERE n > 0 AND window_start + INTERVAL 1 DAY <= last AND window_start + INTERVAL 1 DAY > CASE event_id % 50
+            WHEN 0 THEN second WHEN 1 THEN first ELSE window_start END GROUP BY 1, 2""",
     "redact_stream": f"SELECT event_id, text, n FROM ({counted(LOG_LINES, 'event_id', FULL_FIXED, FULL_LABELS)})",
 }
