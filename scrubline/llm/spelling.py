@@ -168,13 +168,14 @@ def near_words(vocabulary: DataFrame, s: Settings = Settings()) -> DataFrame:
             found = [decompose(w, split, s) for w in batch["word"].to_pylist()]
             whose = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             places = pa.array(whose)
-            yield pa.RecordBatch.from_arrays([pa.array([g for f in found for g in f[0]], pa.string()), batch["node"].take(places), batch["word"].take(places),
-                                              pa.array([f[1] for f in found], pa.int32()).take(places)], ["gram", "node", "word", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array([g for f in found for g in f[0]], pa.string()), batch["node"].take(places),
+                                              pa.array([f[1] for f in found], pa.int32()).take(places)], ["gram", "node", "bound"])
 
-    rows = vocabulary.select("node", "word").mapInArrow(grams, "gram string, node long, word string, bound int")
+    rows = vocabulary.select("node", "word").mapInArrow(grams, "gram string, node long, bound int")
     often = rows.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = F.row_number().over(Window.partitionBy("node").orderBy("n", "gram"))
-    lists = stored(rows.join(often, "gram").withColumn("rank", rarest).where("rank <= bound + 1").select("gram", "node", "word").distinct())
+    few = rows.join(often, "gram").withColumn("rank", rarest).where("rank <= bound + 1").select("gram", "node").distinct()
+    lists = stored(few.join(vocabulary.select("node", "word"), "node").select("gram", "node", "word"))
     sized = lists.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / s.most)
     split = lists.join(sized, "gram").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))

@@ -113,7 +113,7 @@ def test_edge_rows(spark, edges):
     by_id = defaultdict(list)
     for r in found:
         by_id[r.doc_id].append((r.n_shingles, r.component_id, r.kept))
-    assert by_id[None] == [(6, None, True)]
+    assert by_id[None] == [(7, None, True)]
     assert by_id[1] == [(0, 1, True)] and by_id[2] == [(0, 2, True)] and by_id[5] == [(0, 5, True)]
     assert by_id[3] == [(1, 3, True)]
     assert by_id[4] == [(6, 4, True)] * 2

@@ -105,10 +105,10 @@ def test_an_edit_touches_no_more_grams_than_the_bound(word, split, at, letter, k
 def test_dictionary_is_bounded(spark):
     words = sorted(vocabulary(random.Random(2), 300))
     frame = spark.createDataFrame([(w,) for w in words], "word string")
-    split = spelling.gram_dictionary(frame, spelling.Settings(often=1, entries=7))
-    assert split and all(sum(len(g) == n for g in split) <= 7 for n in range(2, 5))
+    split = spelling.gram_dictionary(frame, spelling.Settings(often=1, entries=40))
+    assert split and all(sum(len(g) == n for g in split) <= 40 for n in range(2, 5))
     counts = Counter(("\x01" + w + "\x00" * 4)[i:i + n] for w in words for n in range(2, 5) for i in range(len(w) + 1))
-    assert split == {g for g, n in counts.items() if n > max(1, sum(len(w) + 1 for w in words) // 7)}
+    assert split == {g for g, n in counts.items() if n > max(1, sum(len(w) + 1 for w in words) // 40)}
 
 
 def test_edge_rows(spark, edges):
