@@ -161,7 +161,9 @@ def test_winnowing_is_native(spark):
     ("<body class=has-sidebar><div class='wrap sidebar'><article class='post'>yes<div class=ad>no</div></article></div>", ["yes"]),
     ("<main><p>in</p><table><tr><td>c1<td>c2</table></main><p>out", ["in", "c1", "c2"]), ("a <!-- b --> c < d <a <b>e", ["a c < d <a e"]),
     ("<ul><li>one<ul><li>sub</ul><li>two</ul>", ["one", "sub", "two"]), ("</p></div>x</article>", ["x"]), ("<p>no end <b", ["no end <b"]),
-    ("<p>foo <span class='advert'>buy <span>it</span> now</span> bar", ["foo", "bar"])])
+    ("<p>foo <span class='advert'>buy <span>it</span> now</span> bar", ["foo", "bar"]),
+    ("<div class='content no-sidebar'><article><p>yes</article></div>", ["yes"]), ("<div class='content no-sidebar'>yes</div>", ["yes"]),
+    ("<div class='post search-engine-review'>yes</div><div class='site-footer'>no</div><div id='left_sidebar_2'>no</div>", ["yes"])])
 def test_main_blocks(html, want):
     assert [b.text for b in html_templates.main_blocks(html_templates.parse(html)[0])] == want
 
@@ -189,6 +191,66 @@ def test_templates_of_a_host_go(spark):
     assert html_templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def pages_of(spark, pages):
+    rows = [(i, f"http://a.example/{i}", page) for i, page in enumerate(pages)]
+    found = html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    return [r.text for r in found]
+
+
+def test_an_article_on_several_addresses_stays(spark):
+    """Syndicated, print and tracking copies: the same article between different menus."""
+    for n in (4, 40):
+        pages = [f"<nav>menu {i}</nav><div><p>Today {i}</p></div><article><div>story</div></article>" for i in range(n)]
+        assert pages_of(spark, pages) == ["story"] * n
+
+
+def test_tables_and_lists_of_few_articles_stay(spark):
+    pages = [f"<article><p>About item {i}, at length</p><table><tr><td>Size XL</table><ul><li>Free delivery</ul></article>" for i in range(4)]
+    assert pages_of(spark, pages) == [f"About item {i}, at length\n\nSize XL\n\nFree delivery" for i in range(4)]
+
+
+def test_templates_equal_a_plain_count(spark):
+    """Pages of random parts on hosts of several sizes, some repeated: what goes is told by counting pages one by one."""
+    import random
+    rng = random.Random(5)
+    parts = [f"<div><p>part {k}</p></div>" for k in range(12)] + [f"<p>line {k}</p>" for k in range(12)] + [f"<ul><li>item {k}</ul>" for k in range(6)]
+    rows = []
+    for i in range(260):
+        inside = "".join(rng.choice(parts[:rng.choice((3, 30))]) for _ in range(rng.randrange(6)))
+        story = f"<p>story {rng.randrange(400)} told at length for all</p>"
+        page = f"<div>{inside}</div><article>{story}{''.join(rng.choice(parts) for _ in range(3))}<p>Subscribe to it</p></article>" if i % 3 else f"{inside}<p>own {i}</p>"
+        rows.append((i, f"http://{'abc'[rng.randrange(3)] if i % 5 else 'd'}.example/{i}", page))
+    rows += rows[:20]
+    s = html_templates.Settings(strong=20)
+    seen = {}
+    for _, url, page in set(rows):
+        blocks, own = html_templates.parse(page)
+        seen.setdefault(html_templates.host(url), {})[own] = {m for b in html_templates.main_blocks(blocks) for m in b.marks}
+    def bar(pages, mark):
+        return s.strong if mark & 1 else max(s.least, min(s.share * len(pages), s.enough))
+    templates = {h: {m for marks in pages.values() for m in marks if sum(m in x for x in pages.values()) >= bar(pages, m)} for h, pages in seen.items()}
+    want = []
+    for i, url, page in rows:
+        blocks = html_templates.main_blocks(html_templates.parse(page)[0])
+        left = [b for b in blocks if not templates[html_templates.host(url)] & set(b.marks)]
+        chars = [sum(len(b.text) for b in x) for x in (left, blocks)]
+        if not left or blocks[0].article and 2 * chars[0] < chars[1]:
+            left = blocks
+        want.append((i, "\n\n".join(b.text for b in left)))
+    got = [(r.page_id, r.text) for r in html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), s).collect()]
+    assert sorted(got) == sorted(want) and sum(len(t) for _, t in got) < sum(len(b.text) for _, _, p in rows for b in html_templates.main_blocks(html_templates.parse(p)[0]))
+
+
+def test_page_edges(spark):
+    """Repeated rows, extra columns of names used within, a very long page, nulls."""
+    long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(30_000)) + "</article>"
+    rows = [(1, "http://a.example", "<p>x</p>", "k", 1, "t"), (1, "http://a.example", "<p>x</p>", "k", 1, "t"), (None, None, None, None, None, None),
+            (2, "http://a.example/2", long, "k", 2, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string, gone int, texts string")
+    got = sorted(((r.page_id, r.n_chars) for r in html_templates.extract(pages).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (None, 0), (2, sum(len(f"word {i}") for i in range(30_000)) + 2 * 29_999)], key=str)
+
+
 def test_sentences_of_articles_stay(spark):
     rows = [(i, f"http://a.example/{i}", f"<article><p>Text {i}</p><p>Published under the usual terms.</p></article>") for i in range(20)]
     got = html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -265,7 +327,7 @@ def test_entry_without_this_folder(tmp_path):
 def test_all_queries_are_registered():
     import __spark_entry__ as entry
     names = Counter(n.split("_")[0] for n in entry.queries() if n.startswith("op"))
-    assert names == {f"op{n}": 1 for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}": 1 for n in range(1, 14)} and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "suffix-array dedup", "packing"]
 
 
