@@ -30,7 +30,7 @@ class Context:
 CONTEXTS = (
     Context("passwords", "(password|passwd|pwd|passphrase|pass ?code)s?", "password: ", "[PASSWORD]"),
     Context("passwords", "(secret|secret ?key|client ?secret|credential|auth ?key|private ?key)s?", "secret_key: ", "[SECRET_OR_KEY]"),
-    Context("passwords", "jwt", "token: ", "[JWT_TOKEN]"),
+    Context("passwords", "jwt", "", "[JWT_TOKEN]"),
     Context("passwords", "tokens?", "token: ", "[AUTH_TOKEN]"),
     Context("api_keys", "(api|access) ?keys?( id)?", "api_key: "),
     Context("credit_cards", "((credit|debit) ?)?(card|cc|visa|mastercard|amex|discover)( ?(number|num|no))?", "card number: "),

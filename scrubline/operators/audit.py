@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubline.operators.findings import findings
+from scrubline.operators.findings import as_list, findings
 from scrubline.operators.redact import Redactor, redact
 
 
@@ -107,6 +107,67 @@ def top_values(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             .orderBy(F.col("n").desc(), "detector", "match").limit(k))
 
 
+BIN = 128  # characters of a stretch of a text in which findings meet
+
+
+def agreement(found: DataFrame, id_col: str | Sequence[str] = "doc_id") -> DataFrame:
+    """How far recognizers agree: one row for each pair of them, ``one`` before ``two``.
+
+    ``found`` has the ids, ``recognizer``, ``start``, ``end`` and ``label``. ``overlaps``: pairs of
+    findings that share a character; ``exact``: those with the same bounds; ``conflicts``:
+    those whose labels are of different kinds (what stands before a colon). ``only_one``,
+    ``only_two``: findings that meet none of the other. Findings meet in stretches of a
+    text, never in whole documents, and a pair is counted in the first stretch that it
+    shares: a text with very many findings is no hot key.
+    """
+    ids = as_list(id_col)
+    kind = F.regexp_extract("label", r"^\[?([A-Z0-9_]+)", 1)
+    numbered = found.select(*ids, "recognizer", "start", "end", kind.alias("kind")).distinct()
+    binned = numbered.withColumn("bin", F.explode(F.expr(f"sequence(start div {BIN}, greatest(end - 1, start) div {BIN})")))
+    key = [*ids, "bin"]
+    sides = [binned.select(*key, *(F.col(c).alias(f"{c}_{n}") for c in ("recognizer", "start", "end", "kind"))) for n in ("one", "two")]
+    met = sides[0].join(sides[1], key).where("recognizer_one < recognizer_two AND start_one < end_two AND start_two < end_one").where(
+        F.col("bin") == F.expr(f"greatest(start_one, start_two) div {BIN}"))
+    pair = [F.col(f"recognizer_{n}").alias(n) for n in ("one", "two")]
+    pairs = met.groupBy(*pair).agg(
+        F.count("*").alias("overlaps"), F.count_if(F.expr("start_one = start_two AND end_one = end_two")).alias("exact"),
+        F.count_if(F.expr("kind_one <> kind_two")).alias("conflicts"))
+    totals = numbered.groupBy("recognizer").agg(F.count("*").alias("total"))
+    # a finding that meets several is counted once: merged in the tasks, for each side
+    hit = [met.select(*pair, *ids, F.col(f"start_{n}").alias("start"), F.col(f"end_{n}").alias("end"), F.col(f"kind_{n}").alias("kind")).distinct()
+           .groupBy("one", "two").agg(F.count("*").alias(f"met_{n}")) for n in ("one", "two")]
+    every = totals.select(F.col("recognizer").alias("one"), F.col("total").alias("total_one")).join(
+        totals.select(F.col("recognizer").alias("two"), F.col("total").alias("total_two")), F.expr("one < two"))  # a row per recognizer
+    out = every
+    for part in (pairs, *hit):
+        out = out.join(part, ["one", "two"], "left")
+    out = out.fillna(0)
+    return out.select("one", "two", "overlaps", "exact", "conflicts", (F.col("total_one") - F.col("met_one")).alias("only_one"),
+                      (F.col("total_two") - F.col("met_two")).alias("only_two"))
+
+
+def value_sketches(found: DataFrame, group_cols: Sequence[str] = (), lg_k: int = 12, items: int = 4096) -> DataFrame:
+    """Per group and detector: ``n`` findings, a sketch of their distinct values and one of the frequent ones, as binary.
+
+    Sketches of parts of a corpus, or of several runs, can be merged without reading
+    any text again; their size does not grow with what they have seen.
+    """
+    return found.groupBy(*group_cols, "detector").agg(
+        F.count("*").alias("n"), F.hll_sketch_agg("match", F.lit(lg_k)).alias("distinct"), F.expr(f"approx_top_k_accumulate(match, {items})").alias("frequent"))
+
+
+def merge_sketches(sketches: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """The sketches of all rows of a group and detector as one."""
+    return sketches.groupBy(*group_cols, "detector").agg(
+        F.sum("n").alias("n"), F.hll_union_agg("distinct").alias("distinct"), F.expr("approx_top_k_combine(frequent)").alias("frequent"))
+
+
+def read_sketches(sketches: DataFrame, k: int = 5) -> DataFrame:
+    """What sketches say: ``values``, about how many distinct ones, and ``top``, the ``k`` most frequent with their counts."""
+    rest = [c for c in sketches.columns if c not in ("distinct", "frequent")]
+    return sketches.select(*rest, F.hll_sketch_estimate("distinct").alias("values"), F.expr(f"approx_top_k_estimate(frequent, {k})").alias("top"))
+
+
 def residual_scan(redacted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   redactor: Redactor | None = None) -> DataFrame:
     """Documents in which a redacted text still holds something outside labels: expected to be empty."""

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from scrubline.functions import context
 from scrubline.functions.passes import apply_rule, counts, start
 from scrubline.functions.rules import DETECTORS, Rule, rules
+from scrubline.functions.segments import segments
 from scrubline.functions.text import chunks, hits, interleave, let, piece, quote, running_total, total
 
 
@@ -33,6 +34,8 @@ class Redactor:
         self.profile = profile
         self.rules = rules(profile, keywords, detectors, extra)
         self.detectors = list(dict.fromkeys(rule.detector for rule in self.rules))
+        #: Whether texts may be cut where ``functions.segments`` allows it.
+        self.cuts = profile == "fixed" and not extra and not any("\n" in k for k in keywords)
 
     def run(self, df: DataFrame, texts: Column, name: str = "_done", marks: bool = False) -> DataFrame:
         """Add ``name``: for every text of the array ``texts`` the struct ``(t, c)``.
@@ -60,8 +63,16 @@ class Redactor:
         return df.withColumn(name, F.explode(F.expr(f"array(transform({name}, state -> {result}))")))
 
     def run_one(self, df: DataFrame, text: Column, name: str = "_done") -> DataFrame:
-        """As ``run`` for a single text per row: ``name`` is the struct itself."""
-        return self.run(df, F.array(text), name).withColumn(name, F.element_at(name, 1))
+        """As ``run`` for a single text per row: ``name`` is the struct itself.
+
+        Where it makes no difference the text is cut into segments first, so that a rule
+        which may match in one line runs over that line and not over the whole text.
+        """
+        if not self.cuts:
+            return self.run(df, F.array(text), name).withColumn(name, F.element_at(name, 1))
+        done = self.run(df.withColumn(name, F.coalesce(text, F.lit(""))).withColumn(name, F.expr(segments(name))), F.col(name), name)
+        sums = f"transform(sequence(0, {max(len(self.detectors) - 1, 0)}), i -> aggregate({name}, 0, (n, d) -> n + d.c[i]))"
+        return done.withColumn(name, F.expr(f"IF(size({name}) = 1, {name}[0], named_struct('t', array_join({name}.t, '\\n'), 'c', {sums}))"))
 
     def count(self, counts: Column, detector: str) -> Column:
         if detector not in self.detectors:
@@ -99,6 +110,37 @@ def redact_column(df: DataFrame, text_col: str, redactor: Redactor, n_col: str =
                        _sum(F.col("_done.c")).alias(n_col))
 
 
+def redact_long_texts(df: DataFrame, id_cols: Sequence[str], text_col: str = "text", redactor: Redactor | None = None,
+                      size: int = 1 << 16, n_col: str = "n") -> DataFrame:
+    """As ``redact_column``, with texts longer than ``size`` redacted in parallel.
+
+    They are cut where no rule can tell (see ``functions.segments``), and neighbouring
+    segments are put together to pieces of ``size`` characters or little more, which
+    are rows of their own, dealt out to all tasks, and assembled again by the ids, which
+    must tell the texts apart. So the longest task depends on the longest stretch
+    without such a place, not on the longest text; the result is the same. Shorter
+    texts stay where they are.
+    """
+    r = redactor or Redactor()
+    if not r.cuts:
+        return redact_column(df, text_col, r, n_col)
+    ids = list(id_cols)
+    is_long = F.length(F.coalesce(F.col(text_col), F.lit(""))) > size
+    longs = df.where(is_long)
+    lengths = "transform(_parts, p -> length(p) + 1)"
+    starts = running_total(lengths)
+    # a piece is a run of segments that begin within the same stretch of the text
+    cut = longs.select(*ids, F.expr(segments(text_col)).alias("_parts")).withColumn("_starts", F.expr(starts))
+    rows = cut.select(*ids, F.explode(F.expr(f"transform(_parts, (p, i) -> named_struct('no', i, 'piece', _starts[i] div {size}, 'text', p))")).alias("_p"))
+    pieces = rows.groupBy(*ids, F.col("_p.piece").alias("_piece")).agg(F.array_sort(F.collect_list(F.struct("_p.no", "_p.text"))).alias("_p"))
+    pieces = pieces.select(*ids, "_piece", F.array_join("_p.text", "\n").alias("_text"))
+    done = redact_column(pieces, "_text", r, "_n")
+    whole = done.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_piece", "_text"))).alias("_all"), F.sum("_n").cast("int").alias("_n"))
+    whole = whole.select(*ids, F.array_join("_all._text", "\n").alias("_text"), "_n")
+    joined = longs.drop(text_col).join(whole, ids).withColumnsRenamed({"_text": text_col, "_n": n_col}).select(*(_named(c) for c in df.columns), n_col)
+    return redact_column(df.where(~is_long), text_col, r, n_col).union(joined)
+
+
 def redact_lines(df: DataFrame, text_col: str = "text", redactor: Redactor | None = None) -> DataFrame:
     """Line by line within the row: every line is a block of its own, blank ones are skipped.
 
@@ -214,7 +256,7 @@ def redact_nested(df: DataFrame, redactor: Redactor | None = None, columns: Sequ
         told.append(_json_contexts(json[c], context.of_key(c, None, detectors), detectors) if detectors else None)
         written = f"transform({tokens}, (s, i) -> IF({_unquoted('s')} IS NULL, s, {_json_quoted(f'_done[{base} + i]')}))"
         pieces = f"split({json[c]}, {quote(JSON_STRING)}, -1)"
-        walks[c], base = f"parse_json({interleave(pieces, written)})", f"{base} + size({strings})"
+        walks[c], base = f"IF({json[c]} IS NULL, NULL, parse_json({interleave(pieces, written)}))", f"{base} + size({strings})"
     if all(t is None for t in told):
         done = r.run(df.withColumn("_leaves", F.expr(f"concat({', '.join(parts)})")), F.col("_leaves"))
         done = done.withColumn("_done", F.col("_done.t"))

@@ -14,13 +14,15 @@ from scrubline.operators import audit
 from scrubline.functions.rules import user_rule
 from scrubline.operators.chain import method_chain, redact_blocks_with
 from scrubline.operators.dictionary import recognize_dictionary, redact_dictionary
+from scrubline.operators.incremental import changes, first_run, merged
 from scrubline.operators.findings import (
     apply_findings, entity_stats, findings, label_of, recognize, redact_entities, scored_findings, unite, with_luhn, without_allowed)
 from scrubline.operators.redact import (
-    INLINE_TAG, TAG, Redactor, assemble_blocks, redact, redact_blocks, redact_column, redact_json_text, redact_lines, redact_marked_text,
-    redact_markup, redact_nested, redact_table)
-from scrubline.sources.files import read_documents, read_table, run_metrics, write_table
-from scrubline.streaming.redact_stream import read_stream, redact_stream, utc, windowed_counts, write_stream
+    INLINE_TAG, TAG, Redactor, assemble_blocks, redact, redact_blocks, redact_column, redact_json_text, redact_lines, redact_long_texts,
+    redact_marked_text, redact_markup, redact_nested, redact_table)
+from scrubline.sources.files import read_documents, read_lines, read_table, run_metrics, write_observed, write_table
+from scrubline.streaming.redact_stream import (
+    first_findings, join_events, join_texts, read_stream, redact_stream, utc, windowed_counts, write_stream, write_with_late)
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -349,6 +351,10 @@ def redact_markup_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", F.regexp_replace("html", F.lit(INLINE_TAG), F.lit("")).alias("text"), tags.alias("tags"), "n")
 
 
+GUARD_TEXT = """concat('"password": "', CASE c_custkey % 5 WHEN 0 THEN '[PASSWORD]' WHEN 1 THEN '[EMAIL:example.com]' WHEN 2 THEN '[any label]'
+    WHEN 3 THEN concat('[half ', c_custkey) ELSE concat('secret', c_custkey) END, '" <token>', CASE c_custkey % 2 WHEN 0 THEN '[AUTH_TOKEN]' ELSE 'abcdef' END, '</token>')"""
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(
         f"concat(text, ' ', role, '.', conv_id, '@chat.example.net\\n', {note_line('(conv_id + turn)')})").alias("text"))
@@ -587,6 +593,112 @@ def redact_stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(done.schema).parquet(f"{folder}/lines")
 
 
+def _streamed(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming job has written when all parts of the events have arrived."""
+    folder = _scratch(spark)
+    for lines in arriving_events(spark, sf_dir):
+        done = of(lines)
+        write_stream(done, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{folder}/out")
+
+
+def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the note of the customer they are about, which lies in a table, redacted as they come."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), F.expr(note_line("c_custkey")).alias("note"))
+    return _streamed(spark, sf_dir, lambda lines: join_texts(lines.select("event_id"), customers, "event_id", "note", every_rule()))
+
+
+def stream_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with what the same user has viewed in the hour before, two streams in any order of arrival; the address in the
+    line is what joins them, redacted afterwards."""
+    def of(lines: DataFrame) -> DataFrame:
+        parts = lines.select("ts", "event_id", "text", F.regexp_extract("text", "^(user[0-9]+)@", 1).alias("user"))
+        views = parts.where("text LIKE '% did view %'").select("user", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
+        bought = parts.where("text LIKE '% did purchase %'").select("user", F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"), "text")
+        return redact_stream(join_events(views, bought, ["user"], "seen", "bought", "1 HOUR", "40 days"), redactor=every_rule()).select("view_id", "purchase_id", "text")
+    return _streamed(spark, sf_dir, of)
+
+
+def stream_first_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value once, however often and in whatever order it arrives: a state that is remembered for the watermark."""
+    found = _streamed(spark, sf_dir, lambda lines: first_findings(lines, "ts", ["event_id"], watermark="40 days", redactor=every_rule()))
+    return found.select("detector", "match", "label").distinct()
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events were late: a day or more behind the latest that had arrived before; none is lost."""
+    folder = _scratch(spark)
+    for lines in arriving_events(spark, sf_dir):
+        done = redact_stream(lines, redactor=every_rule())
+        write_with_late(done, "ts", "1 DAY", f"{folder}/on_time", f"{folder}/late", f"{folder}/marks", f"{folder}/checkpoint").awaitTermination()
+    both = [spark.read.schema(done.schema).parquet(f"{folder}/{name}").withColumn("late", F.lit(name == "late")) for name in ("on_time", "late")]
+    return both[0].union(both[1]).select("event_id", "text", "late")
+
+
+def redact_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source, sixty-four ids at a time, as one long text each, redacted in pieces."""
+    lines = documents(spark, sf_dir, "source").withColumn("stretch", F.expr("doc_id div 64"))
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    longs = lines.groupBy("source", "stretch").agg(F.array_join(parts["text"], "\n").alias("text"))
+    return redact_long_texts(longs, ("source", "stretch"), redactor=every_rule(), size=4096)
+
+
+def second_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes a run later: one in a hundred has changed, one in a hundred has gone, and some are new."""
+    now = notes(spark, sf_dir).where("doc_id % 100 <> 8").withColumn("text", F.expr("IF(doc_id % 100 = 7, concat('mail to changed@example.org\\n', text), text)"))
+    return now.union(notes(spark, sf_dir).where("doc_id % 100 = 9").select(-1 - F.col("doc_id"), F.concat(F.lit("call 10.0.0.1\n"), "text")))
+
+
+def redact_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run that takes over what has not changed; ``fresh``: what it redacted itself."""
+    folder = _scratch(spark)
+    first_run(notes(spark, sf_dir), redactor=every_rule()).write.parquet(f"{folder}/first")
+    last, docs = spark.read.parquet(f"{folder}/first"), second_corpus(spark, sf_dir)
+    changes(docs, last, redactor=every_rule()).write.parquet(f"{folder}/changes")
+    fresh = spark.read.parquet(f"{folder}/changes")
+    whole = merged(docs, last, fresh, redactor=every_rule()).join(fresh.select("doc_id", F.lit(True).alias("fresh")), "doc_id", "left")
+    return whole.select("doc_id", "text", "n", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+
+
+def recognizer_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the rules, the dictionary and a model find the same places, and where their labels differ."""
+    docs = notes(spark, sf_dir)
+    columns = ("doc_id", "start", "end", "label", "recognizer")
+    rules = findings(docs, redactor=every_rule()).withColumn("recognizer", F.lit("rules")).select(*columns)
+    others = unite(dictionary=recognize_dictionary(docs, gazetteer(spark, sf_dir)), model=recognize(docs, load_mail_recognizer))
+    return audit.agreement(rules.union(others.withColumn("label", label_of(F.col("entity_type"))).select(*columns)))
+
+
+def sketched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values per detector from sketches of each source, merged: the exact number, and whether the sketches are near it."""
+    found = findings(notes(spark, sf_dir, "source"), ("doc_id", "source"), redactor=every_rule())
+    per_source = audit.value_sketches(found, ("source",))
+    read = audit.read_sketches(audit.merge_sketches(per_source), 1)
+    exact = found.groupBy("detector", "match").agg(F.count("*").alias("n")).groupBy("detector").agg(F.count("*").alias("exact"), F.max("n").alias("most"))
+    near = F.abs(F.col("values") - F.col("exact")) <= F.greatest(F.lit(1), 0.06 * F.col("exact"))
+    return read.join(exact, "detector").select("detector", "n", "exact", near.alias("near"), (F.col("top")[0]["count"] == F.col("most")).alias("top_found"))
+
+
+def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics taken while the redacted notes are written, by the same scan."""
+    done = write_observed(redact(notes(spark, sf_dir), redactor=every_rule()), f"{_scratch(spark)}/notes", "run-1", "documents")
+    return done.select("run_id", "job", "detector", "n", "docs", "chars", (F.col("seconds") > 0).alias("timed"))
+
+
+def placeholder_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets that are labels already stay, of whatever kind; others in the same places go."""
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.expr(GUARD_TEXT).alias("text"))
+    return redact_column(lines, "text", Redactor(detectors=("passwords",)))
+
+
+def lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as text files, read back line by line and redacted: no task holds a file."""
+    folder = _scratch(spark)
+    lines = table(spark, sf_dir, "conversations").select(F.concat_ws(" ", F.lit("turn"), "conv_id", "turn", F.expr(note_line("conv_id"))).alias("value"))
+    write_table(lines, folder, "text")
+    return redact_column(read_lines(spark, folder).select("text"), "text", every_rule())
+
+
 JOBS: dict[str, Job] = {
     "redact_emails": _redacted("emails", "documents", "doc_id", "text"),
     "redact_keywords": redact_keywords,
@@ -655,4 +767,15 @@ JOBS: dict[str, Job] = {
     "run_metrics": run_metrics_job,
     "stream_counts": stream_counts,
     "redact_stream": redact_stream_job,
+    "stream_joined": stream_joined,
+    "stream_matched": stream_matched,
+    "stream_first_findings": stream_first_findings,
+    "stream_late": stream_late,
+    "redact_long_texts": redact_long,
+    "redact_incremental": redact_incremental,
+    "recognizer_agreement": recognizer_agreement,
+    "sketched_values": sketched_values,
+    "observed_metrics": observed_metrics,
+    "placeholder_guard": placeholder_guard,
+    "lines_of_files": lines_of_files,
 }

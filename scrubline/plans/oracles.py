@@ -12,7 +12,7 @@ import re
 from collections.abc import Sequence
 
 from scrubline.operators.redact import INLINE
-from scrubline.plans.jobs import ACCOUNT_LINES, KEYED_CELLS, KEYWORDS, LOG_LINE, SPLIT_VALUES, WALLETS, account_text, note_line
+from scrubline.plans.jobs import ACCOUNT_LINES, GUARD_TEXT, KEYED_CELLS, KEYWORDS, LOG_LINE, SPLIT_VALUES, WALLETS, account_text, note_line
 
 
 def q(text: str) -> str:
@@ -616,7 +616,45 @@ def _scored() -> str:
     return f"""SELECT c_custkey, entity_type, recognizer_no, start, CAST(start + length(match) AS INTEGER) AS "end", match, score FROM ({' UNION ALL '.join(parts)})"""
 
 
+LONG_TEXTS = f"SELECT source, doc_id // 64 AS stretch, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1, 2"
+SECOND_CORPUS = f"""SELECT doc_id, CASE doc_id % 100 WHEN 7 THEN 'mail to changed@example.org' || chr(10) || t ELSE t END AS t FROM ({NOTES}) WHERE doc_id % 100 <> 8
+    UNION ALL SELECT -1 - doc_id, 'call 10.0.0.1' || chr(10) || t FROM ({NOTES}) WHERE doc_id % 100 = 9"""
+NOTE_LINES_READ = f"SELECT concat_ws(' ', 'turn', conv_id, turn, {_line('conv_id')}) AS t FROM conversations"
+
+
+def _agreement() -> str:
+    found_in = f"""SELECT doc_id, start, "end", label, 'rules' AS recognizer FROM ({_findings_of_all(NOTES)}) UNION ALL
+        SELECT doc_id, start, "end", label, 'dictionary' FROM ({_labelled(NOTES)}) UNION ALL
+        SELECT doc_id, start, "end", '[EMAIL]', 'model' FROM ({_matches('emails', 1, MODEL_EMAIL, "''", NOTES)})"""
+    return f"""WITH f AS MATERIALIZED (SELECT DISTINCT doc_id, start, "end" AS stop, recognizer, regexp_extract(label, '[A-Z0-9_]+') AS kind FROM ({found_in})),
+        m AS MATERIALIZED (SELECT a.recognizer AS one, b.recognizer AS two, a.doc_id, a.start AS s1, a.stop AS e1, a.kind AS k1, b.start AS s2, b.stop AS e2, b.kind AS k2
+            FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.recognizer < b.recognizer AND a.start < b.stop AND b.start < a.stop),
+        n AS (SELECT recognizer, count(*) AS n FROM f GROUP BY 1),
+        p AS (SELECT one, two, count(*) AS overlaps, count(*) FILTER (s1 = s2 AND e1 = e2) AS exact, count(*) FILTER (k1 <> k2) AS conflicts,
+            count(DISTINCT concat_ws(chr(44), doc_id, s1, e1, k1)) AS met_one, count(DISTINCT concat_ws(chr(44), doc_id, s2, e2, k2)) AS met_two FROM m GROUP BY 1, 2)
+        SELECT a.recognizer AS one, b.recognizer AS two, coalesce(overlaps, 0) AS overlaps, coalesce(exact, 0) AS exact, coalesce(conflicts, 0) AS conflicts,
+            a.n - coalesce(met_one, 0) AS only_one, b.n - coalesce(met_two, 0) AS only_two
+        FROM n a JOIN n b ON a.recognizer < b.recognizer LEFT JOIN p ON one = a.recognizer AND two = b.recognizer"""
+
+
 ORACLES: dict[str, str] = {
+    "stream_joined": f"SELECT event_id, t AS note, n FROM ({counted(f'SELECT c_custkey AS event_id, {_line(chr(99) + chr(95) + "custkey")} AS t FROM customer SEMI JOIN events ON event_id = c_custkey', 'event_id', FULL_FIXED, FULL_LABELS, 't')})",
+    "stream_matched": f"""SELECT v.event_id AS view_id, p.event_id AS purchase_id, text FROM events v JOIN events p ON v.user_id = p.user_id
+        AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR
+        JOIN ({counted(LOG_LINES, 'event_id', FULL_FIXED, FULL_LABELS)}) t ON t.event_id = p.event_id""",
+    "stream_first_findings": f"""SELECT DISTINCT detector, match, label FROM ({_findings_of_all("SELECT event_id AS doc_id, t FROM (" + LOG_LINES + ")")})""",
+    "stream_late": f"""SELECT event_id, text, CASE event_id % 50 WHEN 0 THEN ts < second - INTERVAL 1 DAY WHEN 1 THEN ts < first - INTERVAL 1 DAY ELSE false END AS late
+        FROM ({counted(LOG_LINES, 'event_id', FULL_FIXED, FULL_LABELS)}) JOIN events USING (event_id),
+        (SELECT max(ts) FILTER (event_id % 50 > 1) AS first, max(ts) FILTER (event_id % 50 > 0) AS second FROM events)""",
+    "redact_long_texts": f"SELECT source, stretch, t AS text, CAST(n AS INTEGER) AS n FROM ({made(LONG_TEXTS, 'source, stretch', FULL_FIXED)})",
+    "redact_incremental": f"SELECT doc_id, text, n, doc_id < 0 OR doc_id % 100 = 7 AS fresh FROM ({counted(SECOND_CORPUS, 'doc_id', FULL_FIXED, FULL_LABELS)})",
+    "recognizer_agreement": _agreement(),
+    "sketched_values": f"""SELECT detector, CAST(sum(n) AS BIGINT) AS n, count(*) AS exact, true AS near, true AS top_found
+        FROM (SELECT detector, match, count(*) AS n FROM ({_findings_of_all(NOTES)}) GROUP BY 1, 2) GROUP BY detector""",
+    "observed_metrics": f"""SELECT 'run-1' AS run_id, 'documents' AS job, detector, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS docs,
+        CAST(sum(length(t)) AS BIGINT) AS chars, true AS timed FROM ({COUNTS_LONG}) JOIN ({NOTES}) USING (doc_id) GROUP BY detector""",
+    "placeholder_guard": f"SELECT c_custkey, t AS text, CAST(n AS INTEGER) AS n FROM ({made(f'SELECT c_custkey, {GUARD_TEXT} AS t FROM customer', 'c_custkey', PASSWORDS)})",
+    "lines_of_files": f"SELECT t AS text, CAST(n AS INTEGER) AS n FROM ({made(NOTE_LINES_READ, '1 AS one', FULL_FIXED)})",
     "scored_entities": _scored(),
     "redact_scored": _applied(f"""SELECT *, CASE entity_type WHEN 'CRYPTO' THEN '[CRYPTO_ADDRESS]' WHEN 'US_DRIVER_LICENSE' THEN '[DRIVER_LICENSE]'
         ELSE '[BANK_ACCOUNT]' END AS label FROM ({_scored()})""", _ACCOUNTS, "c_custkey"),

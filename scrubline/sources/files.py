@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from scrubline.functions.rules import DETECTORS
 from scrubline.operators.audit import extension_of
 
 # Which format an extension stands for.
@@ -153,6 +155,23 @@ def run_metrics(redacted: DataFrame, run_id: str, job: str, seconds: Column | No
         (seconds if seconds is not None else F.lit(None)).cast("double").alias("seconds"))
 
 
+def write_observed(redacted: DataFrame, path: str, run_id: str, job: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write the output of ``redact`` and return its metrics, taken while it was written: one scan gives both.
+
+    The rows are those of ``run_metrics``, with the seconds that the write took. The sums
+    are made in the tasks that write; a dozen numbers come to the driver.
+    """
+    own, n = Observation(), [F.try_element_at("counts", F.lit(d)) for d in DETECTORS]
+    observed = redacted.observe(own, F.sum(F.col("len_before").cast("bigint")).alias("chars"), *(F.sum(x).alias(f"n{i}") for i, x in enumerate(n)),
+                                *(F.count_if(x > 0).alias(f"d{i}") for i, x in enumerate(n)))
+    begin = time.time()
+    writer = observed.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    seconds, got = time.time() - begin, own.get
+    rows = [(run_id, job, d, got[f"n{i}"] or 0, got[f"d{i}"], got["chars"] or 0, seconds) for i, d in enumerate(DETECTORS)]
+    return redacted.sparkSession.createDataFrame(rows, RUN_METRICS)
+
+
 def append_run_metrics(metrics: DataFrame, path: str) -> None:
     """Append to the metrics table, one partition per job."""
     metrics.write.mode("append").partitionBy("job").parquet(path)

@@ -31,6 +31,15 @@ def test_every_sql_has_a_job():
     assert set(SQL) == set(JOBS)
 
 
+@pytest.mark.parametrize("name", ["findings_all", "redact_markup", "redact_markup_text"])
+def test_job_equals_sql_on_a_larger_table(spark, name):
+    larger, folder = duckdb.connect(), DATA.replace("sf0.001", "sf0.01")
+    for table in TABLES:
+        larger.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    line, ok = compare(spark, larger, name, folder, JOBS[name], SQL[name])
+    assert ok, line
+
+
 @pytest.mark.parametrize("name", JOBS)
 def test_job_equals_sql(spark, con, name):
     line, ok = compare(spark, con, name, DATA, JOBS[name], SQL.get(name))
