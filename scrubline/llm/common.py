@@ -28,11 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/scrubline-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder: computed once, with its lineage cut."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a written table in the shared folder, laid out ``by`` columns: computed once, with its lineage cut."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import SLICE, as_bytes, own_columns, table
+from scrubline.llm.common import SLICE, as_bytes, own_columns, stored, table
 
 _MASK = (1 << 64) - 1
 
@@ -149,7 +149,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s:
     bodies = _packed(docs, id_col, text_col).join(wanted, "_key").select("_key", F.explode(F.transform("spans", lambda x: F.struct(
         x.begin.alias("begin"), F.substring(text, x.begin + 1, x.size).alias("body")))).alias("span"))  # of binary, in bytes
     bodies = bodies.select(F.col("span.body").alias("body"), F.struct("_key", "span.begin").alias("at"))
-    groups = bodies.groupBy("body").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("body", "first")
+    # written, so that the join meets plain rows: those of a body that very many texts hold can be split
+    groups = stored(bodies.groupBy("body").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("body", "first"))
     end = F.col("at.begin") + F.length("body")
     later = (F.col("at._key") != F.col("first._key")) | (F.col("at.begin") > F.col("first.begin") + F.length("body"))
     return (bodies.join(groups, "body").where(later).select("at._key", F.struct(F.col("at.begin").alias("begin"), end.alias("end")).alias("span"))
