@@ -12,9 +12,12 @@ suffixes and then, likewise, the reversed prefixes gives the farthest end of eac
 occurrence on either side. Nothing compares neighbours only.
 
 Equal texts are one text with a number of copies, merged within tasks before they are
-shuffled; the texts are shuffled once and read three times (anchors, suffixes, cutting).
-A k-gram with more than ``most`` suffixes is not brought together: its windows are
-counted one by one, by their hash, with partial counts in each task.
+shuffled; the anchors of all texts are found once and written.
+A k-gram with more than ``most`` suffixes is mostly one passage over and over: its
+suffixes are first merged, within tasks, to their distinct surroundings with a count, and
+the array is built over these; what is found returns to the places by a join. Should even
+the distinct surroundings be more than ``most``, their windows are counted, by hash and
+place relative to the anchor, again merged within tasks.
 
 Defined cases: a null text counts as empty. A text shorter than ``length`` bytes loses
 nothing. Repeated rows are copies of each other, and each loses all of its text if it
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import as_bytes, fresh, own_columns, slices, table
+from scrubline.llm.common import as_bytes, fresh, own_columns, slices, stored, table
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,7 @@ class Settings:
 
     length: int = 200
     gram: int = 32
-    most: int = 131072
+    most: int = 32768
     block: int = 1 << 20
 
 
@@ -208,34 +211,51 @@ def _interval_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
     return suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b int, begin int, end int")
 
 
-def _window_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
-    """The same for k-grams with very many suffixes: their windows are counted, merged within tasks first."""
+def _window_spans(contexts: DataFrame, s: Settings) -> DataFrame:
+    """The same for surroundings (with their number ``n``) too many for one task: their windows are counted, each with its
+    place relative to the anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             who, starts, keys = [], [], []
-            for i, (p, b, a) in enumerate(zip(batch["pos"].to_pylist(), batch["before"].to_pylist(), batch["after"].to_pylist())):
+            for i, (b, a) in enumerate(zip(batch["before"].to_pylist(), batch["after"].to_pylist())):
                 text = b[::-1] + a
                 for start in range(len(text) - s.length + 1):
-                    who.append(i), starts.append(p - len(b) + start)
-                    keys.append(xxhash.xxh3_128_digest(text[start:start + s.length]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *_keys(batch, np.array(who, np.int64)), pa.array(starts, pa.int32())],
-                                             ["window", "a", "b", "begin"])
-
-    windows = suffixes.mapInArrow(run, "window binary, a long, b int, begin int")
-    at = F.xxhash64("a", "b", "begin")  # numbers are merged in place, which structs are not
-    often = windows.groupBy("window").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x < y").select("window")
-    return windows.join(often, "window", "left_semi").select("a", "b", "begin", (F.col("begin") + s.length).alias("end")).distinct()
+                    who.append(i), starts.append(start - len(b))
+                    keys.append(xxhash.xxh3_128_digest(text[start:start + s.length], start + s.length - len(b)))
+            places = np.array(who, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *_keys(batch, places), pa.array(starts, pa.int32()), batch["n"].take(pa.array(places))],
+                                             ["window", "a", "b", "begin", "n"])
+
+    windows = contexts.select("a", "b", "before", "after", "n").mapInArrow(run, "window binary, a long, b int, begin int, n long")
+    often = stored(windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"))
+    return windows.join(often, "window", "left_semi").select("a", "b", "begin", (F.col("begin") + s.length).alias("end"))
+
+
+def _merged_spans(suffixes: DataFrame, s: Settings) -> DataFrame:
+    """The same for k-grams with very many suffixes, merged to their distinct surroundings first."""
+    told = suffixes.withColumns({"c": F.xxhash64("before", "after"), "d": F.hash("before", "after")})
+    own = stored(told)
+    contexts = stored(own.groupBy("gram", F.col("c").alias("a"), F.col("d").alias("b")).agg(
+        F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after")).withColumn("pos", F.lit(0)))
+    dense = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > s.most).select("gram")
+    # two copies stand for any number
+    copies = contexts.join(dense, "gram", "left_anti").withColumn("copy", F.explode(F.expr("IF(n > 1, array(1, 2), array(1))")))
+    spans = _interval_spans(copies.select("gram", "a", "b", "pos", "before", "after"), s).union(_window_spans(contexts.join(dense, "gram", "left_semi"), s))
+    found = stored(spans.distinct().select(F.col("a").alias("c"), F.col("b").alias("d"), "begin", "end"))
+    return own.select("c", "d", "a", "b", "pos").join(found, ["c", "d"]).select(
+        "a", "b", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
 
 
 def repeat_spans(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
     """a, b, spans (begin, end in bytes; they may overlap) of distinct texts that share a passage with another place."""
-    found = _anchor_rows(texts, s)
-    often = (found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-             .select("gram", (F.col("n") > s.most).alias("many")))
+    found = stored(_anchor_rows(texts, s))
+    # written, so that the join meets plain rows: those of a k-gram that stands everywhere can be split
+    often = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > s.most).alias("many")))
     wanted = found.join(often, "gram").select("gram", "a", "b", "pos", "many")
-    few = _interval_spans(_suffix_rows(texts, wanted.where("NOT many"), s), s)
-    many = _window_spans(_suffix_rows(texts, wanted.where("many"), s), s)
-    return few.union(many).groupBy("a", "b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = _interval_spans(_suffix_rows(texts, wanted.where("NOT many"), s), s)
+    if not often.where("many").isEmpty():
+        spans = spans.union(_merged_spans(_suffix_rows(texts, wanted.where("many"), s), s))
+    return spans.groupBy("a", "b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
