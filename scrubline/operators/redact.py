@@ -72,7 +72,8 @@ class Redactor:
             return self.run(df, F.array(text), name).withColumn(name, F.element_at(name, 1))
         done = self.run(df.withColumn(name, F.coalesce(text, F.lit(""))).withColumn(name, F.expr(segments(name))), F.col(name), name)
         sums = f"transform(sequence(0, {max(len(self.detectors) - 1, 0)}), i -> aggregate({name}, 0, (n, d) -> n + d.c[i]))"
-        return done.withColumn(name, F.expr(f"IF(size({name}) = 1, {name}[0], named_struct('t', array_join({name}.t, '\\n'), 'c', {sums}))"))
+        # again behind a generator, so that nothing above it takes the expression in
+        return done.withColumn(name, F.explode(F.expr(f"array(IF(size({name}) = 1, {name}[0], named_struct('t', array_join({name}.t, '\\n'), 'c', {sums})))")))
 
     def count(self, counts: Column, detector: str) -> Column:
         if detector not in self.detectors:

@@ -630,9 +630,9 @@ def _agreement() -> str:
         m AS MATERIALIZED (SELECT a.recognizer AS one, b.recognizer AS two, a.doc_id, a.start AS s1, a.stop AS e1, a.kind AS k1, b.start AS s2, b.stop AS e2, b.kind AS k2
             FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.recognizer < b.recognizer AND a.start < b.stop AND b.start < a.stop),
         n AS (SELECT recognizer, count(*) AS n FROM f GROUP BY 1),
-        p AS (SELECT one, two, count(*) AS overlaps, count(*) FILTER (s1 = s2 AND e1 = e2) AS exact, count(*) FILTER (k1 <> k2) AS conflicts,
+        p AS (SELECT one, two, count(*) AS met, count(*) FILTER (s1 = s2 AND e1 = e2) AS exact, count(*) FILTER (k1 <> k2) AS conflicts,
             count(DISTINCT concat_ws(chr(44), doc_id, s1, e1, k1)) AS met_one, count(DISTINCT concat_ws(chr(44), doc_id, s2, e2, k2)) AS met_two FROM m GROUP BY 1, 2)
-        SELECT a.recognizer AS one, b.recognizer AS two, coalesce(overlaps, 0) AS overlaps, coalesce(exact, 0) AS exact, coalesce(conflicts, 0) AS conflicts,
+        SELECT a.recognizer AS one, b.recognizer AS two, coalesce(met, 0) AS "overlaps", coalesce(exact, 0) AS exact, coalesce(conflicts, 0) AS conflicts,
             a.n - coalesce(met_one, 0) AS only_one, b.n - coalesce(met_two, 0) AS only_two
         FROM n a JOIN n b ON a.recognizer < b.recognizer LEFT JOIN p ON one = a.recognizer AND two = b.recognizer"""
 
