@@ -252,10 +252,9 @@ def repeat_spans(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
     # written, so that the join meets plain rows: those of a k-gram that stands everywhere can be split
     often = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > s.most).alias("many")))
     wanted = found.join(often, "gram").select("gram", "a", "b", "pos", "many")
-    spans = _interval_spans(_suffix_rows(texts, wanted.where("NOT many"), s), s)
-    if not often.where("many").isEmpty():
-        spans = spans.union(_merged_spans(_suffix_rows(texts, wanted.where("many"), s), s))
-    return spans.groupBy("a", "b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    few = _interval_spans(_suffix_rows(texts, wanted.where("NOT many"), s), s)
+    many = _merged_spans(_suffix_rows(texts, wanted.where("many"), s), s)
+    return few.union(many).groupBy("a", "b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
