@@ -1,13 +1,16 @@
 """Language model and toxicity classifier: counts exactly, models by what they must be and by held-out texts."""
 
 import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
 import pytest
+import xxhash
 
 from scrubline.llm import lm_scoring, toxicity
 from tests.conftest import DATA
@@ -40,53 +43,137 @@ def test_base_scores(scored, texts):
     check_counts(scored, list(texts.items()))
 
 
-def test_model_beats_base_on_held_out(scored):
-    out = [r for r in scored if r.held_out]
-    assert sum(r.score for r in out) > 0.99 * sum(r.base_score for r in out) and all(math.isfinite(r.score) and r.score < 0 for r in out)
+def per_token(rows, held_out=True):
+    own = [r for r in rows if r.held_out == held_out]
+    n = sum(r.n_tokens for r in own)
+    return sum(r.score for r in own) / n, sum(r.base_score for r in own) / n
+
+
+def test_model_beats_base_on_held_out_however_texts_are_laid_out(spark):
+    """A gain of 0.14 per token over the base on a larger table (0.26 on one ten times as large), the same for 1 and for 64 partitions."""
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    found = [lm_scoring.score_texts(docs.repartition(n)).collect() for n in (1, 64)]
+    (one, base), (many, _) = map(per_token, found)
+    assert one > base + 0.14 and abs(one - many) < 1e-4 * abs(one)
+    by_id = {r.doc_id: r.score for r in found[0]}
+    assert all(math.isfinite(r.score) and r.score < 0 and abs(r.score - by_id[r.doc_id]) < 1e-3 * abs(r.score) for r in found[1])
 
 
 def test_words_beyond_the_lexicon_are_joined(spark, texts):
-    small = replace(lm_scoring.Settings(), lexicon=50, heads=20, groups=4, rows=256, rounds=1)
+    small = replace(lm_scoring.Settings(), lexicon=50, heads=20, groups=4, rows=512, rounds=1)
     rows = lm_scoring.score_texts(spark.read.parquet(f"{DATA}/documents.parquet"), s=small).collect()
     check_counts(rows, list(texts.items()))
 
 
-def test_classes_and_words_make_a_distribution():
-    """The chances of all words of a vocabulary and of one unseen word for each form add up to one, after any context."""
-    words = [b"the", b"of", b"a.", b"x,", b"caf\xc3\xa9", lm_scoring.END]
-    c = np.array([9.0, 5, 3, 2, 1, 4])
-    s = replace(lm_scoring.Settings(), heads=3, groups=2, rows=16)
-    lexicon = lm_scoring.Lexicon({w: i for i, w in enumerate(words)})
-    group = np.array([0, 1, 0])
+def plain_scores(docs, s):
+    """Classes, rounds and scores, token by token; only the hashing and the grouping of words are those of the module."""
+    train = [(i, tokens(t)) for i, t in docs if held(i, 10)]
+    c = Counter(w for _, own in train for w in own)
+    known = sorted(c, key=lambda w: (-c[w], w))[:s.lexicon]
+    number, size, heads = {w: k for k, w in enumerate(known)}, min(s.lexicon, len(c)), min(s.heads, len(c))
+    blank = size + lm_scoring.FORMS
+
+    def encode(own):
+        return [blank, blank, *(number.get(w, size + lm_scoring.form(w)) for w in own)]
+
+    near = np.zeros((heads, s.contexts))
+    for _, own in train:
+        ids = encode(own)
+        for before, here in zip(ids[1:], ids[2:]):
+            if here < heads:
+                near[here, before * 0x9E3779B1 % (1 << 32) * s.contexts >> 32] += 1
+    group = lm_scoring.groups_by_context(near, s.groups)
+    class_of = [*group, *(s.groups + lm_scoring.form(w) for w in known[heads:]), *range(s.groups, s.groups + lm_scoring.FORMS)]
+    mass = np.zeros(s.groups + lm_scoring.FORMS)
+    mass[s.groups:] += s.alpha
+    for w, n in c.items():
+        mass[group[number[w]] if number.get(w, heads) < heads else s.groups + lm_scoring.form(w)] += n + s.alpha
+    bias = np.where(mass > 0, np.log(np.maximum(mass, s.alpha)) - math.log(mass.sum()), -50.0)
+    weights = np.zeros((s.rows, len(mass)))
+
+    def chances(ids):
+        rows = lm_scoring.context_rows(np.array(ids[1:-1]), np.array(ids[:-2]), s.rows).T
+        for own, here in zip(rows, ids[2:]):
+            z = bias + weights[own].sum(axis=0)
+            e = np.exp(z - z.max())
+            yield own, class_of[here], e / e.sum()
+
+    for turn in range(s.rounds):
+        seen, expected = np.zeros_like(weights), np.zeros_like(weights)
+        for i, own in train:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+            if (h - (1 << 64) if h >> 63 else h) % s.rounds == turn:
+                for rows, k, p in chances(encode(own)):
+                    for row in rows:
+                        seen[row, k] += 1
+                        expected[row] += p
+        prior = s.prior * np.exp(bias)
+        weights += s.rate * np.log((seen + prior + 1e-9) / (expected + prior + 1e-9)) * (seen.sum(axis=1, keepdims=True) > 0)
+    out = {}
+    for i, t in docs:
+        own = tokens(t)
+        out[i] = sum(math.log10(p[k]) + math.log10(c[w] + s.alpha) - math.log10(mass[k]) for w, (_, k, p) in zip(own, chances(encode(own))))
+    return out
+
+
+def test_scores_equal_a_plain_model(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["the", "cat,", "dog.", "sat", "on", "mat", "Été", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(0, 30)))) for i in range(80)]
+    s = replace(lm_scoring.Settings(), lexicon=30, heads=12, groups=3, contexts=16, rows=512, tokens=1, rounds=3, prior=5.0)
+    want = plain_scores(docs, s)
+    got = lm_scoring.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), s=s).collect()
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-3 * max(1, abs(r.score)) for r in got)
+
+
+def made_model(s, words, c, group, rows):
+    """A model of given words, the first of which have the classes ``group``."""
     forms = np.full(lm_scoring.FORMS, s.alpha)
-    for w, n in zip(words[3:], c[3:]):
+    for w, n in zip(words[len(group):], c[len(group):]):
         forms[lm_scoring.form(w)] += n + s.alpha
-    mass = np.concatenate((np.bincount(group, c[:3] + s.alpha, minlength=2), forms))
-    rng = np.random.default_rng(1)
-    model = lm_scoring.Model(s, lexicon, np.log10(c + s.alpha), np.concatenate((group, [2 + lm_scoring.form(w) for w in words[3:]])), np.log10(mass),
-                             np.log(mass / mass.sum()).astype(np.float32), rng.normal(size=(16, len(mass))).astype(np.float32))
-    chance = lm_scoring.shares(model.logits(np.array([[3], [7]])))[0].astype(float)
+    mass = np.concatenate((np.bincount(group, c[:len(group)] + s.alpha, minlength=s.groups), forms))
+    class_of = np.concatenate((group, [s.groups + lm_scoring.form(w) for w in words[len(group):]], s.groups + np.arange(lm_scoring.FORMS))).astype(int)
+    return mass, lm_scoring.Model(s, {w: i for i, w in enumerate(words)}, np.concatenate((np.log10(c + s.alpha), np.zeros(lm_scoring.FORMS))), class_of, np.log10(mass),
+                                  np.log(mass / mass.sum()).astype(np.float32), np.zeros((rows, len(mass)), np.float32))
+
+
+def test_classes_and_words_make_a_distribution():
+    """The chances of all words of a vocabulary and of one unseen word for each form add up to one, after any context."""
+    words, c = [b"the", b"of", b"a.", b"x,", b"caf\xc3\xa9", lm_scoring.END], np.array([9.0, 5, 3, 2, 1, 4])
+    s = replace(lm_scoring.Settings(), heads=3, groups=2)
+    mass, model = made_model(s, words, c, np.array([0, 1, 0]), 16)
+    model.weights[:] = np.random.default_rng(1).normal(size=model.weights.shape)
+    chance = lm_scoring.shares(model.logits(np.array([[3], [7], [1]])))[0].astype(float)
     seen = sum(chance[model.class_of[i]] * (c[i] + s.alpha) / mass[model.class_of[i]] for i in range(len(words)))
     unseen = sum(chance[2 + f] * s.alpha / mass[2 + f] for f in range(lm_scoring.FORMS))
     assert abs(seen + unseen - 1) < 1e-5
 
 
-def test_gradient_is_followed():
-    """Steps over repeated tokens make what follows likelier."""
-    s = replace(lm_scoring.Settings(), rows=64, batch=32)
-    lexicon = lm_scoring.Lexicon({b"a": 0, b"b": 1, lm_scoring.END: 2})
-    mass = np.ones(2 + lm_scoring.FORMS)
-    model = lm_scoring.Model(s, lexicon, np.zeros(3), np.array([0, 1, 2] + list(range(2, 2 + lm_scoring.FORMS))), np.log10(mass),
-                             np.zeros(len(mass), np.float32), np.zeros((64, len(mass)), np.float32))
-    ids, begins, _ = lexicon.encode([b"a b a b a b a b"] * 20)
+def test_steps_follow_the_gradient():
+    """Steps over repeated tokens make what follows likelier, the likelier the more of them."""
+    s = replace(lm_scoring.Settings(), heads=3, groups=3, batch=32, prior=1.0)
+    _, model = made_model(s, [b"a", b"b", lm_scoring.END], np.array([9.0, 8, 2]), np.array([0, 1, 2]), 64)
+    ids, begins = lm_scoring.laid_out(lm_scoring.numbered([b"a b a b a b a b"] * 20, model.number)[0], model.blank)
 
     def loss():
-        at, rows = model.places(ids, begins)
-        return -np.log(lm_scoring.shares(model.logits(rows))[np.arange(len(at)), model.class_of[ids[at]]]).mean()
-
-    before = loss()
-    lm_scoring.follow(model, ids, begins, np.zeros(64, np.int64), np.zeros(64))
-    assert loss() < 0.5 * before
+        at, which, rows = model.contexts(ids, begins)
+        return -np.log(lm_scoring.shares(model.logits(rows))[which, model.class_of[ids[at]]]).mean()
+
+    losses = [loss()]
+    for _ in range(4):
+        seen, expected = np.zeros(model.weights.T.shape, np.int64), np.zeros(model.weights.T.shape)
+        lm_scoring.add_sums(model, ids, begins, seen, expected)
+        assert seen.sum() == 3 * 9 * 20 and abs(expected.sum() - seen.sum()) < 1e-2
+        model.weights += lm_scoring.steps(seen.T, expected.T, model.bias, s).astype(np.float32)
+        losses.append(loss())
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.3 * losses[0]
+
+
+def test_what_is_sent_needs_no_class_of_the_library():
+    import pickle
+    _, model = made_model(lm_scoring.Settings(), [b"a", lm_scoring.END], np.array([2.0, 1]), np.array([0, 1]), 16)
+    sent = model.plain("number")
+    assert b"scrubline" not in pickle.dumps(sent)
+    assert (lm_scoring.Model.of(sent).weights == model.weights).all() and lm_scoring.Model.of(sent).settings == model.settings
 
 
 def test_lm_edges(spark, edges, nothing):
