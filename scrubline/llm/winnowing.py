@@ -1,12 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame and SQL functions only.
 
-A text is read as a row of short tokens: runs of up to four characters that are no white
-space, counted anew after each white space, so that a shift does not outlast a word.
-The k-grams of tokens are hashed; of each window of w neighbouring k-grams the least
-hash is chosen, the rightmost of equal ones, and kept with its position. Two texts that
-share k + w - 1 tokens in a row therefore share a chosen hash. A hash and its position
-(of the first token) travel in one long: the hash in the high bits, the position,
-counted down, in the low ones, so that the least long is the rightmost least hash.
+The k-grams of a text, one from each of its characters, are hashed by rolling: the hash of
+2m characters is that of the first m, times a power of the base, plus that of the m after
+them, from pieces of ``piece`` characters up to ``gram``. Of each window of w neighbouring
+k-grams the least hash is chosen, the rightmost of equal ones, and kept with its position;
+the least of windows is found by doubling as well. Two texts that share k + w - 1
+characters in a row therefore share a chosen hash, with or without white space. A hash and
+its position (of the first character) travel in one long: the hash in the high bits, the
+position, counted down, in the low ones, so that the least long is the rightmost least.
 
 Windows are local, so they are taken segment by segment. The fingerprint of a text whose
 tail is edited keeps the whole segments before the edit.
@@ -16,8 +17,8 @@ by stretches of 64 ids, so that nearly all neighbours meet in one shuffle of the
 the first document of each stretch, one in 64, is sent to the stretch before it as well.
 No task sees more than a stretch, and no global window touches the documents.
 
-Defined cases: a null text counts as empty; a text without tokens chooses nothing, one
-of fewer than k tokens is one k-gram. The likeness of two empty fingerprints is 1, of an
+Defined cases: a null text counts as empty and chooses nothing; a text of fewer than k
+characters is one k-gram, one of fewer than k + w - 1 one window. The likeness of two empty fingerprints is 1, of an
 empty and another 0. Rows that share an id follow each other in the order of their
 text's hash. A null id comes first. After the last document comes the first; the only
 one is its own next.
@@ -36,37 +37,64 @@ POSITION_BITS = 26
 
 @dataclass(frozen=True)
 class Settings:
-    """``gram``: tokens of a k-gram. ``window``: k-grams of a window. ``segment``: windows of a segment."""
+    """``piece``, ``gram``: characters of a piece and of a k-gram, ``window``: k-grams of a window, all powers of two.
+    ``segment``: windows of a segment."""
 
-    gram: int = 4
-    window: int = 4
-    segment: int = 256
+    piece: int = 4
+    gram: int = 16
+    window: int = 16
+    segment: int = 4096
 
+    @property
+    def reach(self) -> int:
+        """Characters of a window."""
+        return self.gram + self.window - 1
 
-#: What a token is.
-TOKEN = r"\\S{1,4}"
 
+#: Hashes are rolled in so many bits, so that no product leaves 64, by a fixed odd base.
+_ROLLED, _BASE = 31, 0x5BD1E995
 
-def tokens(text: str) -> Column:
-    return F.expr(f"regexp_extract_all({text}, '{TOKEN}', 0)")
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def _segments(tokens: str, first: str, s: Settings) -> str:
-    """SQL: the chosen longs of each segment from number ``first`` on, an array of arrays. ``tokens``: a column."""
-    low = (1 << POSITION_BITS) - 1
-    last = f"greatest(0, (size({tokens}) - {s.gram + s.window - 1}) div {s.segment})"
-    piece = f"slice({tokens}, g * {s.segment} + 1, {s.segment + s.gram + s.window - 2})"
-    packed = (f"transform(sequence(0, greatest(0, size(x) - {s.gram})), i -> (xxhash64(slice(x, i + 1, {s.gram})) & {~low}L) "
-              f"| ({low} - (g * {s.segment} + i) % {low + 1}))")
-    least = f"array_distinct(transform(sequence(0, greatest(0, size(p) - {s.window})), j -> array_min(slice(p, j + 1, {s.window}))))"
-    one = f"element_at(transform(array({piece}), x -> element_at(transform(array({packed}), p -> {least}), 1)), 1)"
-    return (f"IF(size({tokens}) = 0 OR {first} > {last}, CAST(array() AS array<array<bigint>>), "
-            f"transform(sequence(CAST({first} AS INT), CAST({last} AS INT)), g -> {one}))")
 
+def _halves(array: str, size: int, both: str) -> str:
+    """SQL: of each place ``both`` of what stands there and ``size`` places further on (NULL beyond the end)."""
+    return f"zip_with({array}, slice({array}, {size + 1}, size({array})), (a, b) -> {both})"
 
-def chosen(tokens: str, s: Settings = Settings()) -> Column:
-    """The chosen hashes of each segment of a column of tokens, with positions, as an array of arrays."""
-    return F.expr(_segments(tokens, "0", s))
+
+def _windows(text: str, first: str, s: Settings) -> str:
+    """SQL: the chosen longs of a piece of a text (not empty) that begins at place ``first``."""
+    low, mask = (1 << POSITION_BITS) - 1, (1 << _ROLLED) - 1
+    count = f"greatest(1, size(p) - {s.window - 1})"
+    rounds = [1 << i for i in range((s.window - 1).bit_length())]
+    body = f"array_distinct(slice({f'm{len(rounds)}'}, 1, {count}))"
+    for i, size in reversed(list(enumerate(rounds))):
+        body = _let(f"m{i + 1}", _halves(f"m{i}" if i else "p", size, "least(a, b)"), body)
+    grams = f"slice(r, 1, length({text}) - {s.gram - 1})"
+    body = _let("p", f"transform({grams}, (h, i) -> (xxhash64(h) & {~low}L) | ({low} - ({first} + i) % {low + 1}))", body)
+    rolled, size = f"transform(regexp_extract_all({text}, '(?s)(?=(.{{{s.piece}}})).', 1), x -> xxhash64(x) & {mask}L)", s.piece
+    while size < s.gram:
+        rolled = _let("h", rolled, _halves("h", size, f"(a * {pow(_BASE, size, 1 << _ROLLED)}L + b) & {mask}L"))
+        size *= 2
+    short = f"array((xxhash64({text}) & {~low}L) | ({low} - {first} % {low + 1}))"
+    return f"IF(length({text}) < {s.gram}, {short}, {_let('r', rolled, body)})"
+
+
+def _segments(text: str, first: str, s: Settings) -> str:
+    """SQL: the chosen longs of each segment from number ``first`` on, an array of arrays. ``text``: a column."""
+    last = f"greatest(0, (length({text}) - {s.reach}) div {s.segment})"
+    # a segment is a chunk and the begin of the next one, so that no text is searched from its begin for each
+    piece = f"concat(c[g], substring(coalesce(get(c, g + 1), ''), 1, {s.reach - 1}))"
+    one = _let("x", piece, _windows("x", f"CAST(g AS BIGINT) * {s.segment}", s))
+    each = _let("c", f"regexp_extract_all({text}, '(?s).{{1,{s.segment}}}', 0)", f"transform(sequence(CAST({first} AS INT), CAST({last} AS INT)), g -> {one})")
+    return f"IF(length({text}) = 0 OR {first} > {last}, CAST(array() AS array<array<bigint>>), {each})"
+
+
+def chosen(text: str, s: Settings = Settings()) -> Column:
+    """The chosen hashes of each segment of a column of texts, with positions, as an array of arrays."""
+    return F.expr(_segments(text, "0", s))
 
 
 def fingerprint(segments: Column) -> Column:
@@ -75,7 +103,7 @@ def fingerprint(segments: Column) -> Column:
 
 
 def positions(selected: Column) -> Column:
-    """Positions of the chosen k-grams, in tokens."""
+    """Positions of the chosen k-grams, in characters."""
     return F.transform(selected, lambda x: F.lit((1 << POSITION_BITS) - 1) - x.bitwiseAND((1 << POSITION_BITS) - 1))
 
 
@@ -117,11 +145,10 @@ def next_documents(docs: DataFrame, id_col: str, text_col: str, s: Settings) ->
     wanted = firsts.join(before, "stretch").select("stretch", "stretch_before", F.col("least.id").alias("id"), F.col("least.tie").alias("tie"))
     dealt = rows.repartition("stretch")
     guests = (dealt.join(wanted, ["stretch", "id", "tie"]).dropDuplicates(["stretch_before"])
-              .select(F.col("stretch_before").alias("stretch"), F.col("text").alias("guest_text"), tokens("text").alias("tokens"))
-              .withColumn("guest_segments", chosen("tokens", s))
+              .select(F.col("stretch_before").alias("stretch"), F.col("text").alias("guest_text"))
+              .withColumn("guest_segments", chosen("guest_text", s))
               .select("stretch", "guest_text", hashes(F.flatten("guest_segments")).alias("guest_hashes")))
-    mine = (dealt.withColumn("tokens", tokens("text")).withColumn("segments", chosen("tokens", s)).drop("tokens")
-            .withColumn("hashes", hashes(F.flatten("segments"))))
+    mine = dealt.withColumn("segments", chosen("text", s)).withColumn("hashes", hashes(F.flatten("segments")))
     over = Window.partitionBy("stretch").orderBy("id", "tie")
     nothing = F.lead(F.lit(1)).over(over).isNull()
     return (mine.join(guests, "stretch")
@@ -137,10 +164,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.length("text").cast("long")
     met = met.withColumn("n_chars", n).withColumn("edited", F.expr(
         "concat(substring(text, 1, CAST(n_chars - n_chars div 4 AS INT)), substring(next_text, 1, CAST(n_chars div 4 AS INT)))"))
-    # tokens that end before the edit stand in both texts; segments all of whose windows have only such tokens
-    met = met.withColumn("edited_tokens", tokens("edited")).withColumn("whole", F.expr(
-        f"greatest(0, regexp_count(substring(text, 1, CAST(n_chars - n_chars div 4 AS INT)), '{TOKEN}') - {s.gram + s.window - 1}) div {s.segment}"))
-    met = met.withColumn("edited_segments", F.expr(f"concat(slice(segments, 1, CAST(whole AS INT)), {_segments('edited_tokens', 'whole', s)})"))
+    # segments all of whose windows end before the edit stand in both texts
+    met = met.withColumn("whole", F.expr(f"greatest(0, n_chars - n_chars div 4 - {s.reach - 1}) div {s.segment}"))
+    met = met.withColumn("edited_segments", F.expr(f"concat(slice(segments, 1, CAST(whole AS INT)), {_segments('edited', 'whole', s)})"))
     met = met.withColumn("selected", fingerprint(F.col("segments"))).withColumn("edited_selected", fingerprint(F.col("edited_segments")))
     met = met.withColumn("edited_hashes", hashes(F.col("edited_selected")))
     return met.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("selected")).alias("fingerprint"),
