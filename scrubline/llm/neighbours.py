@@ -4,8 +4,9 @@ Queries and candidates are packed into blocks of a fixed number of vectors. Each
 blocks is a tile: the product of the int8 codes gives all inner products of the tile
 with a bound on their error, so that a pair whose upper bound lies below the lower
 bound of the k-th best of its query cannot be among the nearest and goes. The pairs that
-survive are computed again in double precision, and the k best of each query leave the
-tile. The answers of the tiles are merged by heaps.
+survive are computed again in double precision, some at a time, and the k best of each
+query leave the tile. The answers of the tiles are merged by heaps. Where a product may
+leave the range of doubles the bounds say nothing, and all pairs of the query survive.
 
 Every query meets every candidate, so the answer is exact. A block goes to the tiles of
 its row or column only, as one row of bytes; the number of tiles that a block of
@@ -15,7 +16,8 @@ Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 take no part, neither as query nor as candidate. Vectors meet those of equal length only.
 Rows with a null id take no part. Rows that share an id are candidates each, but none of
 them for a query of that id; repeated queries give one answer each. Fewer than k
-candidates give all. Ties go to the smaller id. An empty table gives no row.
+candidates give all. Ties go to the smaller id, those of infinite products as well; a
+product that is not a number comes last. An empty table gives no row.
 """
 
 import heapq
@@ -49,32 +51,48 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products of rows, summed in one fixed order."""
-    return (x * y).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (x * y).sum(axis=1)
+    out[np.isnan(out)] = -np.inf
+    return out
+
+
+#: Pairs computed again at a time; products of lengths above which the bounds are not used.
+_SOME, _WIDE = 1 << 16, 1e300
 
 
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """(place of the query, its k nearest as (score, id), best first)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        likely = _likely(qid, q, cid, c, k)
+    rows, cols = np.nonzero(likely)
+    scores = np.concatenate([np.zeros(0), *(exact(q[rows[a:a + _SOME]], c[cols[a:a + _SOME]]) for a in range(0, len(rows), _SOME))])
+    order = np.lexsort((cid[cols], -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    begins = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else []
+    for begin, stop in zip(begins, [*begins[1:], len(rows)]):
+        stop = min(stop, begin + k)
+        yield int(rows[begin]), list(zip(scores[begin:stop].tolist(), cid[cols[begin:stop]].tolist()))
+
+
+def _likely(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs of a tile may be among the k nearest of their query."""
     qc, qs, qn, qe = codes(q)
     cc, cs, cn, ce = codes(c)
+    wide = ~(qn * cn.max() < _WIDE)
+    other = qid[:, None] != cid
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # holds sums of int8 products exactly
     near = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs
     # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, and a little for rounding
     error = qe[:, None] * cn + (qn + qe)[:, None] * ce
     error += 1e-12 * (qn[:, None] * cn)
-    near[qid[:, None] == cid] = -np.inf
+    near[~other] = -np.inf
     low = near - error
     if low.shape[1] > k:
         floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
     else:
         floor = np.full(len(q), -np.inf)
-    rows, cols = np.nonzero((near + error >= floor[:, None]) & (near > -np.inf))
-    scores = exact(q[rows], c[cols])
-    order = np.lexsort((cid[cols], -scores, rows))
-    rows, cols, scores = rows[order], cols[order], scores[order]
-    begins = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else []
-    for begin, stop in zip(begins, [*begins[1:], len(rows)]):
-        stop = min(stop, begin + k)
-        yield int(rows[begin]), list(zip(scores[begin:stop].tolist(), cid[cols[begin:stop]].tolist()))
+    return ((near + error >= floor[:, None]) | wide[:, None]) & other
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:

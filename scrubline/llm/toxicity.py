@@ -151,11 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the probability that a text is toxic. The weights are at most ``kept`` numbers."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: tasks need not know the classes of this library to unpack them
+    sent = docs.sparkSession.sparkContext.broadcast((vars(model.settings), model.grams, model.weights, model.intercept))
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = sent.value
+        own, *rest = sent.value
+        model = Model(Settings(**own), *rest)
         s, place = model.settings, model.place()
         for texts in batches:
             out = np.full(len(texts), model.intercept)
