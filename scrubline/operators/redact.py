@@ -260,13 +260,14 @@ def redact_nested(df: DataFrame, redactor: Redactor | None = None, columns: Sequ
         walks[c], base = f"IF({json[c]} IS NULL, NULL, parse_json({interleave(pieces, written)}))", f"{base} + size({strings})"
     if all(t is None for t in told):
         done = r.run(df.withColumn("_leaves", F.expr(f"concat({', '.join(parts)})")), F.col("_leaves"))
-        done = done.withColumn("_done", F.col("_done.t"))
+        texts = F.col("_done.t")
     else:
         told = [t or _no_contexts(f"size({part})") for t, part in zip(told, parts)]
         done = df.withColumns({"_leaves": F.expr(f"concat({', '.join(parts)})"), "_told": F.expr(f"concat({', '.join(told)})")})
         done = r.run(done, F.expr(f"zip_with(_leaves, _told, (v, k) -> {context.with_phrase('v', 'k')})"))
-        done = done.withColumn("_done", F.expr(
-            f"transform(_leaves, (v, i) -> {let('k', '_told[i]', let('d', '_done[i].t', context.without_phrase('v', 'd', 'k')))})"))
+        texts = F.expr(f"transform(_leaves, (v, i) -> {let('k', '_told[i]', let('d', '_done[i].t', context.without_phrase('v', 'd', 'k')))})")
+    # behind a generator, or the array would be made again for each leaf that is read from it
+    done = done.withColumn("_done", F.explode(F.array(texts)))
     return done.select(*(F.expr(walks[f.name]).alias(f.name) if f.name in walks else _named(f.name) for f in df.schema.fields))
 
 
