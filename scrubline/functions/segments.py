@@ -28,7 +28,8 @@ _PLAIN = r"[\p{L} ,.;!?()&&[^\p{InHebrew}]]"
 # fixed values: words that a value may follow directly, and tags that hold one of any length
 _OPEN_WORDS = "passport|number|no|id"
 _TAGS = "password|passwd|pwd|passphrase|pass[\\s_]?code|secret|credential|token|auth_key|private_key"
-CUT = rf"(?<={_PLAIN}{{{ZONE}}})(?<=\p{{L}}[.,;!?])(?<!\b(?i:{_OPEN_WORDS})[.,;!?])\n(?={_PLAIN}{{{ZONE}}})"
+# the line end comes first, or what precedes it would be looked at before every character of a text
+CUT = rf"\n(?<=\p{{L}}[.,;!?]\n)(?={_PLAIN}{{{ZONE}}})(?<={_PLAIN}{{{ZONE}}}\n)(?<!\b(?i:{_OPEN_WORDS})[.,;!?]\n)"
 
 
 def segments(text: str) -> str:

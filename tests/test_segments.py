@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scrubline.functions import segments as segments_of
 from scrubline.functions.segments import segments
+from scrubline.functions.text import quote
 from scrubline.operators import audit
 from scrubline.operators.dictionary import MOST_BITS, map_bits, recognize_dictionary
 from scrubline.operators.incremental import changes, first_run, merged, rule_version
@@ -124,3 +126,14 @@ def test_the_map_lets_little_through(spark, n):
     found = recognize_dictionary(texts, entries)
     assert {(r.doc_id, r.match) for r in found.collect()} == {(-1, "Name0"), (-2, f"name{n - 1}")} | ({(-1, "name5")} if n > 5 else set())
     assert map_bits(n) <= MOST_BITS and map_bits(10_000_000) <= 28 and 2 ** map_bits(10_000_000) >= 24 * 10_000_000
+
+
+def test_cuts_are_looked_for_at_line_ends_alone(spark):
+    """The plain definition, which looks back before every character, gives the same segments."""
+    plain = (rf"(?<={segments_of._PLAIN}{{{segments_of.ZONE}}})(?<=\p{{L}}[.,;!?])(?<!\b(?i:{segments_of._OPEN_WORDS})[.,;!?])"
+             rf"\n(?={segments_of._PLAIN}{{{segments_of.ZONE}}})")
+    assert segments_of.CUT.startswith(r"\n")
+    rng = random.Random(5)
+    df = spark.createDataFrame([(made(rng, rng.randrange(12)),) for _ in range(200)], "text STRING")
+    both = df.select(F.expr(f"split(text, {quote(plain)}, -1)"), F.expr(f"split(text, {quote(segments_of.CUT)}, -1)")).collect()
+    assert all(a == b for a, b in both) and any(len(a) > 1 for a, _ in both)
