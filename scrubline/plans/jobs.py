@@ -20,7 +20,7 @@ from scrubline.operators.findings import (
 from scrubline.operators.redact import (
     INLINE_TAG, TAG, Redactor, assemble_blocks, redact, redact_blocks, redact_column, redact_json_text, redact_lines, redact_long_texts,
     redact_marked_text, redact_markup, redact_nested, redact_table)
-from scrubline.sources.files import read_documents, read_lines, read_table, run_metrics, write_observed, write_table
+from scrubline.sources.files import dealt_out, read_documents, read_lines, read_table, run_metrics, write_observed, write_table
 from scrubline.streaming.redact_stream import (
     first_findings, join_events, join_texts, read_stream, redact_stream, utc, windowed_counts, write_stream, write_with_late)
 
@@ -33,13 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that takes far longer than reading it."""
+    return dealt_out(table(spark, sf_dir, name))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    return spread(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
 def notes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents, each with a line on which some of the rules have something to find, and near misses."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(NOTE_TEXT).alias("text"), *columns)
+    return spread(spark, sf_dir, "documents").select("doc_id", F.expr(NOTE_TEXT).alias("text"), *columns)
 
 
 # Texts for the detectors the documents hold nothing for, built from the star tables.
@@ -126,7 +131,7 @@ NOTE_TEXT = f"concat(text, '\\n', {note_line('doc_id')})"
 
 def _redacted(detector: str, name: str, key: str, text: str, text_col: str = "text") -> Job:
     def job(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, name).select(key, F.expr(text).alias(text_col))
+        df = spread(spark, sf_dir, name).select(key, F.expr(text).alias(text_col))
         return redact_column(df, text_col, Redactor(detectors=(detector,)))
     return job
 
@@ -222,7 +227,7 @@ def redact_dictionary_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of names as long as a table: those of all customers, and two with symbols at their ends, found by a join."""
-    customers = table(spark, sf_dir, "customer")
+    customers = spread(spark, sf_dir, "customer")
     odd = spark.createDataFrame([("C++",), (".NET",)], "keyword STRING")
     names = customers.select(F.col("c_name").alias("keyword")).union(odd).withColumn("entity_type", F.lit("COMPANY"))
     lines = customers.select("c_custkey", F.concat(
@@ -247,7 +252,7 @@ def assemble_blocks_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
+    return spread(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", F.expr("concat(lower(c_mktsegment), '.', c_custkey, '@mail.example.com')").alias("email"),
         F.expr("concat('10.', c_nationkey, '.0.', c_custkey % 300)").alias("ip"), F.expr(note_line("c_custkey")).alias("note"),
         "c_nationkey", "c_acctbal")
@@ -258,7 +263,7 @@ def redact_table_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_nested_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = table(spark, sf_dir, "events").select(
+    nested = spread(spark, sf_dir, "events").select(
         "event_id", F.from_json("props", "k INT").alias("props"),
         F.expr("named_struct('type', event_type, 'contacts', array(concat('user', user_id, '@example.org'), NULL, event_type),"
                f" 'hosts', map('from', concat('192.168.', user_id % 256, '.7'), 'to', NULL), 'notes', array(array({note_line('event_id')}), "
@@ -272,7 +277,7 @@ def redact_nested_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The properties of an event as a VARIANT, with strings at several depths."""
-    events = table(spark, sf_dir, "events").select("event_id", F.expr(
+    events = spread(spark, sf_dir, "events").select("event_id", F.expr(
         "parse_json(concat('{\"props\": ', props, ', \"mail@example.org\": [\"user', user_id, '@example.org\", ', user_id, ', null, "
         "{\"note\": \"say \\\\\"hi\\\\\" to 10.0.', user_id % 256, '.7\"}]}'))").alias("v"))
     done = redact_nested(events, every_rule())
@@ -311,7 +316,7 @@ def redact_nested_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"array(named_struct('id', 'z', 'value', {v['inner_key']})), 'dob', {v['born']}, 'n', array(named_struct('annualSalary', {v['salary']}))))")
     # a string after an object in the array that the key names
     json = f"replace({json}, '}}],\"dob\"', concat('}},\"', {v['outer_key']}, '\"],\"dob\"'))"
-    customers = table(spark, sf_dir, "customer").selectExpr(
+    customers = spread(spark, sf_dir, "customer").selectExpr(
         "c_custkey", f"{account} AS account", f"{notes_map} AS notes", f"array({v['first_code']}, {v['second_code']}, NULL) AS passcodes", f"parse_json({json}) AS v")
     done = redact_nested(customers, every_rule())
     paths = {"login": "$.login[\"User Password\"]", "hint": "$.hints[0]", "inner_key": "$.private_keys[0].value", "outer_key": "$.private_keys[1]",
@@ -324,7 +329,7 @@ def redact_nested_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_json_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON as printed text: a bare number taken for an id ends its being JSON."""
-    printed = table(spark, sf_dir, "events").select("event_id", F.expr(
+    printed = spread(spark, sf_dir, "events").select("event_id", F.expr(
         "concat('{\"props\": ', props, ', \"mail\": \"', event_type, user_id, '@example.org\"', "
         "CASE event_type WHEN 'signup' THEN concat(', \"id\": ', 100000000 + event_id) ELSE '' END, '}')").alias("json"))
     return redact_json_text(printed, "json", every_rule())

@@ -84,6 +84,17 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str | N
             .withColumn("rows", F.when(delimited, F.col("rows"))).drop("_records"))
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The rows of a table in as many tasks as a shuffle has, or eight for each split of its files, if these are more.
+
+    A file written as one row group is read by one task, whatever its splits. For work that
+    takes far longer than reading, the rows are dealt out first, by turns, so that neither the
+    layout of the files nor the values in the rows decide which task has how many.
+    """
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(shuffled, 8 * df.rdd.getNumPartitions()))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Large text files line by line: files are split, so no task holds a whole one."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -3,8 +3,11 @@ from pyspark.sql import functions as F
 
 from scrubline.operators.redact import Redactor, redact, redact_nested, redact_table
 from scrubline.plans.corpus import redact_files
+from scrubline.plans.jobs import JOBS
 from scrubline.sources.files import (
-    RUN_METRICS, append_run_metrics, read_documents, read_lines, read_table, run_metrics, write_table)
+    RUN_METRICS, append_run_metrics, dealt_out, read_documents, read_lines, read_table, run_metrics, write_table)
+
+from tests.conftest import DATA
 
 PLAIN = Redactor(detectors=("emails", "ips"))
 
@@ -108,3 +111,18 @@ def test_containers_are_listed_unread(spark, folder):
     plan = read_documents(spark, str(folder / "in")).select("path", "format", "text")._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert len(scans) == 2 and sum("content" in line.split("ReadSchema")[1] for line in scans) == 1
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "IF(id % 2 = 0, 'same', NULL) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    dealt = dealt_out(one)
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 8 and min(sizes) > 60 and sorted(dealt.collect()) == sorted(one.collect())
+
+
+@pytest.mark.parametrize("name", ["redact_nested_keys", "redact_table", "redact_nested", "redact_variant", "audit_columns", "redact_keywords", "redact_notes",
+                                  "recognize_dictionary", "redact_many_keywords"])
+def test_jobs_that_take_longer_than_reading_deal_out_rows(spark, name):
+    plan = JOBS[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
