@@ -1,11 +1,13 @@
 """Texts in pieces, second runs, agreement, sketches, metrics and the map of a dictionary."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scrubline.functions import segments as segments_of
+from scrubline.functions.passes import _split
 from scrubline.functions.segments import segments
 from scrubline.functions.text import quote
 from scrubline.operators import audit
@@ -137,3 +139,20 @@ def test_cuts_are_looked_for_at_line_ends_alone(spark):
     df = spark.createDataFrame([(made(rng, rng.randrange(12)),) for _ in range(200)], "text STRING")
     both = df.select(F.expr(f"split(text, {quote(plain)}, -1)"), F.expr(f"split(text, {quote(segments_of.CUT)}, -1)")).collect()
     assert all(a == b for a, b in both) and any(len(a) > 1 for a, _ in both)
+
+
+def test_texts_are_taken_apart_without_compiling_for_each(spark):
+    """The text between matches as ``split`` gives it, for texts with the mark itself as well."""
+    taken = _split("t", "[0-9]+")
+    assert "regexp_replace" in taken
+    df = spark.createDataFrame([(t,) for t in ("a1b22c", "", "1", "12", "x\x00y2", "é1😀2", None)], "t STRING")
+    both = df.select(F.expr("split(t, '[0-9]+', -1)"), F.expr(taken)).collect()
+    assert all(a == b for a, b in both)
+
+
+def test_offsets_of_runs_far_into_a_text(spark):
+    text = "".join(("émile " if i % 7 else "Acme  Corp, ") for i in range(300))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id INT, text STRING")
+    names = spark.createDataFrame([("acme", "A"), ("corp", "B"), ("acme  corp", "C")], "keyword STRING, entity_type STRING")
+    found = {(r.start, r.end, r.match) for r in recognize_dictionary(df, names).collect()}
+    assert found == {(m.start(), m.end(), m.group()) for p in ("Acme", "Corp", "Acme  Corp") for m in re.finditer(p, text)}
