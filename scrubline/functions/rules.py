@@ -42,7 +42,8 @@ class Rule:
     ``constant``: the label of every match; otherwise ``label`` is a SQL expression
     (see ``functions.labels``) and ``group`` the one that captures its ``value``.
     ``needs``: literals of which a text must hold one for the pattern to be able
-    to match, ``needs_words`` the same in any case, ``needs_pattern`` a cheap pattern, ``needs_digits`` a number of digits;
+    to match, ``needs_words`` the same in any case, ``needs_pattern`` a cheap pattern, ``needs_digits`` a number of digits,
+    ``needs_runs`` a pattern that the runs of digits must match, parted by blanks (see ``functions.passes``);
     without them the costly search is skipped. ``around``: the label looks at the neighbourhood.
     """
 
@@ -56,6 +57,7 @@ class Rule:
     needs_words: tuple[str, ...] = ()
     needs_pattern: str | None = None
     needs_digits: int = 0
+    needs_runs: str | None = None
     around: bool = False
 
 
@@ -201,6 +203,7 @@ _NEEDS: dict[tuple[str, int], tuple[str, ...]] = {
     ("money", 7): ("€",),
     ("money", 8): ("£",),
     ("ips", 2): (":",),
+    ("addresses", 5): ("רח", "שד", "דרך", "סמטה", "כיכר"),
     ("passwords", 1): (":", "="),
     ("passwords", 2): ("</",),
     ("passwords", 3): (":",),
@@ -208,13 +211,51 @@ _NEEDS: dict[tuple[str, int], tuple[str, ...]] = {
 }
 _NEEDS_PATTERN = {("ips", 1): r"[0-9]\.[0-9]", ("ips", 2): "::|[0-9a-fA-F]:[0-9a-fA-F]", ("domains", 1): r"\.[a-zA-Z]"}
 # Words, in lower case, without which a pattern that ignores case cannot match.
-_NEEDS_WORDS = {("ids", 3): ("passport",), ("ids", 5): ("emp", "staff")}
+_NEEDS_WORDS = {
+    ("ids", 3): ("passport",),
+    ("ids", 5): ("emp", "staff"),
+    ("credit_cards", 5): ("credit", "debit", "card", "cc", "visa", "amex", "discover"),
+    ("money", 2): ("dollars", "usd", "us$"),
+    ("money", 4): ("shekel", "ils", "nis"),
+    ("money", 5): ("nis", "ils"),
+    ("money", 6): ("eur", "gbp", "jpy", "chf", "aud", "cad", "cny"),
+    ("money", 9): ("cost", "worth", "value", "amount", "payment", "fee", "price", "charge", "rate", "income", "revenue", "profit", "loss",
+                   "salary", "wage", "fine", "total"),
+    ("phones", 5): ("phone", "tel", "cell", "mobile", "fax"),
+    ("dates", 3): ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"),
+    ("dates", 4): ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"),
+    ("dates", 5): ("date", "dob"),
+    ("addresses", 3): ("box",),
+    ("addresses", 4): ("address", "location", "office", "hq", "headquarters", "residence", "property"),
+}
 # The fewest digits a match can have, pattern by pattern.
 _NEEDS_DIGITS = {
     "credit_cards": (13, 16, 15, 16, 13), "money": (1,) * 9, "phones": (6, 10, 9, 10, 1), "ids": (9, 9, 0, 6, 0),
     "ips": (4, 0), "addresses": (1, 1, 1, 6, 1), "dates": (4, 6, 3, 3, 3),
 }
 
+# What the runs of digits of a match look like, or of a part of it, one blank for whatever stands between two of them: profile
+# ``fixed``. In ``ref`` later passes may match what labels have brought.
+_NEEDS_RUNS = {key: runs.replace("N", r"\p{Nd}") for key, runs in {
+    ("credit_cards", 1): "4N{3}(?: ?N{4}){2} ?N",
+    ("credit_cards", 2): "N{4}(?: ?N{4}){3}",
+    ("credit_cards", 3): "N{4}(?: ?N{6} ?N{5}|(?: ?N{4}){2} ?N{3})",
+    ("credit_cards", 4): "N{4}(?: ?N{4}){3}",
+    ("credit_cards", 5): "N(?: ?N){12}",
+    ("phones", 1): "N{2,4} ?N{2,4} ?N{2}",
+    ("phones", 2): "0N{2} ?N{3} ?N{4}",
+    ("phones", 3): "0N ?N{3} ?N{4}",
+    ("phones", 4): "N{3} ?N{3} ?N{4}",
+    ("ids", 1): "N{9}",
+    ("ids", 2): "N{3} ?N{2} ?N{4}",
+    ("ids", 4): "N{6}",
+    ("ips", 1): "N N{1,3} N{1,3} N",
+    ("dates", 1): "N N{1,2} N{2}",
+    ("dates", 2): "N{4} N{1,2} N",
+    ("dates", 3): "N N{2}",
+    ("dates", 4): "N N{2}",
+}.items()}
+
 _LABELS = {
     "emails": labels.email,
     "domains": labels.domain,
@@ -325,6 +366,7 @@ def rules(profile: str = "fixed", keywords: Sequence[str] = (), detectors: Itera
                 needs_words=_NEEDS_WORDS.get(key, ()),
                 needs_pattern=_NEEDS_PATTERN.get(key),
                 needs_digits=_NEEDS_DIGITS[detector][no - 1] if detector in _NEEDS_DIGITS else 0,
+                needs_runs=_NEEDS_RUNS.get(key) if profile == "fixed" and not extra else None,
                 around=detector == "dates"))
         table.extend(r for r in extra if r.detector == detector)
     return table

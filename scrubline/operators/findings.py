@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions.labels import COUNTED_ENTITIES, ENTITY_LABELS
-from scrubline.functions.passes import digits, matches
+from scrubline.functions.passes import digit_runs, digits, matches
 from scrubline.functions.recognizers import RECOGNIZERS, Recognizer as Scored, scored
-from scrubline.functions.text import chunks, piece
+from scrubline.functions.segments import segments
+from scrubline.functions.text import chunks, let, piece, running_total
 from scrubline.operators.redact import Redactor
 
 SPANS = "array<struct<start:int,end:int,entity_type:string,score:double>>"
@@ -25,13 +26,17 @@ def findings(df: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_col: str
     Columns: the ids, ``detector``, ``rule_no``, ``ord`` (number of the match of
     this rule in the text), ``start`` and ``end`` (0-based code points, end
     exclusive), ``match``, ``value`` (what decides the label), ``label``, ``score``.
-    No shuffle: the matches of a text are exploded where the text is read.
+    No shuffle: the matches of a text are exploded where the text is read. Where it
+    makes no difference the text is cut into segments first, as in ``Redactor.run_one``.
     """
     r = redactor or Redactor()
     if not r.rules:
         raise ValueError("no rules chosen")
-    texts = df.select(*id_cols, F.col(text_col).alias("_text")).withColumn("_digits", F.expr(digits("_text")))
-    per_rule = ", ".join(matches("_text", rule, "_digits") for rule in r.rules)
+    texts = df.select(*id_cols, F.col(text_col).alias("_text")).withColumn("_parts", F.expr(segments("_text") if r.cuts else "array(_text)"))
+    begins = running_total("transform(_parts, p -> length(p) + 1)")
+    part = let("runs", digit_runs("p"), f"named_struct('t', p, 'at', at, 'd', {digits('runs')}, 'r', runs)")
+    texts = texts.select(*id_cols, F.expr(f"zip_with(_parts, {begins}, (p, at) -> {part})").alias("_parts"))
+    per_rule = ", ".join(matches("_parts", rule) for rule in r.rules)
     return (texts.select(*id_cols, F.explode(F.expr(f"flatten(array_compact(array({per_rule})))")).alias("f"))
             .select(*id_cols, "f.*", F.lit(1.0).alias("score")))
 

@@ -2,16 +2,19 @@
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from scrubline.functions import segments as segments_of
-from scrubline.functions.passes import _split
+from scrubline.functions.passes import _split, digit_runs, digits, matches, may_match
+from scrubline.functions.rules import rules
 from scrubline.functions.segments import segments
-from scrubline.functions.text import quote
+from scrubline.functions.text import hits, let, quote
 from scrubline.operators import audit
 from scrubline.operators.dictionary import MOST_BITS, map_bits, recognize_dictionary
+from scrubline.operators.findings import findings
 from scrubline.operators.incremental import changes, first_run, merged, rule_version
 from scrubline.operators.redact import Redactor, redact, redact_column, redact_long_texts
 from scrubline.sources.files import run_metrics, write_observed
@@ -46,6 +49,43 @@ def test_cutting_changes_nothing(spark, docs):
     assert all("\n".join(x.p) == x.text for x in parts) and sum(len(x.p) for x in parts) > 800
 
 
+def test_cutting_changes_no_finding(spark, docs):
+    rng = random.Random(10)
+    texts = [made(rng, rng.randrange(1, 30)) for _ in range(300)] + EDGE + [REPORT, None] + [r.text for r in docs.limit(60).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(8)
+    r = Redactor(KEYWORDS)
+    cut, plain = (sorted(findings(df, redactor=x).collect()) for x in (r, whole(r)))
+    assert cut == plain and max(x.ord for x in cut) > 5
+    for x in cut:
+        assert texts[x.doc_id][x.start:x.end] == x.match
+
+
+def test_matches_are_searched_for_once():
+    for rule in rules(keywords=KEYWORDS):
+        assert matches("_parts", rule).count(hits("part.t", rule.pattern)) == 1
+
+
+def test_cheap_tests_let_every_match_through(spark):
+    """Also matches with letters that a pattern that ignores case takes for others, in either profile."""
+    texts = PLANTED + EDGE + [x + " 12" for x in ("phone 1234567", "9 dollars", "NIS 5", "5 ILS", "5 shekels", "price is 10", "Visa 4111111111111111", "P.O. Box 9", "3 Sep 2020")]
+    texts = [t for t in texts if t]
+    texts += [t.upper() for t in texts] + [t.replace(a, b) for t in texts for a, b in (("s", "ſ"), ("S", "ſ"), ("i", "İ"), ("I", "ı"), ("i", "ı"), ("k", "\u212a"))]
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "i INT, t STRING")
+    for profile in ("fixed", "ref"):
+        table = rules(profile, KEYWORDS)
+        each = ", ".join(f"({may_match('t', r, digits('runs'), 'runs')}) = (t RLIKE {quote(r.pattern)})" for r in table)
+        for row in df.select("t", F.expr(let("runs", digit_runs("t"), f"array({each})")).alias("same")).collect():
+            assert all(row.same), (row.t, [table[i] for i, same in enumerate(row.same) if not same])
+
+
+def test_digits_that_no_run_of_which_fits_cost_no_search(spark):
+    """Sixteen digits in pairs, and none of the words that costly patterns ask for."""
+    text, asked = quote("of 12 and 34 and 56 and 78 and 90, of 12 and 34 and 56"), [r for r in rules() if r.needs_runs or r.needs_words]
+    each = ", ".join(may_match(text, replace(r, pattern="", needs_pattern=None), digits("runs"), "runs") for r in asked)
+    passed = spark.range(1).select(F.expr(let("runs", digit_runs(text), f"array({each})")).alias("x")).first().x
+    assert {(r.detector, r.no) for r, x in zip(asked, passed) if x} == {("phones", 1), ("ips", 1), ("dates", 1)}
+
+
 def test_profile_ref_and_own_rules_are_not_cut():
     assert not Redactor(profile="ref").cuts and not Redactor(("a\nb",)).cuts and Redactor().cuts
 
