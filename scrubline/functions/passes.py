@@ -129,7 +129,7 @@ def apply_rule(state: str, rule: Rule, detector_no: int, profile: str, marks: bo
         label = rule.constant.replace("\\", "\\\\").replace("$", "\\$")
         plain = (f"named_struct('t', regexp_replace({text}, {quote(rule.pattern)}, {quote(label)}), 'c', "
                  f"concat({state}.c, array_repeat({detector_no}, regexp_count({text}, {quote(rule.pattern)}))), {rest})")
-        new = f"CASE WHEN {text} RLIKE {quote(ANY_LABEL)} THEN {new} ELSE {plain} END" if kept else plain
+        new = f"CASE WHEN contains({text}, '[') AND {text} RLIKE {quote(ANY_LABEL)} THEN {new} ELSE {plain} END" if kept else plain
     return f"CASE WHEN {may_match(text, rule, f'{state}.d', f'{state}.r')} THEN {new} ELSE {state} END"
 
 
